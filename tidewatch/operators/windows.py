@@ -70,6 +70,16 @@ def last_rows(df: DataFrame, n: int, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
 
 
+def trailing_arrays(df: DataFrame, columns: list[str], roles: Roles = DEFAULT_ROLES, steps: int = 12,
+                    **kw) -> DataFrame:
+    """Up to ``steps`` rows ending at each row, oldest first, as ``sequence``."""
+    f = framed(df, roles, back=steps - 1, **kw)
+    w = f.window().rowsBetween(-(steps - 1), 0)
+    row = F.array(*[F.col(c).cast("double") for c in columns])
+    out = f.finish(f.df.withColumn("sequence", F.collect_list(row).over(w)))
+    return out.select(roles.entity, *roles.order, "sequence")
+
+
 def sequences(df: DataFrame, columns: list[str], roles: Roles = DEFAULT_ROLES, steps: int = 12,
               pad: bool = False, **kw) -> DataFrame:
     """The ``steps`` rows ending at each row as an array of arrays.
@@ -77,11 +87,7 @@ def sequences(df: DataFrame, columns: list[str], roles: Roles = DEFAULT_ROLES, s
     Without ``pad`` rows with too little history are left out; with it the
     oldest step is repeated in front.
     """
-    f = framed(df, roles, back=steps - 1, **kw)
-    w = f.window().rowsBetween(-(steps - 1), 0)
-    row = F.array(*[F.col(c).cast("double") for c in columns])
-    out = f.finish(f.df.withColumn("sequence", F.collect_list(row).over(w)))
-    out = out.select(roles.entity, *roles.order, "sequence")
+    out = trailing_arrays(df, columns, roles, steps, **kw)
     if pad:
         return out.withColumn("sequence", pad_front(F.col("sequence"), steps))
     return out.where(F.size("sequence") == steps)
