@@ -19,13 +19,14 @@ def chronological_split(df: DataFrame, ts: str = "ts", train_days: int = 21, val
     return df.withColumn("split", F.when(t < val_from, "train").when(t < test_from, "val").otherwise("test"))
 
 
-def key_buckets(df: DataFrame, key: str, buckets: int = 256) -> Column:
-    """An expression that cuts the order of ``key`` into about ``buckets`` ranges."""
+def with_key_bucket(df: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
+    """Add ``name``: which of about ``buckets`` ranges of ``key``'s order a row is in."""
     if dict(df.dtypes)[key] == "string":
-        return F.substring(key, 1, 6)
+        return df.withColumn(name, F.substring(key, 1, 6))
     marks = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.approx_percentile(key, marks, 4 * buckets)).scalar()
-    return F.size(F.filter(F.array_distinct(cuts), lambda c: c < F.col(key)))
+    return df.withColumn("_cuts", F.array_distinct(cuts)).withColumn(
+        name, F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
 
 
 def fractional_split(df: DataFrame, fraction: float = 0.7, roles: Roles = DEFAULT_ROLES, **kw) -> DataFrame:
@@ -35,7 +36,8 @@ def fractional_split(df: DataFrame, fraction: float = 0.7, roles: Roles = DEFAUL
     row's place is its entity's offset plus its place within the entity.
     """
     counts = df.groupBy(roles.entity).agg(F.count(F.lit(1)).alias("_n"))
-    ends = global_running(counts, {"_n": "_end"}, [roles.entity], key_buckets(counts, roles.entity))
+    counts = with_key_bucket(counts, roles.entity, "_range")
+    ends = global_running(counts, {"_n": "_end"}, [roles.entity], F.col("_range"))
     limit = df.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction))).scalar()
     ranked = running_sum(df.withColumn("_one", F.lit(1)), {"_one": "_place"}, roles, **kw)
     out = ranked.join(ends.select(roles.entity, (F.col("_end") - F.col("_n")).alias("_offset")), roles.entity)
