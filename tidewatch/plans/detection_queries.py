@@ -11,6 +11,7 @@ from tidewatch.plans.data_queries import TRUTH_SQL as TRUTH_SQL_G
 from tidewatch.plans.fixtures import R, T_SQL, telemetry
 from tidewatch.plans.registry import query
 from tidewatch.roles import DETECTOR_METRICS
+from tidewatch.session import stage
 
 
 def _z_in(m: str) -> str:
@@ -87,8 +88,9 @@ def raw_scores(spark, d):
     """Stand-ins for the two fitted detectors, so fusion can be checked in SQL."""
     from tidewatch.operators.splits import chronological_split
     s = chronological_split(scores(spark, d), train_days=1500, val_days=300)
-    return s.select("volume_id", "ts", F.col("hotspot_score").alias("stat_score"), (-F.col("avg_latency_us")).alias("raw_score"),
-                    F.abs(F.col("total_iops") - 25.5).alias("error"), (F.col("split") == "train").alias("train"))
+    return stage(s.select(
+        "volume_id", "ts", F.col("hotspot_score").alias("stat_score"), (-F.col("avg_latency_us")).alias("raw_score"),
+        F.abs(F.col("total_iops") - 25.5).alias("error"), (F.col("split") == "train").alias("train")), "scores")
 
 
 def normalised(spark, d):
@@ -158,7 +160,7 @@ pp AS (SELECT *, (tp+tn)::DOUBLE/(tp+fp+tn+fn) AS accuracy, COALESCE(tp::DOUBLE/
 SELECT detector, tp, fp, tn, fn, {R('accuracy', 6)} AS accuracy, {R('precision', 6)} AS precision, {R('recall', 6)} AS recall,
   {R('COALESCE(2*precision*recall/NULLIF(precision+recall,0),0)', 6)} AS f1 FROM pp""")
 def _(spark, d):
-    f = fused(spark, d)
+    f = stage(fused(spark, d), "fused")
     e = fusion.evaluate_detectors(telemetry(spark, d), {
         "statistical": f.select("volume_id", "ts", (F.col("stat_score") > 60).alias("flag")),
         "forest": f.select("volume_id", "ts", F.col("forest_flagged").alias("flag")),
@@ -170,5 +172,6 @@ def _(spark, d):
 FROM g JOIN s USING (volume_id, ts) GROUP BY 1""")
 def _(spark, d):
     from tidewatch.operators.splits import three_sigma_truth
-    s = summaries.score_by_truth(three_sigma_truth(scores(spark, d)), "hotspot_score", "truth")
+    s = stage(three_sigma_truth(scores(spark, d)).select("truth", "hotspot_score"), "truth")
+    s = summaries.score_by_truth(s, "hotspot_score", "truth")
     return s.select("truth", "n", rnd(F.col("mean"), 4).alias("mean"), rnd(F.col("median"), 4).alias("median"))
