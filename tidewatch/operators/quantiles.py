@@ -31,6 +31,8 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
             F.array(*[F.lit(float(p)) for p in probs]).alias("prob"),
             F.col("_q").alias("quantile"))).alias("_e")).select(*by, "_e.prob", "_e.quantile")
     marks = [m for p in probs for m in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    # A group of up to SKETCH_ACCURACY rows is ranked whole.
+    small = F.col("_n") <= SKETCH_ACCURACY
     sketch = vals.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         F.approx_percentile("_v", marks, SKETCH_ACCURACY).alias("_marks"),
@@ -38,8 +40,8 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
     ).select(*by, "_n", F.explode(F.array(*[
         F.struct(
             F.lit(float(p)).alias("prob"),
-            (F.col("_min") if p <= MARGIN else F.col("_marks")[2 * i]).alias("_lo"),
-            (F.col("_max") if p >= 1 - MARGIN else F.col("_marks")[2 * i + 1]).alias("_hi"),
+            (F.col("_min") if p <= MARGIN else F.when(small, F.col("_min")).otherwise(F.col("_marks")[2 * i])).alias("_lo"),
+            (F.col("_max") if p >= 1 - MARGIN else F.when(small, F.col("_max")).otherwise(F.col("_marks")[2 * i + 1])).alias("_hi"),
         ) for i, p in enumerate(probs)])).alias("_b"))
     brackets = sketch.select(*by, "_n", "_b.prob", "_b._lo", "_b._hi")
     if by:
