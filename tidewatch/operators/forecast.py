@@ -201,7 +201,7 @@ def latency_forecast(df: DataFrame, start: Column, value: str = "latency_p95_us"
 
 def forecast_arrays(long: DataFrame, columns: list[str], entity: str = "volume_id") -> DataFrame:
     """A long forecast as one array per column, in step order (at most the horizon)."""
-    rows = F.sort_array(F.collect_list(F.struct("step", *columns)))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("step").alias("_k"), *columns)))
     out = long.groupBy(entity).agg(rows.alias("_f"))
     return out.select(entity, *[F.col(f"_f.{c}").alias(c) for c in columns])
 

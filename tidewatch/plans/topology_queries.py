@@ -87,10 +87,10 @@ def _(spark, d):
     return p.select("node_id", "total_iops", *r4(p, "avg_latency_us"), "hot_volumes", "volumes")
 
 
-CAPVOL = f"""c AS ({CAP_SQL}), lc AS (SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY volume_id ORDER BY ts DESC) = 1),
-vc AS (SELECT pl.volume_id, CASE WHEN pl.volume_id % 17 <> 0 THEN tier END AS tier, CAST(pool_id AS VARCHAR) AS pool_id, capacity_total_gb AS total_gb,
+VC = """vc AS (SELECT pl.volume_id, CASE WHEN pl.volume_id % 17 <> 0 THEN tier END AS tier, CAST(pool_id AS VARCHAR) AS pool_id, capacity_total_gb AS total_gb,
   CASE WHEN pl.volume_id % 5 = 0 THEN LEAST(1, GREATEST(0, capacity_used_gb / capacity_total_gb)) ELSE capacity_used_pct END AS f
   FROM pl LEFT JOIN lc ON pl.volume_id = lc.volume_id)"""
+CAPVOL = f"c AS ({CAP_SQL}), lc AS (SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY volume_id ORDER BY ts DESC) = 1), {VC}"
 HEAD = """SELECT COALESCE({0}, 'Unknown') AS {0}, {tot} AS total_capacity_gb, {used} AS used_capacity_gb, {head} AS headroom_gb, COUNT(*) AS volume_count,
   SUM(CASE WHEN f >= 0.9 THEN 1 ELSE 0 END) AS critical_count, {pct} AS used_pct FROM vc GROUP BY 1"""
 
