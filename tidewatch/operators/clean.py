@@ -60,10 +60,16 @@ def parse_events(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, "_corrupt_record"]])
     rest = [c for c in df.columns if c != column]
-    return df.withColumn("_e", F.from_json(column, schema, {
+    out = df.withColumn("_e", F.from_json(column, schema, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
         "allowNonNumericNumbers": "true"})).select(*rest, "_e.*")
 
+    # A bare NaN or Infinity is read as a quoted text; take the quotes off.
+    def bare(c: str) -> Column:
+        return F.when(F.col(c).isin('"NaN"', '"Infinity"', '"-Infinity"'), F.replace(F.col(c), F.lit('"'), F.lit(""))).otherwise(F.col(c))
+
+    return out.withColumns({f: bare(f) for f in fields})
+
 
 def clip_event_texts(df: DataFrame, low: dict[str, float], high: dict[str, float]) -> DataFrame:
     """Clip numeric texts to their bounds; NULL, other text, unlisted fields stay."""
