@@ -128,8 +128,10 @@ def bounds_scalar(bounds: DataFrame, columns: list[str]) -> Column:
 
 
 def apply_bounds(df: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame:
-    b = bounds_scalar(bounds, columns)
-    return df.withColumns({c: clip(F.col(c).cast("double"), b[f"{c}_low"], b[f"{c}_high"]) for c in columns})
+    # As a column the scalar is planned once, not once per use.
+    out = df.withColumn("_b", bounds_scalar(bounds, columns))
+    return out.withColumns({
+        c: clip(F.col(c).cast("double"), F.col(f"_b.{c}_low"), F.col(f"_b.{c}_high")) for c in columns}).drop("_b")
 
 
 def clip_columns(df: DataFrame, low: dict[str, float], high: dict[str, float]) -> DataFrame:
@@ -154,7 +156,8 @@ def impute_median(df: DataFrame, columns: list[str], method: str = "exact") -> D
     med = quantile_table(clean_df, columns, {"median": 0.5}, method=method)
     m = med.agg(F.struct(*[
         F.max(F.when(F.col("metric") == c, F.col("median"))).alias(c) for c in columns]).alias("m")).scalar()
-    return clean_df.withColumns({c: F.coalesce(F.col(c), m[c], F.lit(0.0)) for c in columns})
+    return clean_df.withColumn("_m", m).withColumns({
+        c: F.coalesce(F.col(c), F.col(f"_m.{c}"), F.lit(0.0)) for c in columns}).drop("_m")
 
 
 def profile(df: DataFrame) -> DataFrame:

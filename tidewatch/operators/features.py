@@ -184,5 +184,6 @@ def scale_scalar(fit: DataFrame, columns: list[str]) -> Column:
 
 
 def apply_scale(df: DataFrame, fit: DataFrame, columns: list[str]) -> DataFrame:
-    p = scale_scalar(fit, columns)
-    return df.withColumns({c: (F.col(c) - p[c]["center"]) / p[c]["scale"] for c in columns})
+    out = df.withColumn("_p", scale_scalar(fit, columns))
+    return out.withColumns({
+        c: (F.col(c) - F.col(f"_p.{c}.center")) / F.col(f"_p.{c}.scale") for c in columns}).drop("_p")

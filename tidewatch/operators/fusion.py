@@ -24,18 +24,20 @@ def normalise_forest(df: DataFrame, train: DataFrame, raw: str = "raw_score", co
     flagged below the ``contamination`` quantile. A zero span maps to 0.
     """
     q = quantile_struct(train, raw, {"strange": 0.02, "cut": contamination, "normal": 0.98})
-    span = q["normal"] - q["strange"]
-    score = F.when(span == 0, 0.0).otherwise(clip(F.try_divide(q["normal"] - F.col(raw), span) * 100.0, 0.0, 100.0))
-    return df.withColumns({"forest_score": score, "forest_flagged": F.col(raw) < q["cut"]})
+    span = F.col("_q.normal") - F.col("_q.strange")
+    score = F.when(span == 0, 0.0).otherwise(
+        clip(F.try_divide(F.col("_q.normal") - F.col(raw), span) * 100.0, 0.0, 100.0))
+    return df.withColumn("_q", q).withColumns({
+        "forest_score": score, "forest_flagged": F.col(raw) < F.col("_q.cut")}).drop("_q")
 
 
 def normalise_errors(df: DataFrame, calibration: DataFrame, error: str = "error", top: float = 0.99,
                      flag_at: float = 0.95) -> DataFrame:
     """Reconstruction errors to 0-100 against the calibration data's ``top`` quantile."""
     q = quantile_struct(calibration, error, {"cut": flag_at, "cap": top})
-    return df.withColumns({
-        "sequence_score": clip(F.try_divide(F.col(error), q["cap"]) * 100.0, 0.0, 100.0),
-        "sequence_flagged": F.col(error) > q["cut"]})
+    return df.withColumn("_q", q).withColumns({
+        "sequence_score": clip(F.try_divide(F.col(error), F.col("_q.cap")) * 100.0, 0.0, 100.0),
+        "sequence_flagged": F.col(error) > F.col("_q.cut")}).drop("_q")
 
 
 def add_sequence_scores(rows: DataFrame, scored: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:

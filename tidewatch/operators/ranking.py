@@ -42,7 +42,8 @@ def high_middle_low(df: DataFrame, value: str, key: str, each: int = 2) -> DataF
     minus = df.withColumn("_down", -F.col(value)).withColumn("_one", F.lit(1))
     minus = with_key_bucket(minus, "_down", "_range")
     ranked = global_running(minus, {"_one": "_i"}, ["_down", key], F.col("_range"))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    i, mid = F.col("_i"), F.floor(n / 2) - F.lit(each // 2)
+    ranked = ranked.withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
+    n, i = F.col("_n"), F.col("_i")
+    mid = F.floor(n / 2) - F.lit(each // 2)
     band = F.when(i <= each, "high").when(i > n - each, "low").when((i > mid) & (i <= mid + each), "middle")
     return ranked.withColumn("band", band).where("band IS NOT NULL").select(*df.columns, "band")

@@ -14,9 +14,10 @@ def chronological_split(df: DataFrame, ts: str = "ts", train_days: int = 21, val
     """Add ``split``: train, val, then test, counted from midnight of the first time."""
     start = df.agg(F.min(ts).cast("date").cast("timestamp_ntz")).scalar()
     t = F.col(ts)
-    val_from = start + F.make_dt_interval(F.lit(train_days))
-    test_from = start + F.make_dt_interval(F.lit(train_days + val_days))
-    return df.withColumn("split", F.when(t < val_from, "train").when(t < test_from, "val").otherwise("test"))
+    val_from = F.col("_start") + F.make_dt_interval(F.lit(train_days))
+    test_from = F.col("_start") + F.make_dt_interval(F.lit(train_days + val_days))
+    split = F.when(t < val_from, "train").when(t < test_from, "val").otherwise("test")
+    return df.withColumn("_start", start).withColumn("split", split).drop("_start")
 
 
 def with_key_bucket(df: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
@@ -72,12 +73,10 @@ def three_sigma_truth(df: DataFrame, sigma: float = 3.0) -> DataFrame:
     high = ["avg_latency_us", "total_iops", "total_throughput_mbps", "read_latency_p99_us"]
     s = df.agg(F.struct(*[
         F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in high]).alias("s")).scalar()
-    tests = [F.col(c) > s[c]["m"] + sigma * s[c]["s"] for c in high]
-    low = F.col("total_iops") < s["total_iops"]["m"] - sigma * s["total_iops"]["s"]
-    truth = low
-    for t in tests:
-        truth = truth | t
-    return df.withColumn("truth", truth)
+    truth = F.col("total_iops") < F.col("_s.total_iops.m") - sigma * F.col("_s.total_iops.s")
+    for c in high:
+        truth = truth | (F.col(c) > F.col(f"_s.{c}.m") + sigma * F.col(f"_s.{c}.s"))
+    return df.withColumn("_s", s).withColumn("truth", truth).drop("_s")
 
 
 def latest_tick(df: DataFrame, ts: str = "ts") -> DataFrame:
