@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.numeric import capacity_fraction, clip, finite
-from tidewatch.operators.frames import forward_fill
+from tidewatch.operators.frames import forward_fill, has_hot_entity
 from tidewatch.operators.quantiles import quantile_table
 from tidewatch.roles import DEFAULT_ROLES, Roles, require_columns
 
@@ -44,6 +44,7 @@ def fill_gaps(df: DataFrame, roles: Roles = DEFAULT_ROLES, columns: list[str] |
 
 def clean(df: DataFrame, roles: Roles = DEFAULT_ROLES, **kw) -> DataFrame:
     """Duplicates out, unparsable times out, gaps filled."""
+    kw.setdefault("hot", has_hot_entity(df, roles, kw.get("rows_per_task")))
     df = drop_duplicate_rows(df)
     if dict(df.dtypes)[roles.ts] == "string":
         df = parse_timestamps(df, roles.ts)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidewatch.functions.numeric import signed_log
 from tidewatch.functions.times import calendar_parts, floor_hour
 from tidewatch.operators.clean import clean, numeric_columns
-from tidewatch.operators.frames import with_frames
+from tidewatch.operators.frames import has_hot_entity, with_frames
 from tidewatch.operators.quantiles import quantile_table
 from tidewatch.roles import DEFAULT_ROLES, LABELS, NON_FEATURE_COLUMNS, Roles
 
@@ -127,8 +127,9 @@ def engineer_features(df: DataFrame, roles: Roles = DEFAULT_ROLES, ticks_per_day
     """Clean, then every feature column.
 
     All row windows share one partitioning and order, so they share one shuffle
-    and one sort.
+    and one sort; entity sizes are looked up once, on the raw table.
     """
+    kw.setdefault("hot", has_hot_entity(df, roles, kw.get("rows_per_task")))
     out = calendar_features(basic_features(clean(df, roles, **kw)), roles.ts)
     changes = [m for m in CHANGE_METRICS if m in out.columns]
 

@@ -104,16 +104,26 @@ def _chunk_table(df: DataFrame, roles: Roles, back: int, ahead: int,
     )
 
 
+def has_hot_entity(df: DataFrame, roles: Roles = DEFAULT_ROLES, rows_per_task: int | None = None) -> bool:
+    """Whether any entity has more rows than one task should hold.
+
+    One small job: entity counts, combined map-side. A table with at least as
+    many rows per entity (say, before duplicates are dropped) may stand in.
+    """
+    counts = df.groupBy(roles.entity).agg(F.count(F.lit(1)).alias("n"))
+    return not counts.where(F.col("n") > (rows_per_task or ROWS_PER_TASK)).isEmpty()
+
+
 def framed(df: DataFrame, roles: Roles = DEFAULT_ROLES, back: int = 0, ahead: int = 0,
-           rows_per_task: int | None = None, bucket_seconds: int = BUCKET_SECONDS) -> Framed:
+           rows_per_task: int | None = None, bucket_seconds: int = BUCKET_SECONDS,
+           hot: bool | None = None) -> Framed:
     """Prepare ``df`` for windows that look ``back``/``ahead`` that many rows.
 
-    Runs one small job (entity counts, combined map-side) to see whether any
-    entity is too big for a task.
+    ``hot`` passes on the answer of :func:`has_hot_entity` when it is known;
+    otherwise it is asked here.
     """
     rows = rows_per_task or ROWS_PER_TASK
-    hot = df.groupBy(roles.entity).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
-    if hot.isEmpty():
+    if not (has_hot_entity(df, roles, rows) if hot is None else hot):
         return Framed(df, roles, False)
     chunks = cut_lineage(_chunk_table(df, roles, back, ahead, rows, bucket_seconds))
     if chunks.count() <= BROADCAST_ROWS:

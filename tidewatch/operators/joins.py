@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.times import epoch_seconds
-from tidewatch.operators.frames import forward_fill
+from tidewatch.operators.frames import forward_fill, has_hot_entity
 from tidewatch.operators.windows import latest_rows, trailing_arrays
 from tidewatch.roles import DEFAULT_ROLES, Roles
 
@@ -41,6 +41,8 @@ def history_before(requests: DataFrame, history: DataFrame, key: str, columns: l
     rows, requests are merged into the timeline, and the newest history row
     before each request is carried onto it.
     """
+    kw.setdefault("hot", has_hot_entity(
+        history.select(roles.entity).unionByName(requests.select(roles.entity)), roles, kw.get("rows_per_task")))
     seq = trailing_arrays(history, columns, roles, steps, **kw)
     line = seq.select(
         roles.entity, roles.ts, F.lit(0).alias("_kind"), *[F.col(t).alias(f"_t_{t}") for t in roles.ties],

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import capacity_fraction
 from tidewatch.functions.times import epoch_seconds, from_epoch_seconds
-from tidewatch.operators.frames import global_running, running_sum, with_frames
+from tidewatch.operators.frames import global_running, has_hot_entity, running_sum, with_frames
 from tidewatch.operators.joins import within_after
 from tidewatch.operators.topology import validate_migrations, with_best_target
 from tidewatch.operators.windows import hour_bucket, rollback_rate
@@ -69,6 +69,7 @@ def best_action(candidates: DataFrame) -> DataFrame:
 
 def sessions(candidates: DataFrame, gap_seconds: int, roles: Roles, **kw) -> DataFrame:
     """Add ``session``: runs of rows per entity without a gap over ``gap_seconds``."""
+    kw.setdefault("hot", has_hot_entity(candidates, roles, kw.get("rows_per_task")))
     t = epoch_seconds(roles.ts)
     marked = with_frames(candidates.withColumn("_s", t), lambda w: {
         "_new": (F.coalesce(F.col("_s") - F.lag("_s", 1).over(w), F.lit(gap_seconds + 1)) > gap_seconds).cast("int")},

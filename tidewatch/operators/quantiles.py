@@ -30,50 +30,51 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
         return est.select(*by, F.explode(F.arrays_zip(
             F.array(*[F.lit(float(p)) for p in probs]).alias("prob"),
             F.col("_q").alias("quantile"))).alias("_e")).select(*by, "_e.prob", "_e.quantile")
+    k = len(probs)
     marks = [m for p in probs for m in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     # A group of up to SKETCH_ACCURACY rows is ranked whole.
     small = F.col("_n") <= SKETCH_ACCURACY
     sketch = vals.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         F.approx_percentile("_v", marks, SKETCH_ACCURACY).alias("_marks"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-    ).select(*by, "_n", F.explode(F.array(*[
-        F.struct(
-            F.lit(float(p)).alias("prob"),
-            (F.col("_min") if p <= MARGIN else F.when(small, F.col("_min")).otherwise(F.col("_marks")[2 * i])).alias("_lo"),
-            (F.col("_max") if p >= 1 - MARGIN else F.when(small, F.col("_max")).otherwise(F.col("_marks")[2 * i + 1])).alias("_hi"),
-        ) for i, p in enumerate(probs)])).alias("_b"))
-    brackets = sketch.select(*by, "_n", "_b.prob", "_b._lo", "_b._hi")
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    low = [F.when(small | F.lit(p <= MARGIN), F.col("_min")).otherwise(F.col("_marks")[2 * i]) for i, p in enumerate(probs)]
+    high = [F.when(small | F.lit(p >= 1 - MARGIN), F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]) for i, p in enumerate(probs)]
+    brackets = sketch.select(*by, "_n", F.array(*low).alias("_lo"), F.array(*high).alias("_hi"))
     if by:
         rows = vals.join(brackets, by)
     else:
-        # One bracket row per probability: a scalar, not a join side.
-        spec = brackets.agg(F.collect_list(F.struct("prob", "_n", "_lo", "_hi")).alias("b")).scalar()
-        rows = vals.withColumn("_x", F.explode(spec)).select("_v", "_x.*")
-    keys = [*by, "prob"]
+        rows = vals.withColumn("_x", brackets.select(F.struct("_n", "_lo", "_hi").alias("x")).scalar()).select("_v", "_x.*")
+    # Values in a bracket are kept; the others only counted, per gap between brackets.
+    inside, gap = F.lit(False), F.lit(0)
+    for i in range(k):
+        inside = inside | ((F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i]))
+        gap = gap + (F.col("_v") > F.col("_hi")[i]).cast("int")
     counted = (
-        rows.where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
-        W.unboundedPreceding, W.currentRow)
-    pos = F.col("prob") * (F.col("_n") - 1)
-    picked = (
-        counted.withColumn("_cum", F.sum("_c").over(upto))
-        .withColumn("_pos", pos)
-        .groupBy(*keys, "_pos").agg(
-            F.min(F.when(F.col("_cum") > F.floor("_pos"), F.struct("_cum", "_v"))).alias("_a"),
-            F.min(F.when(F.col("_cum") > F.ceil("_pos"), F.struct("_cum", "_v"))).alias("_z"),
-        )
-    )
-    missed = F.col("_a._v").isNull() | F.col("_z._v").isNull()
-    frac = F.col("_pos") - F.floor("_pos")
-    return picked.select(
-        *keys,
-        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .otherwise(F.col("_a._v") + (F.col("_z._v") - F.col("_a._v")) * frac).alias("quantile"),
+        rows.select(*by, "_n", "_v", F.when(inside, F.col("_v")).alias("_value"), F.when(inside, -1).otherwise(gap).alias("_gap"))
+        .groupBy(*by, "_n", "_gap", "_value").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_at"))
     )
+    upto = W.partitionBy(*by).orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cum = counted.withColumn("_cum", F.sum("_c").over(upto))
+
+    def at_rank(rank: Column) -> Column:
+        return F.min(F.when(F.col("_cum") > rank, F.struct("_cum", "_value")))
+
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        aggs += [at_rank(F.floor(pos)).alias(f"_a{i}"), at_rank(F.ceil(pos)).alias(f"_z{i}")]
+    picked = cum.groupBy(*by, "_n").agg(*aggs)
+
+    def interpolated(i: int, p: float) -> Column:
+        a, z = F.col(f"_a{i}._value"), F.col(f"_z{i}._value")
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+        return F.when(a.isNull() | z.isNull(), missed).otherwise(a + (z - a) * (pos - F.floor(pos)))
+
+    return picked.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), interpolated(i, p).alias("quantile"))
+        for i, p in enumerate(probs)])).alias("_e")).select(*by, "_e.*")
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs: dict[str, float], by: list[str] | None = None,

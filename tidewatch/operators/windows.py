@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.times import elapsed_minutes, epoch_micros, epoch_seconds
-from tidewatch.operators.frames import forward_fill, framed, global_running, with_frames
+from tidewatch.operators.frames import forward_fill, framed, global_running, has_hot_entity, with_frames
 from tidewatch.roles import DEFAULT_ROLES, Roles
 
 
@@ -120,6 +120,7 @@ def hot_runs(df: DataFrame, score: str, threshold: float, roles: Roles = DEFAULT
     A run starts at a hot row whose previous row is not hot; the last such start,
     carried forward, is the start of the run a hot row is in.
     """
+    kw.setdefault("hot", has_hot_entity(df, roles, kw.get("rows_per_task")))
     hot = F.col(score) >= threshold
     marked = with_frames(
         df.withColumn("_hot", F.coalesce(hot, F.lit(False))),

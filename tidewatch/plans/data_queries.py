@@ -15,7 +15,7 @@ from tidewatch.plans.fixtures import (
 )
 from tidewatch.plans.registry import query
 from tidewatch.roles import LABELS, Roles
-from tidewatch.session import shared_folder
+from tidewatch.session import shared_folder, stage
 from tidewatch.sources import files
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -237,7 +237,7 @@ def _train(df, days=1500):
 @query("clean_fit_iqr_bounds", f"""WITH t AS ({T_SQL}), b AS ({BOUNDS_SQL})
 SELECT metric, {R('low', 4)} AS low, {R('high', 4)} AS high FROM b""")
 def _(spark, d):
-    b = clean.fit_iqr_bounds(_train(telemetry(spark, d)), BOUND_METRICS)
+    b = clean.fit_iqr_bounds(_train(stage(telemetry(spark, d), "telemetry")), BOUND_METRICS)
     return b.select("metric", rnd(F.col("low"), 4).alias("low"), rnd(F.col("high"), 4).alias("high"))
 
 
@@ -248,7 +248,7 @@ def _bound(m, side):
 @query("clean_apply_iqr_bounds", f"""WITH t AS ({T_SQL}), b AS ({BOUNDS_SQL})
 SELECT volume_id, ts, {', '.join(R(f"LEAST(GREATEST({m}, {_bound(m, 'low')}), {_bound(m, 'high')})", 4) + f' AS {m}' for m in BOUND_METRICS)} FROM t""")
 def _(spark, d):
-    t = telemetry(spark, d)
+    t = stage(telemetry(spark, d), "telemetry")  # read by the fit's two passes and the clip
     out = clean.apply_bounds(t, clean.fit_iqr_bounds(_train(t), BOUND_METRICS), BOUND_METRICS)
     return out.select("volume_id", "ts", *[rnd(F.col(m), 4).alias(m) for m in BOUND_METRICS])
 
@@ -455,7 +455,7 @@ SCALE_METRICS = ["total_iops", "avg_latency_us", "total_throughput_mbps"]
 SELECT volume_id, ts, {', '.join(R(f"({m} - {m}_2) / CASE WHEN {m}_3 = {m}_1 THEN 1 ELSE {m}_3 - {m}_1 END", 5) + f' AS {m}' for m in SCALE_METRICS)},
   queue_depth * 0 AS flat FROM t, q""")
 def _(spark, d):
-    t = telemetry(spark, d).withColumn("flat", F.lit(7))
+    t = stage(telemetry(spark, d).select("volume_id", "ts", *SCALE_METRICS), "telemetry").withColumn("flat", F.lit(7))
     columns = [*SCALE_METRICS, "flat"]
     out = features.apply_scale(t, features.fit_robust_scale(_train(t), columns), columns)
     return out.select("volume_id", "ts", *_rounded(out, SCALE_METRICS, 5), "flat")

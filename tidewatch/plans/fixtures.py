@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import round_half_up as rnd
-from tidewatch.operators.frames import running_sum
+from tidewatch.operators.frames import has_hot_entity, running_sum
 from tidewatch.roles import Roles
 from tidewatch.sources.files import read_parquet
 
@@ -113,7 +113,9 @@ def capacity(spark: SparkSession, folder: str) -> DataFrame:
     used = li.groupBy(F.col("l_suppkey").alias("volume_id"), F.col("l_shipdate").alias("ts")).agg(
         F.sum("l_quantity").alias("used_gb"))
     total = used.groupBy("volume_id").agg(F.sum("used_gb").alias("_sum"))
-    out = running_sum(used, {"used_gb": "capacity_used_gb"}).join(total, "volume_id")
+    # Order lines are at least as many as the (volume, time) rows made of them.
+    hot = has_hot_entity(li, Roles(entity="l_suppkey"))
+    out = running_sum(used, {"used_gb": "capacity_used_gb"}, hot=hot).join(total, "volume_id")
     factor = 1.02 + (F.col("volume_id") % 7) * 0.05
     return out.withColumn("capacity_total_gb", rnd(F.col("_sum") * factor, 2)).select(
         "volume_id", "ts", "capacity_used_gb", "capacity_total_gb",

@@ -15,7 +15,7 @@ from tidewatch.plans.fixtures import (
     A_SQL, CAP_SQL, CLASSES, E_SQL, EVENTS, P_SQL, T_SQL, R, actions, capacity, events, predictions, table, telemetry,
 )
 from tidewatch.plans.registry import query
-from tidewatch.roles import Roles
+from tidewatch.session import stage
 
 WT = f"WITH t AS ({T_SQL})"
 WE = f"WITH e AS ({E_SQL})"
@@ -152,7 +152,7 @@ def _(spark, d):
     f"""SELECT workload_type, '{m}' AS metric, COUNT({m}) AS count, {R(f'AVG({m})', 4)} AS mean, {R(f'MEDIAN({m})', 4)} AS median,
     {R(f'STDDEV_SAMP({m})', 4)} AS std, MIN({m}) AS min, MAX({m}) AS max FROM t GROUP BY 1""" for m in KEY))
 def _(spark, d):
-    s = summaries.class_statistics(telemetry(spark, d), KEY)
+    s = summaries.class_statistics(stage(telemetry(spark, d).select("workload_type", *KEY), "telemetry"), KEY)
     return s.select("workload_type", "metric", "count", *r4(s, "mean", "median", "std"), "min", "max")
 
 
@@ -204,7 +204,7 @@ def _(spark, d):
   {R('MEDIAN(hotspot_score)', 4)} AS p50, {R('QUANTILE_CONT(hotspot_score, 0.95)', 4)} AS p95,
   {R('QUANTILE_CONT(hotspot_score, 0.99)', 4)} AS p99 FROM s""")
 def _(spark, d):
-    x = summaries.score_distribution(scores(spark, d), "hotspot_score")
+    x = summaries.score_distribution(stage(scores(spark, d).select("hotspot_score"), "scores"), "hotspot_score")
     return x.select("count", *r4(x, "mean", "std"), "min", *r4(x, "max", "p50", "p95", "p99"))
 
 
