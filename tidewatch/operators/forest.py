@@ -49,8 +49,9 @@ def sample_for_trees(df: DataFrame, columns: list[str], keys: list[str], trees:
     copies = F.least(F.greatest(F.ceil(F.lit(trees * rows) / F.greatest(n, F.lit(1))), F.lit(1)), F.lit(trees)).cast("int")
     spread = ranked.withColumn("_c", F.explode(F.sequence(F.lit(0), copies - 1)))
     stride = F.greatest(F.floor(F.lit(trees) / copies), F.lit(1))
-    return spread.withColumn("tree_id", ((F.col("_i") + F.col("_c") * stride) % trees).cast("int")).select(
-        "tree_id", "_i", *columns)
+    spread = spread.withColumn("tree_id", ((F.col("_i") + F.col("_c") * stride) % trees).cast("int"))
+    place = F.row_number().over(W.partitionBy("tree_id").orderBy("_c", "_i"))
+    return spread.withColumn("_place", place).where(F.col("_place") <= rows).select("tree_id", "_i", *columns)
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list]:

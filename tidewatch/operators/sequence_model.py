@@ -1,16 +1,20 @@
 """Sequence detector: how badly a linear autoencoder rebuilds the last steps.
 
-Sequences are scaled, flattened and projected on their principal components by
-MLlib; the error is the mean square of what the projection loses.
+Sequences are scaled, flattened and projected on their principal components;
+the error is the mean square of what the projection loses. Spark computes the
+covariance of all sequences; only that small matrix (steps x metrics squared)
+reaches the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.times import epoch_seconds
@@ -28,37 +32,43 @@ CODE_SIZE = 8
 class SequenceModel:
     columns: list[str]
     scale: DataFrame
-    pca: PCAModel
+    components: np.ndarray  # one column per component, orthonormal
     steps: int
 
+    def error(self, flat: Column) -> Column:
+        """Mean square of what the components do not hold of a flat sequence."""
+        components = self.components
 
-def _vectors(df: DataFrame, columns: list[str], scale: DataFrame, steps: int, roles: Roles, **kw) -> DataFrame:
-    scaled = apply_scale(df, scale, columns)
-    seq = sequences(scaled, columns, roles, steps, **kw)
-    return seq.withColumn("features", array_to_vector(F.flatten("sequence"))).drop("sequence")
+        @F.pandas_udf("double")
+        def lost(x: pd.Series) -> pd.Series:
+            rows = np.stack(x.to_numpy()) if len(x) else np.empty((0, len(components)))
+            energy = (rows**2).sum(axis=1) - ((rows @ components) ** 2).sum(axis=1)
+            return pd.Series(np.maximum(energy, 0.0) / len(components))
+
+        return lost(flat)
+
+
+def _flat(df: DataFrame, columns: list[str], scale: DataFrame, steps: int, roles: Roles, **kw) -> DataFrame:
+    seq = sequences(apply_scale(df, scale, columns), columns, roles, steps, **kw)
+    return seq.withColumn("flat", F.flatten("sequence")).drop("sequence")
 
 
 def fit_sequence_model(train: DataFrame, columns: list[str], roles: Roles = DEFAULT_ROLES, steps: int = STEPS,
                        code: int = CODE_SIZE, **kw) -> SequenceModel:
     scale = fit_standard_scale(train, columns)
-    vectors = _vectors(train, columns, scale, steps, roles, **kw)
-    return SequenceModel(columns, scale, PCA(k=code, inputCol="features", outputCol="code").fit(vectors), steps)
+    vectors = _flat(train, columns, scale, steps, roles, **kw).select(array_to_vector("flat").alias("x"))
+    std = np.array(vectors.select(Summarizer.std(F.col("x"))).head()[0].toArray())
+    correlation = Correlation.corr(vectors, "x").head()[0].toArray()
+    # A constant position has no correlation; its variance is 0 anyway.
+    covariance = np.nan_to_num(correlation) * np.outer(std, std)
+    _, axes = np.linalg.eigh(covariance)
+    return SequenceModel(columns, scale, axes[:, ::-1][:, :code].copy(), steps)
 
 
 def sequence_errors(df: DataFrame, model: SequenceModel, roles: Roles = DEFAULT_ROLES, **kw) -> DataFrame:
-    """(entity, time, error) for every row with a full sequence.
-
-    The components are orthonormal, so the lost energy is the vector's energy
-    minus the code's.
-    """
-    coded = model.pca.transform(_vectors(df, model.columns, model.scale, model.steps, roles, **kw))
-
-    def energy(c: str):
-        return F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, x: s + x * x)
-
-    size = float(len(model.columns) * model.steps)
-    return coded.select(roles.entity, *roles.order,
-                        F.greatest((energy("features") - energy("code")) / size, F.lit(0.0)).alias("error"))
+    """(entity, time, error) for every row with a full sequence."""
+    rows = _flat(df, model.columns, model.scale, model.steps, roles, **kw)
+    return rows.select(roles.entity, *roles.order, model.error(F.col("flat")).alias("error"))
 
 
 def last_share(df: DataFrame, share: float = 0.15, ts: str = "ts") -> DataFrame:

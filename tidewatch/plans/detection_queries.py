@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import round_half_up as rnd
@@ -11,7 +13,8 @@ from tidewatch.plans.data_queries import TRUTH_SQL as TRUTH_SQL_G
 from tidewatch.plans.fixtures import R, T_SQL, telemetry
 from tidewatch.plans.registry import query
 from tidewatch.roles import DETECTOR_METRICS
-from tidewatch.session import stage
+from tidewatch.session import shared_folder, stage
+from tidewatch.sources import files
 
 
 def _z_in(m: str) -> str:
@@ -175,3 +178,27 @@ def _(spark, d):
     s = stage(three_sigma_truth(scores(spark, d)).select("truth", "hotspot_score"), "truth")
     s = summaries.score_by_truth(s, "hotspot_score", "truth")
     return s.select("truth", "n", rnd(F.col("mean"), 4).alias("mean"), rnd(F.col("median"), 4).alias("median"))
+
+
+# --- sinks of nested results -----------------------------------------------------------
+
+ALERT_ROWS = f"""{WITH_SCORES} SELECT volume_id, ts, {SEV.format('hotspot_score')} AS severity, {{extra}} FROM s WHERE hotspot_score >= 40"""
+
+
+@query("sink_alerts_json", ALERT_ROWS.format(extra=f"""CONCAT_WS(',', {', '.join(f"CASE WHEN {m}_z > 3 THEN '{m}' END" for m in DETECTOR_METRICS)}) AS triggered, avg_latency_us AS current_latency_us"""))
+def _(spark, d):
+    """Nested alerts written as JSON and read back with their schema."""
+    path = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    a = statistical.hotspot_alerts(scores(spark, d))
+    files.write_json(a, path)
+    back = spark.read.schema(a.schema).json(path)
+    return back.select("volume_id", "ts", "severity", F.array_join("triggered_metrics", ",").alias("triggered"), "details.current_latency_us")
+
+
+@query("sink_report_csv", ALERT_ROWS.format(extra=f"{R('hotspot_score', 4)} AS hotspot_score"))
+def _(spark, d):
+    """The flat columns of alerts written as CSV; the nested ones are dropped."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    files.write_csv(statistical.hotspot_alerts(scores(spark, d)), path)
+    back = files.read_csv(spark, path, "volume_id bigint, ts timestamp_ntz, hotspot_score double, severity string")
+    return back.withColumn("hotspot_score", rnd(F.col("hotspot_score"), 4))

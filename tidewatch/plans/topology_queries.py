@@ -244,3 +244,14 @@ def _(spark, d):
 def _(spark, d):
     s = ranking.top(neighbors.pair_summary(pairs(spark, d)), 15, "total_impact", ["aggressor_id", "victim_id"])
     return s.select("aggressor_id", "victim_id", *r4(s, "total_impact"))
+
+
+@query("join_point_lookup_default", f"""{WT}, {PLACE}, q AS (SELECT volume_id, CASE WHEN queue_depth = 1 THEN ts + INTERVAL 1 SECOND ELSE ts END AS ts, total_iops AS score FROM t WHERE total_iops >= 45)
+SELECT q.volume_id AS aggressor_id, q.ts, pl.node_id, q.score AS aggressor_score, COALESCE(t.total_iops, 0) AS aggressor_iops, COALESCE(t.avg_latency_us, 0) AS aggressor_latency_us
+FROM q JOIN pl ON pl.volume_id = q.volume_id LEFT JOIN t ON t.volume_id = q.volume_id AND t.ts = q.ts""")
+def _(spark, d):
+    """Hot rows, some at times telemetry does not have: their own metrics are 0."""
+    t = telemetry(spark, d)
+    late = F.when(F.col("queue_depth") == 1, F.col("ts") + F.expr("INTERVAL 1 SECOND")).otherwise(F.col("ts"))
+    scored = t.select("volume_id", late.alias("ts"), F.col("total_iops").alias("score"))
+    return neighbors.aggressor_rows(scored, t, topology.placement(t), 45.0)
