@@ -27,12 +27,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.times import epoch_seconds
 from tidewatch.roles import DEFAULT_ROLES, Roles
-from tidewatch.session import cut_lineage
+from tidewatch.session import broadcast_if_small
 
 ROWS_PER_TASK = 2_000_000
 BUCKET_SECONDS = 60
-#: A chunk table up to this many rows (about 60 bytes each) may be broadcast.
-BROADCAST_ROWS = 100_000
 
 CHUNK, HALO, BUCKET = "_chunk", "_halo", "_bucket"
 
@@ -125,9 +123,7 @@ def framed(df: DataFrame, roles: Roles = DEFAULT_ROLES, back: int = 0, ahead: in
     rows = rows_per_task or ROWS_PER_TASK
     if not (has_hot_entity(df, roles, rows) if hot is None else hot):
         return Framed(df, roles, False)
-    chunks = cut_lineage(_chunk_table(df, roles, back, ahead, rows, bucket_seconds))
-    if chunks.count() <= BROADCAST_ROWS:
-        chunks = F.broadcast(chunks)
+    chunks = broadcast_if_small(_chunk_table(df, roles, back, ahead, rows, bucket_seconds), "chunks")
     one = F.array(F.struct(F.lit(0).cast("bigint").alias(CHUNK), F.lit(False).alias(HALO)))
     out = (
         df.withColumn(BUCKET, F.floor(epoch_seconds(roles.ts) / bucket_seconds))

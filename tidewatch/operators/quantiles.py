@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.session import broadcast_if_small
+
 SKETCH_ACCURACY = 10_000
 #: Bracket half-width in ranks: several times the sketch's error bound.
 MARGIN = 4.0 / SKETCH_ACCURACY
@@ -42,7 +44,8 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
     high = [F.when(small | F.lit(p >= 1 - MARGIN), F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]) for i, p in enumerate(probs)]
     brackets = sketch.select(*by, "_n", F.array(*low).alias("_lo"), F.array(*high).alias("_hi"))
     if by:
-        rows = vals.join(brackets, by)
+        # Few groups (classes, metrics) must not shuffle the table on them.
+        rows = vals.join(broadcast_if_small(brackets, "brackets"), by)
     else:
         rows = vals.withColumn("_x", brackets.select(F.struct("_n", "_lo", "_hi").alias("x")).scalar()).select("_v", "_x.*")
     # Values in a bracket are kept; the others only counted, per gap between brackets.

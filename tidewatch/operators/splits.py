@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.frames import global_running, running_sum
 from tidewatch.roles import DEFAULT_ROLES, Roles
+from tidewatch.session import broadcast_if_small
 
 
 def chronological_split(df: DataFrame, ts: str = "ts", train_days: int = 21, val_days: int = 4) -> DataFrame:
@@ -41,7 +42,8 @@ def fractional_split(df: DataFrame, fraction: float = 0.7, roles: Roles = DEFAUL
     ends = global_running(counts, {"_n": "_end"}, [roles.entity], F.col("_range"))
     limit = df.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction))).scalar()
     ranked = running_sum(df.withColumn("_one", F.lit(1)), {"_one": "_place"}, roles, **kw)
-    out = ranked.join(ends.select(roles.entity, (F.col("_end") - F.col("_n")).alias("_offset")), roles.entity)
+    offsets = ends.select(roles.entity, (F.col("_end") - F.col("_n")).alias("_offset"))
+    out = ranked.join(broadcast_if_small(offsets, "offsets"), roles.entity)
     return out.withColumn("in_train", F.col("_offset") + F.col("_place") <= limit).drop("_one", "_place", "_offset")
 
 

@@ -12,6 +12,7 @@ from tidewatch.functions.numeric import ratio
 from tidewatch.functions.times import day_start, round_hour
 from tidewatch.operators.quantiles import quantile_table
 from tidewatch.roles import DEFAULT_ROLES, Roles
+from tidewatch.session import broadcast_if_small
 
 
 def entity_baseline(df: DataFrame, roles: Roles = DEFAULT_ROLES, latency: str = "avg_latency_us",
@@ -92,7 +93,7 @@ def box_statistics(df: DataFrame, columns: list[str], by: str = "workload_type",
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(by, F.explode(cells).alias("_m")).select(by, "_m.*").where("x IS NOT NULL")
-    # The quartile table has one row per class and metric, a handful.
+    q = broadcast_if_small(q, "quartiles")
     inside = (F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach)
     return long.join(q, [by, "metric"]).groupBy(by, "metric", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("x"))).alias("low_whisker"), F.max(F.when(inside, F.col("x"))).alias("high_whisker"),
