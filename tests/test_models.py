@@ -9,7 +9,6 @@ from tidewatch.operators.forest import _grow, average_path, fit_forest
 from tidewatch.operators.sequence_model import fit_sequence_model, last_share, sequence_errors
 from tidewatch.plans.ensemble import run_ensemble
 from tidewatch.plans.fixtures import telemetry
-from tidewatch.roles import Roles
 
 
 @pytest.fixture(scope="module")

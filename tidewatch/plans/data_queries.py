@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.functions.numeric import round_half_up as rnd
 from tidewatch.operators import clean, features, splits

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import round_half_up as rnd
-from tidewatch.operators import features, forecast, summaries, whatif
+from tidewatch.operators import forecast, summaries, whatif
 from tidewatch.operators.windows import latest_rows
-from tidewatch.plans.fixtures import CAP_SQL, E_SQL, EVENTS, T_SQL, R, capacity, events, table, telemetry
+from tidewatch.plans.fixtures import CAP_SQL, E_SQL, EVENTS, R, capacity, events, table, telemetry
 from tidewatch.plans.registry import query
 from tidewatch.plans.summary_queries import DENSE_SQL, LATEST_SQL, WC, WE, WT, r4
 from tidewatch.plans.topology_queries import UTIL, place, utilization
-from tidewatch.roles import Roles
 
 RECENT_SQL = f"{DENSE_SQL}, rd AS (SELECT * FROM dc QUALIFY ROW_NUMBER() OVER (PARTITION BY volume_id ORDER BY day DESC) <= 20)"
 TREND_SQL = f"""{RECENT_SQL}, xy AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY volume_id ORDER BY day) - 1 AS x FROM rd),

@@ -9,12 +9,11 @@ from tidewatch.operators import classify_results, forecast, policy, summaries, t
 from tidewatch.operators.windows import latest_rows
 from tidewatch.plans import views
 from tidewatch.plans.detection_queries import RAW_SQL, SCORES_SQL, SEV, WITH_SCORES, fused, scores
-from tidewatch.plans.fixtures import A_SQL, CAP_SQL, CLASSES, E_SQL, EVENTS, REP_SQL, T_SQL, R, actions, capacity, events, predictions, replicas, table, telemetry
+from tidewatch.plans.fixtures import A_SQL, CAP_SQL, E_SQL, EVENTS, T_SQL, R, actions, capacity, events, predictions, replicas, table, telemetry
 from tidewatch.plans.forecast_queries import LAT_SQL, SLO, TREND_SQL, TTV_SQL, demand, latency, recent, violation
 from tidewatch.plans.registry import query
 from tidewatch.plans.summary_queries import LATEST_SQL, WA, WP, WT, class_sql, r4
 from tidewatch.plans.topology_queries import CAPVOL, VC, GROUPS, PAIRS, PLACE, TARGET, UTIL, pairs, place, utilization, volume_capacity
-from tidewatch.roles import Roles
 
 
 def ctes(*parts: str) -> str:

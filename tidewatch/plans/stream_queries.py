@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.numeric import round_half_up as rnd
 from tidewatch.plans.data_queries import HIGH, JSON_FIELDS, LOW, json_events
 from tidewatch.plans.detection_queries import WITH_SCORES
-from tidewatch.plans.fixtures import EVENTS, T_SQL, R, table, telemetry
+from tidewatch.plans.fixtures import EVENTS, R, table, telemetry
 from tidewatch.plans.registry import query
 from tidewatch.session import shared_folder
 from tidewatch.streaming import sinks, sources, state

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numeric import capacity_fraction
 from tidewatch.functions.numeric import round_half_up as rnd
 from tidewatch.functions.times import day_start, elapsed_minutes, floor_hour, round_hour
 from tidewatch.operators import joins, ranking, sets, summaries, windows
 from tidewatch.operators.splits import latest_tick
-from tidewatch.plans.data_queries import W_SQL
 from tidewatch.plans.detection_queries import WITH_SCORES, scores
 from tidewatch.plans.fixtures import (
     A_SQL, CAP_SQL, CLASSES, E_SQL, EVENTS, P_SQL, T_SQL, R, actions, capacity, events, predictions, table, telemetry,

@@ -8,7 +8,7 @@ from tidewatch.functions.numeric import round_half_up as rnd
 from tidewatch.operators import neighbors, ranking, topology
 from tidewatch.operators.windows import latest_rows
 from tidewatch.plans.detection_queries import WITH_SCORES, scores
-from tidewatch.plans.fixtures import A_SQL, CAP_SQL, REP_SQL, T_SQL, R, actions, capacity, replicas, table, telemetry
+from tidewatch.plans.fixtures import A_SQL, CAP_SQL, REP_SQL, R, actions, capacity, replicas, table, telemetry
 from tidewatch.plans.registry import query
 from tidewatch.plans.summary_queries import BASE_SQL, LATEST_SQL, WT, r4
 
