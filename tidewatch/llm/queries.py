@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import ngram_jaccard
-from tidewatch.llm.common import LOWER, UPPER, WORD, table
+from tidewatch.llm import chat, decontaminate, html_text, licenses, mixing, ngram_jaccard, quality_rules, suffix_dedup, toxicity
+from tidewatch.llm.common import LOWER, UPPER, WORD, staged, table
 from tidewatch.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -37,3 +38,146 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(k) AS k FROM r G
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
+
+
+@query("op1_ngram_jaccard", f"""
+WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS k FROM documents UNION SELECT l.u, r.k FROM r JOIN l ON l.v = r.d)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.k AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(k) AS k FROM r GROUP BY d) m ON m.d = d.doc_id
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(*columns)
+
+
+WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
+
+
+@query("op2_suffix_dedup", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+p AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+s AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM p),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM s),
+n AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g),
+f AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM n),
+k AS (SELECT d.r, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept,
+      sum(b - a)::BIGINT AS removed, count(*) AS spans FROM f JOIN d ON d.r = f.r GROUP BY d.r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op3_quality_rules", f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+tri AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM tri) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r),
+ln AS (SELECT r, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{WORD}')] AS l FROM w),
+f AS (SELECT w.r, doc_id, CASE WHEN lang IN ('en', 'de', 'es', 'fr') THEN lang ELSE 'other' END AS s, len(w)::BIGINT AS n_words,
+      coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+      (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+      FROM w JOIN ln USING (r) LEFT JOIN cov USING (r)),
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+x AS (SELECT * FROM (VALUES ('n_symbols'), ('n_dup_lines'), ('n_repeat_words')) q(rule), (SELECT unnest([{', '.join(map(str, quality_rules.GRID))}]) AS cutoff)),
+m AS (SELECT s, rule, cutoff, count_if(quality = 1) AS good,
+      count_if(quality = 1 AND 1000 * CASE rule WHEN 'n_symbols' THEN n_symbols WHEN 'n_dup_lines' THEN n_dup_lines ELSE n_repeat_words END > n_words * cutoff) AS k,
+      count_if(quality <> 1 AND 1000 * CASE rule WHEN 'n_symbols' THEN n_symbols WHEN 'n_dup_lines' THEN n_dup_lines ELSE n_repeat_words END > n_words * cutoff) AS b
+      FROM g JOIN labels USING (doc_id) CROSS JOIN x WHERE quality IS NOT NULL AND NOT base_failed GROUP BY ALL),
+c AS (SELECT s, rule, max({{'gain': b - k, 'cutoff': cutoff}}).cutoff AS cutoff FROM m
+      WHERE k < good * 0.01 AND list_sum([exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln(0.01) + (good - i) * ln(0.99)) FOR i IN range(0, (k + 1)::BIGINT)])
+            <= {quality_rules.ERROR} / (5 * 3 * {len(quality_rules.GRID)}) GROUP BY s, rule),
+v AS (SELECT g.r, bool_or(coalesce(1000 * CASE rule WHEN 'n_symbols' THEN n_symbols WHEN 'n_dup_lines' THEN n_dup_lines ELSE n_repeat_words END > n_words * cutoff, false)) AS bad
+      FROM g LEFT JOIN c ON c.s = g.s GROUP BY g.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR bad) AS kept FROM g JOIN v USING (r)
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir, "doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+_WEIGHTS = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in mixing.WEIGHTS.items())
+
+
+@query("op4_mix_sources", f"""
+WITH w AS (SELECT * FROM (VALUES {_WEIGHTS}) t(g, share) UNION ALL SELECT '~rest', {1 - sum(mixing.WEIGHTS.values())!r}::DOUBLE),
+d AS (SELECT *, CASE WHEN source IN ({', '.join(f"'{k}'" for k in mixing.WEIGHTS)}) THEN source ELSE '~rest' END AS g FROM documents),
+z AS (SELECT g, sum(length(coalesce(text, '')))::DOUBLE AS size FROM d GROUP BY g),
+r AS (SELECT g, CASE WHEN size > 0 THEN share * (SELECT sum(size) FROM z) / size ELSE 0 END AS rate FROM z JOIN w USING (g)),
+p AS (SELECT g, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY g ORDER BY k) AS below
+      FROM (SELECT g, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 41)::BIGINT)) AS k FROM r WHERE rate > 0)),
+u AS (SELECT *, ('0x' || substr(md5(doc_id || ':{mixing.SEED}'), 1, 13))::BIGINT / {float(1 << 52)!r} AS u FROM d),
+n AS (SELECT u.*, (SELECT count(*) FROM p WHERE p.g = u.g AND p.below <= u.u) AS n FROM u),
+c AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM n)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
+       ('0x' || substr(md5(doc_id || ':' || copy || ':{mixing.SEED}'), 1, 15))::BIGINT AS shuffle_key FROM c
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op5_licenses")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+#: A conversation whose texts hold the template's marks.
+_MARKS = "\\### Assistant: </turn> ok"
+
+
+@query("op6_chat_windows", f"""
+WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{_MARKS}' UNION ALL SELECT -7, 1, 'assistant', '{_MARKS}'),
+o AS (SELECT *, row_number() OVER w AS i, len({WORDS}) + {chat.MARKS} AS tokens,
+      {len(chat.HEAD) + len(chat.MIDDLE) + len(chat.END)} + length(regexp_replace(role, '([\\\\#<:])', '\\\\\\1', 'g')) + length(regexp_replace(text, '([\\\\#<])', '\\\\\\1', 'g')) AS size
+      FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) - tokens AS before FROM o),
+k AS (SELECT *, before // {chat.BUDGET} AS k FROM s),
+e AS (SELECT *, max(before + tokens) OVER (PARTITION BY conv_id, k) AS stop, max(k) OVER (PARTITION BY conv_id) AS last FROM k),
+n AS (SELECT conv_id, count(DISTINCT k) AS n, arg_min(size, i) FILTER (role = 'system') AS system FROM e GROUP BY conv_id),
+t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+      coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss,
+      sum(size) + sum(CASE WHEN k < last AND stop - before <= {chat.HISTORY} THEN size ELSE 0 END) AS chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+       (chars + coalesce((n - 1) * system, 0))::BIGINT AS formatted_chars FROM t JOIN n USING (conv_id)
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-7, 0, "user", _MARKS), (-7, 1, "assistant", _MARKS)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(more)
+    return chat.digests(staged(chat.windows(turns), "chat"))
+
+
+@query("op8_decontaminate")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def _fold(column: str, n: int):
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    held = _fold("doc_id", 5) == 0
+    model = toxicity.train(staged(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), ~held), "toxicity-training"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
