@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontaminate, html_text, licenses, mixing, ngram_jaccard, quality_rules, suffix_dedup, toxicity
+from tidewatch.llm import chat, context_tree, decontaminate, html_text, licenses, mixing, ngram_jaccard, quality_rules, suffix_dedup, toxicity
 from tidewatch.llm.common import LOWER, UPPER, WORD, staged, table
 from tidewatch.plans.registry import Query
 
@@ -160,6 +160,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(staged(chat.windows(turns), "chat"))
 
 
+def _fold(column: str, n: int):
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+@query("op7_context_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _fold("doc_id", 7) == 2
+    scored = context_tree.scores(_documents(spark, sf_dir, "doc_id", "text"), ~held)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op8_decontaminate")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -170,10 +181,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-def _fold(column: str, n: int):
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
-
-
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
