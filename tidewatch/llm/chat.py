@@ -80,7 +80,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """``(conv, window, place, role, text, loss)``: the turns of each window's own, parsed and unescaped."""
-    rows = formatted.select(F.col(conv_col), "window", "formatted", F.posexplode("spans").alias("place", "s")).where("s.own")
+    rows = formatted.select(F.col(conv_col), "window", "formatted", F.posexplode_outer("spans").alias("place", "s")).where("s.own")
     rows = rows.select(conv_col, "window", "place", F.expr("substring(formatted, s.start + 1, s.length)").alias("piece"), F.col("s.loss").alias("loss"))
     rows = rows.withColumn("head", F.regexp_extract("piece", r"^### ((?:[^\\:]+|\\.)*+): ", 1))
     body = F.expr(f"substring(piece, length(head) + {len(HEAD) + len(MIDDLE) + 1}, length(piece) - length(head) - {len(HEAD) + len(MIDDLE) + len(END)})")

@@ -64,7 +64,7 @@ def pairs(text: Column) -> Column:
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(_id, _line, _pairs)`` of the lines that have a pair of words."""
-    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("_line", "_text"))
+    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("_line", "_text"))
     clean = F.trim(F.regexp_replace(F.lower("_text"), r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])", " "))
     split = lines.select("_id", "_line", F.split(clean, " +").alias("_w"))
     return split.where("size(_w) > 1").select("_id", "_line", "_w", F.expr("transform(slice(_w, 2, size(_w) - 1), (w, i) -> concat(get(_w, i), ' ', w))").alias("_pairs"))
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     weights, classes, intercepts, cutoff = train(docs, id_col, text_col)
     lines = paragraphs(docs, id_col, text_col)
     # at most MOST_PAIRS weights
-    hits = (lines.select("_id", "_line", F.explode(F.array_distinct("_pairs")).alias("pair")).join(F.broadcast(weights), "pair")
+    hits = (lines.select("_id", "_line", F.explode_outer(F.array_distinct("_pairs")).alias("pair")).join(F.broadcast(weights), "pair")
             .groupBy("_id", "_line").agg(F.collect_set("pair").alias("found"), *[F.sum(F.col("w")[i]).alias(f"m{i}") for i in range(len(classes))]))
     margin = F.array(*[F.col(f"m{i}") + F.lit(intercepts[i]) for i in range(len(classes))])
     scored = hits.select("_id", "_line", "found", margin.alias("m"))

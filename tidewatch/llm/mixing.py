@@ -61,6 +61,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     rows = docs.withColumn("__mix_at", group).join(F.broadcast(rate), F.col("__mix_at") == F.col("__mix_group"))
     rows = rows.withColumn("__mix_u", fraction(key, F.lit(seed)))
     rows = rows.withColumn("__mix_n", F.coalesce(F.expr("size(filter(__mix_below, p -> p <= __mix_u))"), F.lit(0)))
-    rows = rows.where("__mix_n > 0 AND __mix_rate > 0").withColumn("copy", F.explode(F.expr("sequence(1, __mix_n)")))
+    rows = rows.where("__mix_n > 0 AND __mix_rate > 0").withColumn("copy", F.explode_outer(F.expr("sequence(1, __mix_n)")))
     rows = rows.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", key, F.col("copy").cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("long"))
     return rows.select(*columns, "copy", "shuffle_key").repartition(parts(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
