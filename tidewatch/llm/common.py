@@ -16,13 +16,23 @@ SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Texts are worked on in runs of about this many bytes (one longer text stays whole).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that Spark hands to a Python task at once, where the session has no choice of its own.
+ARROW_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: fewer of them at once keep the Python workers small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder, read it back, and let go of what made it.
 

@@ -5,7 +5,8 @@ trained on variants of licence notices (words left out by rule) and on paragraph
 bounded sample of the corpus, as class "none". L1 keeps few weights; they are joined
 to the exploded word pairs of every paragraph, and only sums per paragraph are grouped.
 
-A paragraph is licence text when "none" has less than half of the probability. Its
+A paragraph is licence text when "none" has less than half of the probability and at
+least ``HINT`` of the word pairs of a template are there. Its
 family counts when its probability reaches the cutoff that held-out variants and
 paragraphs select (the lowest with at most ``ERROR`` wrong families among those
 accepted) and when it holds at least ``CONFIRM`` of the word pairs of one of the
@@ -48,8 +49,9 @@ TEMPLATES = {
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "proprietary": ["All rights reserved. No part of this work may be reproduced without permission of the copyright holder."],
 }
-#: Variants of each template, documents sampled for class "none", share of wrong families allowed, template share that confirms.
-VARIANTS, SAMPLE, ERROR, CONFIRM = 40, 1000, 0.01, 0.6
+#: Variants of each template, documents sampled for class "none", share of wrong families allowed,
+#: template share that confirms, and that a licence of unknown family has at least.
+VARIANTS, SAMPLE, ERROR, CONFIRM, HINT = 40, 1000, 0.01, 0.6, 0.3
 NONE, UNKNOWN = "none", "unknown"
 #: Only so many word pairs have weights.
 MOST_PAIRS = 5000
@@ -133,7 +135,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     templates = _templates(spark).groupBy(F.col("family").alias("guess")).agg(F.collect_list("template").alias("templates"))
     licence = licence.join(F.broadcast(templates), "guess", "left")
     share = F.expr("array_max(transform(templates, t -> size(array_intersect(t, found)) / size(t)))")
-    licence = licence.withColumn("confirmed", (F.col("probability") >= cutoff) & (F.coalesce(share, F.lit(0.0)) >= CONFIRM))
+    licence = licence.withColumn("share", F.coalesce(share, F.lit(0.0))).where(F.col("share") >= HINT)
+    licence = licence.withColumn("confirmed", (F.col("probability") >= cutoff) & (F.col("share") >= CONFIRM))
     licence = licence.withColumn("family", F.when(F.col("confirmed"), F.col("guess")).otherwise(F.lit(UNKNOWN)))
     best = licence.groupBy("_id").agg(F.count(F.lit(1)).alias("n_licence"), F.max(F.struct(
         "confirmed", "probability", (-F.col("_line")).alias("l"), "family")).alias("b"))

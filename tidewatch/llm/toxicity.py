@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WORD
+from tidewatch.llm.common import WORD, small_batches
 
 TRAINING = 20_000
 #: Weight of the prior in words, and the root of twice the log-likelihood ratio that a form must reach.
@@ -182,6 +182,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 def train(labelled: DataFrame, prior: float = PRIOR) -> Model:
     """A model from ``labelled`` (text, label); the caller bounds its rows."""
+    small_batches(labelled.sparkSession)
     model = Model()
     share = labelled.agg(F.avg("label").cast("double")).first()[0]
     base = min(max(share or 0.0, 1e-6), 1 - 1e-6)
