@@ -1,4 +1,4 @@
-"""Exact quantiles against numpy, sketch path included."""
+"""Exact quantiles against numpy."""
 
 import numpy as np
 import pytest
@@ -10,11 +10,10 @@ from tidewatch.operators.clean import impute_median
 PROBS = {"a": 0.0, "b": 0.02, "c": 0.25, "d": 0.5, "e": 0.95, "f": 0.99, "top": 1.0}
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 500])
-def test_matches_numpy_per_group(spark, monkeypatch, accuracy):
-    # A low accuracy makes groups of this size take the bracket path.
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
-    monkeypatch.setattr(quantiles, "MARGIN", 4.0 / accuracy)
+@pytest.mark.parametrize("ranges", [65_536, 3, 0.01])
+def test_matches_numpy_per_group(spark, monkeypatch, ranges):
+    # Few ranges put many values into each, or all into one.
+    monkeypatch.setattr(quantiles, "RANGES", ranges)
     df = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 40).alias("g"),
         (F.xxhash64("id") % 100_000 / 7).alias("x"))
@@ -27,9 +26,9 @@ def test_matches_numpy_per_group(spark, monkeypatch, accuracy):
 
 
 def test_ties_nulls_and_single_rows(spark):
-    df = spark.createDataFrame([(1, 2.0)] * 5 + [(1, None), (1, float("nan")), (2, 7.0), (3, 1.0), (3, 2.0)], "g int, x double")
+    df = spark.createDataFrame([(1, 2.0)] * 5 + [(1, None), (1, float("nan")), (2, 7.0), (3, 1.0), (3, 2.0), (None, -4.0), (None, 0.0)], "g int, x double")
     rows = {r["g"]: r["m"] for r in quantiles.quantile_table(df, ["x"], {"m": 0.5}, ["g"]).collect()}
-    assert rows == {1: 2.0, 2: 7.0, 3: 1.5}
+    assert rows == {1: 2.0, 2: 7.0, 3: 1.5, None: -2.0}
 
 
 def test_whole_table_scalar(spark):

@@ -99,7 +99,7 @@ def timed(spark, *values):
 def test_late_rows_are_dropped_and_throttle_holds(spark, tmp_path):
     first = timed(spark, ("a", "2026-01-01 10:00:01", 1.0, 1.0), ("a", "2026-01-01 10:00:02", 2.0, 1.0), ("a", "2026-01-01 12:30:00", 3.0, 1.0))
     late = timed(spark, ("a", "2026-01-01 10:00:03", 9.0, 1.0), ("a", "2026-01-01 12:31:00", 4.0, 1.0))
-    for name, build in (("tumbling", state.tumbling), ("throttle", state.throttle)):
+    for name, build in (("tumbling", state.tumbling), ("throttle", lambda s: state.throttle(s, 1))):
         folder = f"{tmp_path}/{name}"
         os.makedirs(f"{folder}/in")
         stream = build(spark.readStream.schema(first.schema).parquet(f"{folder}/in"))
@@ -110,17 +110,38 @@ def test_late_rows_are_dropped_and_throttle_holds(spark, tmp_path):
         if name == "tumbling":
             assert [(r["n"], r["total_iops"]) for r in got.orderBy("from").collect()][0] == (2, 1.5)
         else:
-            assert sorted(r["total_iops"] for r in got.collect()) == [1.0, 3.0, 4.0] or sorted(
-                r["total_iops"] for r in got.collect()) == [2.0, 3.0, 4.0]
-
-
-def test_tick_completeness_and_status(spark, tmp_path):
-    df = timed(spark, ("a", "2026-01-01 10:00:00", 1.0, 1.0), ("b", "2026-01-01 10:00:00", 1.0, 1.0), ("a", "2026-01-01 10:05:00", 1.0, 1.0))
-    df.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    sinks.run_available(state.tick_completeness(stream, 2), f"{tmp_path}/c1", sinks.append_batches(f"{tmp_path}/t"), "update")
-    got = [(r["seen"], r["complete"]) for r in sinks.read_batches(spark, f"{tmp_path}/t").orderBy("ts").collect()]
-    assert got == [(2, True), (1, False)]
-    sinks.run_available(state.ingest_status(stream), f"{tmp_path}/c2", sinks.append_batches(f"{tmp_path}/s"), "complete")
-    r = sinks.read_batches(spark, f"{tmp_path}/s").first()
-    assert (r["events"], r["volumes"]) == (3, 2)
+            assert sorted(r["total_iops"] for r in got.collect()) == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_tables_as_they_stand_after_several_batches(spark, tmp_path):
+    parts = [timed(spark, ("a", "2026-01-01 10:00:00", 1.0, 1.0), ("b", "2026-01-01 10:00:00", 1.0, 1.0)),
+             timed(spark, ("a", "2026-01-01 10:00:00", 3.0, 1.0), ("a", "2026-01-01 10:05:00", 1.0, 1.0))]
+    os.makedirs(f"{tmp_path}/in")
+    stream = spark.readStream.schema(parts[0].schema).parquet(f"{tmp_path}/in")
+    builds = {"ticks": state.tick_completeness(stream, 2), "volumes": state.ingest_by_volume(stream), "tumbling": state.tumbling(stream),
+              "latest": state.latest_state(stream)}
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for name, build in builds.items():
+            sinks.run_available(build, f"{tmp_path}/c-{name}", sinks.append_batches(f"{tmp_path}/{name}"), "update")
+    ticks = sinks.read_newest(spark, f"{tmp_path}/ticks", ["ts"])
+    assert [(r["seen"], r["complete"]) for r in ticks.orderBy("ts").collect()] == [(2, True), (1, False)]
+    assert str(state.latest_complete_tick(ticks).first()[0]) == "2026-01-01 10:00:00"
+    r = state.ingest_status(sinks.read_newest(spark, f"{tmp_path}/volumes", ["volume_id"])).first()
+    assert (r["events"], r["volumes"]) == (4, 2)
+    windows_ = sinks.read_newest(spark, f"{tmp_path}/tumbling", ["from", "volume_id"])
+    assert [(r["volume_id"], r["n"]) for r in windows_.orderBy("volume_id").collect()] == [("a", 3), ("b", 1)]
+    assert sinks.read_newest(spark, f"{tmp_path}/latest", ["volume_id"]).count() == 2
+
+
+def test_throttle_counts_from_the_last_that_passed(spark, tmp_path):
+    parts = [timed(spark, ("a", "2026-01-01 10:00:29", 1.0, 1.0), ("b", "2026-01-01 10:00:00", 1.0, 1.0)),
+             timed(spark, ("a", "2026-01-01 10:00:31", 2.0, 1.0), ("a", "2026-01-01 10:00:59", 3.0, 1.0), ("a", "2026-01-01 10:01:28", 4.0, 1.0)),
+             timed(spark, ("a", "2026-01-01 10:01:29", 5.0, 1.0))]
+    os.makedirs(f"{tmp_path}/in")
+    stream = state.throttle(spark.readStream.schema(parts[0].schema).parquet(f"{tmp_path}/in"))
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        sinks.run_available(stream, f"{tmp_path}/c", sinks.append_batches(f"{tmp_path}/out"))
+    got = sinks.read_batches(spark, f"{tmp_path}/out")
+    assert sorted((r["volume_id"], r["total_iops"]) for r in got.collect()) == [("a", 1.0), ("a", 3.0), ("a", 5.0), ("b", 1.0)]

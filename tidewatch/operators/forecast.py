@@ -16,7 +16,7 @@ from tidewatch.functions.numeric import clip
 from tidewatch.functions.times import floor_hour
 from tidewatch.operators.features import apply_scale, fit_standard_scale
 from tidewatch.operators.quantiles import quantile_rows
-from tidewatch.operators.ranking import by_urgency, category_rank
+from tidewatch.operators.ranking import category_rank
 from tidewatch.operators.summaries import densify, end_of_day, hourly_means
 from tidewatch.roles import DEFAULT_ROLES, POLICY, Roles
 
@@ -275,6 +275,3 @@ def next_hour(df: DataFrame, ts: str = "ts") -> Column:
     newest = df.agg(F.max(ts).alias("_t")).select(floor_hour("_t").alias("_t"))
     return newest.scalar() + F.expr("INTERVAL 1 HOUR")
 
-
-def by_days(df: DataFrame, days: str, entity: str = "volume_id") -> DataFrame:
-    return by_urgency(df, days, [entity])

@@ -26,8 +26,8 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions.times import epoch_seconds
+from tidewatch.operators.quantiles import same
 from tidewatch.roles import DEFAULT_ROLES, Roles
-from tidewatch.session import broadcast_if_small
 
 ROWS_PER_TASK = 2_000_000
 BUCKET_SECONDS = 60
@@ -123,7 +123,7 @@ def framed(df: DataFrame, roles: Roles = DEFAULT_ROLES, back: int = 0, ahead: in
     rows = rows_per_task or ROWS_PER_TASK
     if not (has_hot_entity(df, roles, rows) if hot is None else hot):
         return Framed(df, roles, False)
-    chunks = broadcast_if_small(_chunk_table(df, roles, back, ahead, rows, bucket_seconds), "chunks")
+    chunks = _chunk_table(df, roles, back, ahead, rows, bucket_seconds)
     one = F.array(F.struct(F.lit(0).cast("bigint").alias(CHUNK), F.lit(False).alias(HALO)))
     out = (
         df.withColumn(BUCKET, F.floor(epoch_seconds(roles.ts) / bucket_seconds))
@@ -189,7 +189,8 @@ def global_running(df: DataFrame, sums: dict[str, str], order: list[str], bucket
     ``bucket`` must not decrease along ``order`` and must take few values (for
     example hours of the time span). Totals per bucket are combined over the
     buckets, rows only within their bucket, so no task sees the table.
-    ``keys`` restarts the totals per key.
+    ``keys`` restarts the totals per key. Rows without a bucket are a bucket of
+    their own, before all others.
     """
     keys = keys or []
     maxima = maxima or {}
@@ -208,7 +209,9 @@ def global_running(df: DataFrame, sums: dict[str, str], order: list[str], bucket
     out = df.withColumns({
         **{o: F.sum(c).over(within) for c, o in sums.items()},
         **{o: F.max(c).over(within) for c, o in maxima.items()},
-    }).join(offsets, [*keys, "_b"])
+    })
+    out = out.alias("r").join(offsets.alias("o"), same("r", "o", [*keys, "_b"])).select(
+        "r.*", *[f"o._s_{o}" for o in sums.values()], *[f"o._m_{o}" for o in maxima.values()])
     out = out.withColumns({
         **{o: F.col(o) + F.col(f"_s_{o}") for o in sums.values()},
         **{o: F.greatest(o, f"_m_{o}") for o in maxima.values()},

@@ -1,24 +1,35 @@
 """Exact quantiles without collecting a group.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here a
-sketch (``approx_percentile``, bounded size) brackets each wanted rank; rows
-below the bracket are only counted, and just the values inside it (a few in
-ten thousand) are ranked. The result is the exact quantile with linear
-interpolation. A bracket that misses its rank raises instead of returning a
-wrong value.
+``percentile`` keeps every distinct value of a group in one buffer. Here equal
+values are counted first, map-side combined. A monotone code puts the values of a
+group into ranges (about a hundred-thousandth of their size wide, so their number
+follows the values' magnitude, not the rows). Prefix sums over the ranges say which
+of them hold a wanted rank, and only the distinct values of those are ranked. The
+result is the exact quantile with linear interpolation; NULL groups are groups.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.session import broadcast_if_small
-
 SKETCH_ACCURACY = 10_000
-#: Bracket half-width in ranks: several times the sketch's error bound.
-MARGIN = 4.0 / SKETCH_ACCURACY
+#: Ranges per e-fold of a value, and the size below which values share ranges.
+RANGES, SMALLEST = 65_536, 2.0 ** -20
+
+
+def same(left: str, right: str, names: list[str]) -> Column:
+    """NULL-safe equality of the columns ``names`` of two aliased tables."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names])
+
+
+def value_range(value: str) -> Column:
+    """A whole number that does not decrease with ``value``."""
+    size = F.log1p(F.least(F.abs(value), F.lit(1e300)) / F.lit(SMALLEST))
+    return F.floor(F.signum(value) * size * RANGES)
 
 
 def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
@@ -32,51 +43,36 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
         return est.select(*by, F.explode(F.arrays_zip(
             F.array(*[F.lit(float(p)) for p in probs]).alias("prob"),
             F.col("_q").alias("quantile"))).alias("_e")).select(*by, "_e.prob", "_e.quantile")
-    k = len(probs)
-    marks = [m for p in probs for m in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-    # A group of up to SKETCH_ACCURACY rows is ranked whole.
-    small = F.col("_n") <= SKETCH_ACCURACY
-    sketch = vals.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.approx_percentile("_v", marks, SKETCH_ACCURACY).alias("_marks"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    low = [F.when(small | F.lit(p <= MARGIN), F.col("_min")).otherwise(F.col("_marks")[2 * i]) for i, p in enumerate(probs)]
-    high = [F.when(small | F.lit(p >= 1 - MARGIN), F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]) for i, p in enumerate(probs)]
-    brackets = sketch.select(*by, "_n", F.array(*low).alias("_lo"), F.array(*high).alias("_hi"))
-    if by:
-        # Few groups (classes, metrics) must not shuffle the table on them.
-        rows = vals.join(broadcast_if_small(brackets, "brackets"), by)
-    else:
-        rows = vals.withColumn("_x", brackets.select(F.struct("_n", "_lo", "_hi").alias("x")).scalar()).select("_v", "_x.*")
-    # Values in a bracket are kept; the others only counted, per gap between brackets.
-    inside, gap = F.lit(False), F.lit(0)
-    for i in range(k):
-        inside = inside | ((F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i]))
-        gap = gap + (F.col("_v") > F.col("_hi")[i]).cast("int")
-    counted = (
-        rows.select(*by, "_n", "_v", F.when(inside, F.col("_v")).alias("_value"), F.when(inside, -1).otherwise(gap).alias("_gap"))
-        .groupBy(*by, "_n", "_gap", "_value").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_at"))
-    )
-    upto = W.partitionBy(*by).orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = counted.withColumn("_cum", F.sum("_c").over(upto))
+    # -0.0 and 0.0 are one value
+    counted = vals.groupBy(*by, (F.col("_v") + F.lit(0.0)).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_r", value_range("_v"))
+    ranges = counted.groupBy(*by, "_r").agg(F.sum("_c").alias("_c"))
+    upto = W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranges = ranges.withColumns({"_end": F.sum("_c").over(upto), "_n": F.sum("_c").over(W.partitionBy(*by))})
+    positions = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    holds = F.lit(False)
+    for pos in positions:
+        for rank in (F.floor(pos), F.ceil(pos)):
+            holds = holds | ((F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank))
+    chosen = ranges.where(holds).select(*by, "_r", "_n", (F.col("_end") - F.col("_c")).alias("_before"))
+    near = counted.alias("x").join(chosen.alias("y"), same("x", "y", [*by, "_r"])).select(
+        *[F.col(f"x.{c}").alias(c) for c in by], "x._r", "x._v", "x._c", "y._n", "y._before")
+    within = W.partitionBy(*by, "_r").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = near.withColumn("_cum", F.col("_before") + F.sum("_c").over(within))
 
     def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") > rank, F.struct("_cum", "_value")))
+        return F.min(F.when(F.col("_cum") > rank, F.struct("_cum", "_v")))
 
     aggs = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
+    for i, pos in enumerate(positions):
         aggs += [at_rank(F.floor(pos)).alias(f"_a{i}"), at_rank(F.ceil(pos)).alias(f"_z{i}")]
-    picked = cum.groupBy(*by, "_n").agg(*aggs)
+    picked = near.groupBy(*by, "_n").agg(*aggs)
 
-    def interpolated(i: int, p: float) -> Column:
-        a, z = F.col(f"_a{i}._value"), F.col(f"_z{i}._value")
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-        return F.when(a.isNull() | z.isNull(), missed).otherwise(a + (z - a) * (pos - F.floor(pos)))
+    def interpolated(i: int) -> Column:
+        a, z = F.col(f"_a{i}._v"), F.col(f"_z{i}._v")
+        return a + (z - a) * (positions[i] - F.floor(positions[i]))
 
     return picked.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), interpolated(i, p).alias("quantile"))
+        F.struct(F.lit(float(p)).alias("prob"), interpolated(i).alias("quantile"))
         for i, p in enumerate(probs)])).alias("_e")).select(*by, "_e.*")
 
 

@@ -38,7 +38,8 @@ def first_per(df: DataFrame, category: str, order: list[str]) -> DataFrame:
 
 
 def high_middle_low(df: DataFrame, value: str, key: str, each: int = 2) -> DataFrame:
-    """Largest, middle and smallest ``each`` rows by ``value``, marked with ``band``."""
+    """Largest, middle and smallest ``each`` rows by ``value``, marked with ``band``; NULL and NaN values are in none."""
+    df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     minus = df.withColumn("_down", -F.col(value)).withColumn("_one", F.lit(1))
     minus = with_key_bucket(minus, "_down", "_range")
     ranked = global_running(minus, {"_one": "_i"}, ["_down", key], F.col("_range"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.frames import global_running, running_sum
 from tidewatch.roles import DEFAULT_ROLES, Roles
-from tidewatch.session import broadcast_if_small
 
 
 def chronological_split(df: DataFrame, ts: str = "ts", train_days: int = 21, val_days: int = 4) -> DataFrame:
@@ -21,14 +20,16 @@ def chronological_split(df: DataFrame, ts: str = "ts", train_days: int = 21, val
     return df.withColumn("_start", start).withColumn("split", split).drop("_start")
 
 
-def with_key_bucket(df: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
-    """Add ``name``: which of about ``buckets`` ranges of ``key``'s order a row is in."""
-    if dict(df.dtypes)[key] == "string":
-        return df.withColumn(name, F.substring(key, 1, 6))
-    marks = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.approx_percentile(key, marks, 4 * buckets)).scalar()
-    return df.withColumn("_cuts", F.array_distinct(cuts)).withColumn(
-        name, F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
+def with_key_bucket(df: DataFrame, key: str, name: str, buckets: int = 1024) -> DataFrame:
+    """Add ``name``: which of at most ``buckets`` ranges of ``key``'s order a row is in; NULL keys have none.
+
+    The ranges end at keys drawn by their hash, so they follow the keys of any
+    type, however alike these begin.
+    """
+    drawn = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(buckets - 1)
+    cuts = drawn.agg(F.sort_array(F.collect_list(key)).alias("_cuts")).scalar()
+    return df.withColumn("_cuts", cuts).withColumn(
+        name, F.when(F.col(key).isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col(key))))).drop("_cuts")
 
 
 def fractional_split(df: DataFrame, fraction: float = 0.7, roles: Roles = DEFAULT_ROLES, **kw) -> DataFrame:
@@ -43,7 +44,7 @@ def fractional_split(df: DataFrame, fraction: float = 0.7, roles: Roles = DEFAUL
     limit = df.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction))).scalar()
     ranked = running_sum(df.withColumn("_one", F.lit(1)), {"_one": "_place"}, roles, **kw)
     offsets = ends.select(roles.entity, (F.col("_end") - F.col("_n")).alias("_offset"))
-    out = ranked.join(broadcast_if_small(offsets, "offsets"), roles.entity)
+    out = ranked.join(offsets, roles.entity)
     return out.withColumn("in_train", F.col("_offset") + F.col("_place") <= limit).drop("_one", "_place", "_offset")
 
 

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import ratio
 from tidewatch.functions.times import day_start, round_hour
-from tidewatch.operators.quantiles import quantile_table
+from tidewatch.operators.quantiles import quantile_table, same
 from tidewatch.roles import DEFAULT_ROLES, Roles
-from tidewatch.session import broadcast_if_small
 
 
 def entity_baseline(df: DataFrame, roles: Roles = DEFAULT_ROLES, latency: str = "avg_latency_us",
@@ -80,7 +79,8 @@ def class_statistics(df: DataFrame, columns: list[str], by: str = "workload_type
     stats = long.groupBy(by, "metric").agg(
         F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"), F.max("x").alias("max"))
-    return stats.join(quantile_table(df, columns, {"median": 0.5}, [by], method), [by, "metric"])
+    q = quantile_table(df, columns, {"median": 0.5}, [by], method)
+    return stats.alias("s").join(q.alias("q"), same("s", "q", [by, "metric"])).select("s.*", "q.median")
 
 
 def class_counts(df: DataFrame, by: str = "workload_type") -> DataFrame:
@@ -93,9 +93,9 @@ def box_statistics(df: DataFrame, columns: list[str], by: str = "workload_type",
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(by, F.explode(cells).alias("_m")).select(by, "_m.*").where("x IS NOT NULL")
-    q = broadcast_if_small(q, "quartiles")
     inside = (F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach)
-    return long.join(q, [by, "metric"]).groupBy(by, "metric", "q1", "median", "q3").agg(
+    rows = long.alias("l").join(q.alias("q"), same("l", "q", [by, "metric"])).select("l.*", "q.q1", "q.median", "q.q3")
+    return rows.groupBy(by, "metric", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("x"))).alias("low_whisker"), F.max(F.when(inside, F.col("x"))).alias("high_whisker"),
         F.count_if(~inside).alias("outliers"))
 
@@ -205,7 +205,8 @@ def status_counts(actions: DataFrame) -> DataFrame:
 
 def score_by_truth(df: DataFrame, score: str, truth: str, method: str = "exact") -> DataFrame:
     mean = df.groupBy(truth).agg(F.avg(score).alias("mean"), F.count(F.lit(1)).alias("n"))
-    return mean.join(quantile_table(df, [score], {"median": 0.5}, [truth], method).drop("metric"), truth)
+    q = quantile_table(df, [score], {"median": 0.5}, [truth], method)
+    return mean.alias("m").join(q.alias("q"), same("m", "q", [truth])).select("m.*", "q.median")
 
 
 def fleet_kpi(df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +22,6 @@ MODEL_METRICS = [
 ]
 
 
-@dataclass(frozen=True)
-class EnsembleRun:
-    results: DataFrame
-    flags: list[str]
-
-
 def mark_train(df: DataFrame, by_entity: bool, fraction: float, roles: Roles) -> DataFrame:
     """Add ``in_train``: the first ``fraction`` of the time span, or of rows in entity order."""
     if by_entity:

@@ -36,7 +36,7 @@ def _(spark, d):
 
 
 def ensemble_results(spark, d):
-    return run_ensemble(telemetry(spark, d), trees=50)
+    return run_ensemble(telemetry(spark, d))
 
 
 @query("detector_ensemble_run")

@@ -19,8 +19,21 @@ def place(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def in_parts(df, folder: str, parts: int = 3, ts: str = "ts"):
+    """``df`` as a stream of ``parts`` files in time order, one micro-batch each."""
+    spark = df.sparkSession
+    shares = [i / parts for i in range(1, parts)]
+    cuts = df.agg(F.approx_percentile(F.unix_micros(F.col(ts).cast("timestamp")), shares)).first()[0] or [0] * (parts - 1)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.where(at > low)
+        part = part if high is None else part.where((at <= high) | at.isNull() if low is None else at <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
 def event_stream(spark, d, folder: str, marker: bool = False):
-    """The events as a stream of parquet files.
+    """The events as a stream of files, over several micro-batches.
 
     ``marker`` adds one later event of no volume: the time it brings closes
     every window before it.
@@ -31,13 +44,15 @@ def event_stream(spark, d, folder: str, marker: bool = False):
     if marker:
         late = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
         e = e.unionByName(late, allowMissingColumns=True)
-    e.write.parquet(f"{folder}/in")
-    return spark.readStream.schema(e.schema).parquet(f"{folder}/in")
+    return in_parts(e, folder)
 
 
-def run(spark, df, folder: str, mode: str = "append"):
+def run(spark, df, folder: str, mode: str = "append", keys: list[str] | None = None):
+    """What a stream has put out when all has arrived; ``keys`` name the rows that update mode replaces."""
     sinks.run_available(df, f"{folder}/checkpoint", sinks.append_batches(f"{folder}/out"), mode)
-    return sinks.read_batches(spark, f"{folder}/out")
+    if mode == "update":
+        return sinks.read_newest(spark, f"{folder}/out", keys)
+    return sinks.read_batches(spark, f"{folder}/out") if mode == "append" else sinks.read_last(spark, f"{folder}/out")
 
 
 IOPS = "CASE WHEN event_id % 6 > 1 THEN CASE WHEN value < 5 THEN 5 WHEN value > 200 THEN 200 ELSE value END ELSE 0 END"
@@ -66,7 +81,7 @@ def _(spark, d):
 @query("stream_latest_state", """SELECT user_id AS volume_id, event_id, value AS total_iops FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def _(spark, d):
     folder = place(spark)
-    return run(spark, state.latest_state(event_stream(spark, d, folder)), folder, "update").select("volume_id", "event_id", "total_iops")
+    return run(spark, state.latest_state(event_stream(spark, d, folder)), folder, "update", ["volume_id"]).select("volume_id", "event_id", "total_iops")
 
 
 @query("stream_history", """SELECT user_id AS volume_id, event_id FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20""")
@@ -77,30 +92,37 @@ def _(spark, d):
     return sinks.read_version(spark, f"{folder}/history", last, stream.schema).select("volume_id", "event_id")
 
 
-@query("stream_tick_completeness", """SELECT ts, COUNT(DISTINCT user_id) AS seen, COUNT(DISTINCT user_id) >= 1 AS complete FROM events GROUP BY 1""")
+TICK = "TIME_BUCKET(INTERVAL 6 HOUR, ts)"
+
+
+@query("stream_tick_completeness", f"""WITH t AS (SELECT {TICK} AS ts, COUNT(DISTINCT user_id) AS seen FROM events GROUP BY 1)
+SELECT ts, seen, seen >= 5 AS complete, ts = (SELECT MAX(ts) FROM t WHERE seen >= 5) AS latest FROM t""")
 def _(spark, d):
     folder = place(spark)
-    t = run(spark, state.tick_completeness(event_stream(spark, d, folder), 1), folder, "update")
-    return t.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "seen", "complete")
+    events = event_stream(spark, d, folder).withColumn("ts", F.window("ts", "6 hours")["start"])
+    t = run(spark, state.tick_completeness(events, 5, watermark="6 hours"), folder, "update", ["ts"])
+    newest = state.latest_complete_tick(t).scalar()
+    return t.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "seen", "complete", F.coalesce(F.col("ts") == newest, F.lit(False)).alias("latest"))
 
 
-@query("stream_ingest_status", "SELECT COUNT(*) AS events, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM events")
+@query("stream_ingest_status", "SELECT COUNT(*) AS events, COUNT(DISTINCT user_id) AS volumes, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM events")
 def _(spark, d):
     folder = place(spark)
-    s = run(spark, state.ingest_status(event_stream(spark, d, folder)), folder, "complete")
-    return s.select("events", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+    s = state.ingest_status(run(spark, state.ingest_by_volume(event_stream(spark, d, folder)), folder, "update", ["volume_id"]))
+    return s.select("events", "volumes", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
 
 
-@query("stream_throttle", """SELECT user_id AS volume_id, COUNT(DISTINCT FLOOR(EPOCH(ts) / 3600)) AS n FROM events GROUP BY 1""")
+@query("stream_throttle", """WITH RECURSIVE p AS (SELECT user_id, MIN(ts) AS ts FROM events GROUP BY 1
+UNION ALL SELECT p.user_id, (SELECT MIN(e.ts) FROM events e WHERE e.user_id = p.user_id AND e.ts >= p.ts + INTERVAL 90 MINUTE) FROM p WHERE p.ts IS NOT NULL)
+SELECT user_id AS volume_id, ts FROM p WHERE ts IS NOT NULL""")
 def _(spark, d):
     folder = place(spark)
-    kept = run(spark, state.throttle(event_stream(spark, d, folder), 3600), folder)
-    return kept.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = run(spark, state.throttle(event_stream(spark, d, folder), 5400), folder)
+    return kept.select("volume_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 def telemetry_stream(spark, d, folder: str):
-    telemetry(spark, d).write.parquet(f"{folder}/in")
-    return spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    return in_parts(telemetry(spark, d), folder)
 
 
 @query("stream_online_scores", f"{WITH_SCORES} SELECT volume_id, ts, {R('hotspot_score', 4)} AS hotspot_score FROM s")
@@ -141,7 +163,7 @@ def _(spark, d):
 
 def _window_query(spark, d, build):
     folder = place(spark)
-    out = run(spark, build(event_stream(spark, d, folder)), folder, "update")
+    out = run(spark, build(event_stream(spark, d, folder)), folder, "update", ["from", "volume_id"])
     cols = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("from", "to") if c in out.columns]
     return out.select(*cols, "volume_id", "n", rnd(F.col("total_iops"), 4).alias("total_iops"), "max_latency_us")
 

@@ -8,12 +8,12 @@ from tidewatch.functions.numeric import round_half_up as rnd
 from tidewatch.functions.times import day_start, elapsed_minutes, floor_hour, round_hour
 from tidewatch.operators import joins, ranking, sets, summaries, windows
 from tidewatch.operators.splits import latest_tick
+from tidewatch.plans.data_queries import FULL, telemetry_with_capacity
 from tidewatch.plans.detection_queries import WITH_SCORES, scores
 from tidewatch.plans.fixtures import (
     A_SQL, CAP_SQL, CLASSES, E_SQL, EVENTS, P_SQL, T_SQL, R, actions, capacity, events, predictions, table, telemetry,
 )
 from tidewatch.plans.registry import query
-from tidewatch.session import stage
 
 WT = f"WITH t AS ({T_SQL})"
 WE = f"WITH e AS ({E_SQL})"
@@ -137,7 +137,9 @@ def _(spark, d):
     return h.select("volume_id", "hour", *r4(h, "total_iops", "avg_latency_us"))
 
 
-KEY = ["total_iops", "avg_latency_us", "total_throughput_mbps"]
+KEY = ["total_iops", "avg_latency_us", "total_throughput_mbps", "sequential_ratio"]
+#: With the volume's capacity, the five of the class statistics.
+KEY_FULL = [*KEY, "capacity_used_pct"]
 
 
 @query("aggregate_class_means", f"{WT} SELECT workload_type, {', '.join(R(f'AVG({m})', 4) + f' AS {m}' for m in KEY)} FROM t GROUP BY 1")
@@ -146,11 +148,11 @@ def _(spark, d):
     return m.select("workload_type", *r4(m, *KEY))
 
 
-@query("aggregate_class_statistics", WT + " " + " UNION ALL ".join(
+@query("aggregate_class_statistics", f"WITH {FULL} " + " UNION ALL ".join(
     f"""SELECT workload_type, '{m}' AS metric, COUNT({m}) AS count, {R(f'AVG({m})', 4)} AS mean, {R(f'MEDIAN({m})', 4)} AS median,
-    {R(f'STDDEV_SAMP({m})', 4)} AS std, MIN({m}) AS min, MAX({m}) AS max FROM t GROUP BY 1""" for m in KEY))
+    {R(f'STDDEV_SAMP({m})', 4)} AS std, MIN({m}) AS min, MAX({m}) AS max FROM f GROUP BY 1""" for m in KEY_FULL))
 def _(spark, d):
-    s = summaries.class_statistics(stage(telemetry(spark, d).select("workload_type", *KEY), "telemetry"), KEY)
+    s = summaries.class_statistics(telemetry_with_capacity(spark, d).select("workload_type", *KEY_FULL), KEY_FULL)
     return s.select("workload_type", "metric", "count", *r4(s, "mean", "median", "std"), "min", "max")
 
 
@@ -159,19 +161,20 @@ def _(spark, d):
     return summaries.class_counts(events(spark, d))
 
 
-@query("aggregate_box_statistics", WE + f""", q AS (SELECT workload_type, QUANTILE_CONT(total_iops, 0.25) AS q1, MEDIAN(total_iops) AS median,
-  QUANTILE_CONT(total_iops, 0.75) AS q3 FROM e GROUP BY 1)
-SELECT e.workload_type, 'total_iops' AS metric, {R('q1', 4)} AS q1, {R('median', 4)} AS median, {R('q3', 4)} AS q3,
-  MIN(CASE WHEN total_iops >= q1 - 1.5*(q3-q1) AND total_iops <= q3 + 1.5*(q3-q1) THEN total_iops END) AS low_whisker,
-  MAX(CASE WHEN total_iops >= q1 - 1.5*(q3-q1) AND total_iops <= q3 + 1.5*(q3-q1) THEN total_iops END) AS high_whisker,
-  SUM(CASE WHEN total_iops >= q1 - 1.5*(q3-q1) AND total_iops <= q3 + 1.5*(q3-q1) THEN 0 ELSE 1 END) AS outliers
-FROM e JOIN q ON e.workload_type = q.workload_type GROUP BY e.workload_type, q1, median, q3""")
+@query("aggregate_box_statistics", f"WITH {FULL} " + " UNION ALL ".join(
+    f"""SELECT f.workload_type, '{m}' AS metric, {R('q1', 4)} AS q1, {R('median', 4)} AS median, {R('q3', 4)} AS q3,
+  {R(f'MIN(CASE WHEN {m} >= q1 - 1.5*(q3-q1) AND {m} <= q3 + 1.5*(q3-q1) THEN {m} END)', 4)} AS low_whisker,
+  {R(f'MAX(CASE WHEN {m} >= q1 - 1.5*(q3-q1) AND {m} <= q3 + 1.5*(q3-q1) THEN {m} END)', 4)} AS high_whisker,
+  SUM(CASE WHEN {m} >= q1 - 1.5*(q3-q1) AND {m} <= q3 + 1.5*(q3-q1) THEN 0 ELSE 1 END) AS outliers
+FROM f JOIN (SELECT workload_type, QUANTILE_CONT({m}, 0.25) AS q1, MEDIAN({m}) AS median, QUANTILE_CONT({m}, 0.75) AS q3 FROM f GROUP BY 1) q
+  ON f.workload_type = q.workload_type WHERE {m} IS NOT NULL GROUP BY f.workload_type, q1, median, q3""" for m in KEY_FULL))
 def _(spark, d):
-    b = summaries.box_statistics(events(spark, d), ["total_iops"])
-    return b.select("workload_type", "metric", *r4(b, "q1", "median", "q3"), "low_whisker", "high_whisker", "outliers")
+    b = summaries.box_statistics(telemetry_with_capacity(spark, d).select("workload_type", *KEY_FULL), KEY_FULL)
+    return b.select("workload_type", "metric", *r4(b, "q1", "median", "q3"), *r4(b, "low_whisker", "high_whisker"), "outliers")
 
 
-CORR = ["total_iops", "avg_latency_us", "queue_depth", "sequential_ratio"]
+CORR = ["total_iops", "avg_latency_us", "total_throughput_mbps", "queue_depth", "read_iops", "write_iops", "read_write_ratio",
+        "sequential_ratio", "read_latency_p99_us", "write_latency_p99_us"]
 
 
 @query("aggregate_correlations", WT + " " + " UNION ALL ".join(
@@ -202,7 +205,7 @@ def _(spark, d):
   {R('MEDIAN(hotspot_score)', 4)} AS p50, {R('QUANTILE_CONT(hotspot_score, 0.95)', 4)} AS p95,
   {R('QUANTILE_CONT(hotspot_score, 0.99)', 4)} AS p99 FROM s""")
 def _(spark, d):
-    x = summaries.score_distribution(stage(scores(spark, d).select("hotspot_score"), "scores"), "hotspot_score")
+    x = summaries.score_distribution(scores(spark, d).select("hotspot_score"), "hotspot_score")
     return x.select("count", *r4(x, "mean", "std"), "min", *r4(x, "max", "p50", "p95", "p99"))
 
 

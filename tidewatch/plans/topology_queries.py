@@ -211,7 +211,7 @@ def _(spark, d):
 
 @query("neighbor_events", f"""{PAIRS}, {LATEST_SQL}, {UTIL}, ev AS (SELECT aggressor_id, ts, node_id, COUNT(*) AS n_victims, SUM(impact) AS total_impact, ARG_MAX(victim_id, impact) AS worst_victim FROM pr GROUP BY 1, 2, 3)
 SELECT aggressor_id, ts, node_id, n_victims, {R('total_impact', 4)} AS total_impact, worst_victim,
-  'Migrate ' || aggressor_id || ' from ' || node_id || ' to ' || {TARGET.format('ev.node_id')} AS recommendation FROM ev""")
+  'Move volume ' || aggressor_id || ' off node ' || node_id || ' onto node ' || {TARGET.format('ev.node_id')} AS recommendation FROM ev""")
 def _(spark, d):
     e = neighbors.neighbor_events(pairs(spark, d), utilization(spark, d))
     return e.select("aggressor_id", "ts", "node_id", "n_victims", *r4(e, "total_impact"), "worst_victim", "recommendation")

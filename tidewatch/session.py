@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(app: str = "tidewatch", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -44,15 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -63,16 +53,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-#: A join side of up to this many rows may be broadcast (rows here are a few numbers wide).
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
-    """Stage a join side and broadcast it only if its counted rows are few.
-
-    Beyond that the join shuffles on its keys as usual. The count reads file
-    footers, and what made ``df`` runs once.
-    """
-    side = stage(df, name)
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side

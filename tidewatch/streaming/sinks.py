@@ -42,6 +42,20 @@ def read_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).drop("version")
 
 
+def read_newest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """An update-mode output as it stands: for each key the row of its newest batch."""
+    rows = spark.read.parquet(folder)
+    rest = [c for c in rows.columns if c not in (*keys, "version")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_r"))
+    return newest.select(*keys, "_r.*")
+
+
+def read_last(spark: SparkSession, folder: str) -> DataFrame:
+    """A complete-mode output as it stands: the newest batch alone."""
+    rows = spark.read.parquet(folder)
+    return rows.where(F.col("version") == rows.agg(F.max("version")).scalar()).drop("version")
+
+
 def keep_history(folder: str, n: int, roles: Roles = DEFAULT_ROLES) -> Callable[[DataFrame, int], None]:
     """foreachBatch: the newest ``n`` events per entity as one table per batch.
 

@@ -24,23 +24,61 @@ def latest_state(events: DataFrame, entity: str = "volume_id", ts: str = "ts") -
 
 def tick_completeness(events: DataFrame, expected: int, entity: str = "volume_id", ts: str = "ts",
                       watermark: str = "10 minutes") -> DataFrame:
-    """Volumes seen per tick against the expected number; state is dropped behind the watermark."""
-    seen = events.withWatermark(ts, watermark).groupBy(ts).agg(F.approx_count_distinct(entity, 0.01).alias("seen"))
+    """Different volumes seen per tick against the expected number; state is dropped behind the watermark.
+
+    A tick's volumes are its state, one fleet's at most, and counted exactly.
+    """
+    seen = events.withWatermark(ts, watermark).groupBy(ts).agg(F.size(F.collect_set(entity)).cast("long").alias("seen"))
     return seen.withColumn("complete", F.col("seen") >= expected)
 
 
-def ingest_status(events: DataFrame, entity: str = "volume_id", ts: str = "ts") -> DataFrame:
-    """Events so far, live volumes, first and last event time (complete mode)."""
-    return events.groupBy().agg(
-        F.count(F.lit(1)).alias("events"), F.approx_count_distinct(entity, 0.01).alias("volumes"),
-        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+def latest_complete_tick(ticks: DataFrame, ts: str = "ts") -> DataFrame:
+    """The newest tick that all expected volumes have reached, from the ticks as they stand."""
+    return ticks.where("complete").agg(F.max(ts).alias(ts))
+
+
+def ingest_by_volume(events: DataFrame, entity: str = "volume_id", ts: str = "ts") -> DataFrame:
+    """Events so far and first and last event time of each volume (update mode): one row of state each."""
+    return events.groupBy(entity).agg(F.count(F.lit(1)).alias("events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+
+
+def ingest_status(by_volume: DataFrame, entity: str = "volume_id") -> DataFrame:
+    """Events, live volumes, first and last event time, exactly, from the volumes as they stand."""
+    return by_volume.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("events"), F.count(entity).alias("volumes"),
+                         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
 
 
 def throttle(events: DataFrame, seconds: int = 30, entity: str = "volume_id", ts: str = "ts",
              watermark: str = "10 minutes") -> DataFrame:
-    """At most one event per entity and ``seconds`` of event time."""
-    slot = F.window(ts, f"{seconds} seconds")["start"]
-    return events.withWatermark(ts, watermark).withColumn("slot", slot).dropDuplicatesWithinWatermark([entity, "slot"])
+    """An event passes if ``seconds`` of event time went by since the entity's last one that passed.
+
+    State is that last time. It expires when the watermark has gone past what it
+    can hold back; events behind the watermark do not pass.
+    """
+    gap = seconds * 1_000_000
+    schema = ", ".join(f"{c} {t}" for c, t in events.dtypes)
+
+    def passed(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        new = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        times = new[ts].to_numpy().astype("datetime64[us]").astype("int64")
+        behind = state.getCurrentWatermarkMs() * 1000
+        at = int(np.searchsorted(times, max(behind, last + gap if last is not None else behind)))
+        keep = []
+        while at < len(times):
+            keep.append(at)
+            last = int(times[at])
+            at = int(np.searchsorted(times, last + gap))
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last + gap, behind + 1000) // 1000)
+        yield new.iloc[keep]
+
+    return events.withWatermark(ts, watermark).groupBy(entity).applyInPandasWithState(
+        passed, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- windowed aggregates ---------------------------------------------------------------
