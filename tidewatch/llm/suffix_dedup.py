@@ -36,7 +36,7 @@ from tidewatch.llm.common import BASE, BASE_INVERSE, BYTE_CODE, cached_powers, c
 
 LENGTH, GRAM = 200, 24
 #: Different regions of one anchor that are sorted in one place at most.
-MOST_REGIONS = 2000
+MOST_REGIONS = 8000
 #: Bytes that are suffix-sorted together, about (an anchor's regions stay together).
 BLOCK = 1 << 20
 _POSITION = np.uint64((1 << 28) - 1)
