@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BASE, BASE_INVERSE, BYTE_CODE, cached_powers, chunks, mix, staged, unstage
+from tidewatch.llm.common import BASE, BASE_INVERSE, BYTE_CODE, cached_powers, chunks, mix, small_batches, staged, unstage
 
 LENGTH, GRAM = 200, 24
 #: Different regions of one anchor that are sorted in one place at most.
@@ -248,9 +248,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(k1, k2, runs)``: for each document with repeated strings, its runs (first start, number of starts)."""
+    small_batches(docs.sparkSession)
     texts = _keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "_id", "text")
     found = texts.select("k1", "k2", "text").mapInArrow(_region_rows, "anchor long, content long, k1 long, k2 long, lo int, n int")
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # written first, so that adaptive execution can split a hot anchor in the join
+    shared = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
     found = staged(found.join(shared, "anchor"), "regions")
     equal = staged(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo", "n")).alias("r")), "contents")
     whole = found.join(equal.where("c > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("k1", "k2", "lo", "n")
@@ -268,7 +270,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
     crowded = single.where("needed").join(again, ["w1", "w2"]).select("k1", "k2", "lo", F.lit(1).alias("n"))
     runs = staged(whole.unionAll(sorted_).unionAll(crowded).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias("runs")), "runs")
-    unstage(found, equal, bodies)
+    unstage(shared, found, equal, bodies)
     return runs
 
 
