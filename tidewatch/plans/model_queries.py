@@ -1,4 +1,8 @@
-"""Queries of fitted models: checked by properties, not by SQL."""
+"""Queries of fitted models.
+
+Fitted scores differ from fit to fit, so the SQL checks the rows and what must hold of
+the scores: ranges, sums, agreement with the columns beside them.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import classify, features, fusion, splits
 from tidewatch.operators.forest import fit_forest
-from tidewatch.operators.sequence_model import fit_sequence_model, sequence_errors
+from tidewatch.operators.sequence_model import STEPS, fit_sequence_model, sequence_errors
 from tidewatch.operators.windows import latest_rows
 from tidewatch.plans.ensemble import MODEL_METRICS, run_ensemble
-from tidewatch.plans.fixtures import CLASSES, EVENTS, events, telemetry
+from tidewatch.plans.data_queries import LABEL_CASE, SPLIT_CASE
+from tidewatch.plans.fixtures import CLASSES, E_SQL, EVENTS, T_SQL, events, telemetry
 from tidewatch.plans.registry import query
 from tidewatch.session import stage
 
@@ -20,36 +25,62 @@ def staged(spark, d):
     return stage(telemetry(spark, d), "telemetry")
 
 
-@query("detector_isolation_forest")
+def between(column, low: float, high: float):
+    """Whether a fitted figure is there and in its range."""
+    return F.coalesce(F.col(column).between(low, high), F.lit(False))
+
+
+@query("detector_isolation_forest", f"SELECT volume_id, ts, TRUE AS in_range FROM ({T_SQL}) t")
 def _(spark, d):
     t = staged(spark, d)
     train = splits.chronological_split(t, train_days=1500, val_days=300).where("split = 'train'")
     forest = fit_forest(train, MODEL_METRICS, KEYS)
-    return t.select("volume_id", "ts", forest.score(spark).alias("raw_score"))
+    return t.select("volume_id", "ts", forest.score(spark).alias("raw_score")).select("volume_id", "ts", between("raw_score", -1, 0).alias("in_range"))
 
 
-@query("detector_sequence_errors")
+@query("detector_sequence_errors", f"SELECT volume_id, ts, TRUE AS in_range FROM ({T_SQL}) t QUALIFY ROW_NUMBER() OVER (PARTITION BY volume_id ORDER BY ts) >= {STEPS}")
 def _(spark, d):
     t = staged(spark, d)
     train = splits.chronological_split(t, train_days=1500, val_days=300).where("split = 'train'")
-    return sequence_errors(t, fit_sequence_model(train, MODEL_METRICS))
+    errors = sequence_errors(t, fit_sequence_model(train, MODEL_METRICS))
+    return errors.select("volume_id", "ts", between("error", 0, 1e12).alias("in_range"))
 
 
 def ensemble_results(spark, d):
     return run_ensemble(telemetry(spark, d))
 
 
-@query("detector_ensemble_run")
+#: The rows after the first 70 % of the time span.
+LATER_SQL = f"""t AS ({T_SQL}), z AS (SELECT MIN(ts) AS a, MAX(ts) AS b FROM t),
+later AS (SELECT t.* FROM t, z WHERE DATE_DIFF('second', a, ts) >= DATE_DIFF('second', a, b) * 0.7)"""
+SCORED = ["stat_score", "forest_score", "sequence_score", "ensemble_score"]
+
+
+def held(df):
+    """Keys, and whether scores are in range and the gate follows from the columns beside it."""
+    flags = sum((F.coalesce(F.col(f"{c}_flagged"), F.lit(False)).cast("int") for c in ("stat", "forest", "sequence")), F.lit(0))
+    fine = F.lit(True)
+    for c in SCORED:
+        fine = fine & (F.col(c).isNull() | F.col(c).between(0, 100))
+    gate = F.col("is_anomaly") == ((F.col("ensemble_score") >= 40) & (F.col("n_agreeing") >= 1))
+    return df.select(*KEYS, fine.alias("in_range"), (flags == F.col("n_agreeing")).alias("agreement_ok"), gate.alias("gate_ok"),
+                     (F.col("is_anomaly") == (F.col("severity") != "normal")).alias("severity_ok"))
+
+
+HELD_SQL = f"WITH {LATER_SQL} SELECT volume_id, ts, TRUE AS in_range, TRUE AS agreement_ok, TRUE AS gate_ok, TRUE AS severity_ok FROM later"
+
+
+@query("detector_ensemble_run", HELD_SQL)
 def _(spark, d):
-    return ensemble_results(spark, d)
+    return held(ensemble_results(spark, d))
 
 
-@query("detector_meta_learner")
+@query("detector_meta_learner", HELD_SQL)
 def _(spark, d):
     truth = splits.three_sigma_truth(telemetry(spark, d)).select("volume_id", "ts", "truth")
     labelled = stage(ensemble_results(spark, d).join(truth, KEYS), "labelled")
     meta = classify.fit_meta_learner(labelled)
-    return fusion.consensus(meta.score(labelled), ["stat_flagged", "forest_flagged", "sequence_flagged"])
+    return held(fusion.consensus(meta.score(labelled), ["stat_flagged", "forest_flagged", "sequence_flagged"]))
 
 
 def class_table(spark, d):
@@ -60,36 +91,44 @@ def class_table(spark, d):
 CLASS_COLUMNS = ["total_iops", "avg_latency_us", "hour", "day_of_week", "hour_sin", "hour_cos"]
 
 
-@query("classify_workload")
+@query("classify_workload", f"WITH e AS ({E_SQL}) SELECT event_id, {SPLIT_CASE} AS split, {LABEL_CASE} AS label, TRUE AS known_class, TRUE AS sums_to_one, TRUE AS top_is_largest FROM e")
 def _(spark, d):
     t = class_table(spark, d)
     c = classify.fit_classifier(t.where("split = 'train'"), CLASS_COLUMNS, trees=20, depth=5)
-    return c.predict(t).select("event_id", "split", "label", "predicted", F.array_max("probabilities").alias("top_probability"))
+    p = c.predict(t)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    return p.select("event_id", "split", "label", F.col("predicted").isin(*range(len(CLASSES))).alias("known_class"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+                    (F.get("probabilities", F.col("predicted").cast("int")) == F.array_max("probabilities")).alias("top_is_largest"))
 
 
-@query("classify_tuned_split_metrics")
+@query("classify_tuned_split_metrics", f"WITH e AS ({E_SQL}) SELECT DISTINCT {SPLIT_CASE} AS split, TRUE AS in_range FROM e")
 def _(spark, d):
     t = class_table(spark, d)
     c, _ = classify.tune_classifier(t.where("split = 'train'"), t.where("split = 'val'"), CLASS_COLUMNS, trees=(10, 20), depths=(3, 5))
-    return classify.split_metrics(c.predict(t))
+    return classify.split_metrics(c.predict(t)).select("split", (between("accuracy", 0, 1) & between("gap_to_train", -1, 1)).alias("in_range"))
 
 
-@query("rank_feature_importance")
+@query("rank_feature_importance", "SELECT UNNEST(['total_iops', 'avg_latency_us', 'hour', 'day_of_week', 'hour_sin', 'hour_cos']) AS feature, TRUE AS in_range, TRUE AS sums_to_one")
 def _(spark, d):
     t = class_table(spark, d).where("split = 'train'")
-    return classify.fit_classifier(t, CLASS_COLUMNS, trees=20, depth=5).importances()
+    ranked = classify.fit_classifier(t, CLASS_COLUMNS, trees=20, depth=5).importances()
+    total = ranked.agg(F.sum("importance")).scalar()
+    return ranked.select("feature", between("importance", 0, 1).alias("in_range"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
-@query("classify_explanations")
+@query("classify_explanations", f"SELECT event_id, {len(CLASS_COLUMNS)}::INT AS parts, TRUE AS named, TRUE AS largest_first FROM events")
 def _(spark, d):
     t = class_table(spark, d)
     c = classify.fit_classifier(t.where("split = 'train'"), CLASS_COLUMNS, trees=20, depth=5)
     predicted = stage(c.predict(t), "predicted")
     explainer = classify.fit_explainer(predicted.where("split = 'train'"), CLASS_COLUMNS)
-    return classify.explain(predicted, explainer, CLASSES).select("event_id", "predicted", "contributions", "explanation")
+    return classify.explain(predicted, explainer, CLASSES).select(
+        "event_id", F.size("contributions").alias("parts"),
+        F.col("explanation").startswith(F.concat(F.lit("Classified as "), F.get(F.array(*[F.lit(c) for c in CLASSES]), F.col("predicted").cast("int")))).alias("named"),
+        (F.get("contributions", F.lit(0)) == F.array_max("contributions")).alias("largest_first"))
 
 
-@query("view_volume_classes")
+@query("view_volume_classes", "SELECT DISTINCT user_id AS volume_id, TRUE AS sums_to_one, TRUE AS agreement_ok FROM events")
 def _(spark, d):
     t = class_table(spark, d)
     train = t.where("split = 'train'")
@@ -98,4 +137,6 @@ def _(spark, d):
     newest = latest_rows(t, EVENTS)
     out = first.predict(newest).join(
         second.predict(newest).select("volume_id", F.col("predicted").alias("second")), "volume_id")
-    return out.select("volume_id", "predicted", "probabilities", "second", (F.col("predicted") == F.col("second")).alias("agrees"))
+    out = out.select("volume_id", "predicted", "probabilities", "second", (F.col("predicted") == F.col("second")).alias("agrees"))
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    return out.select("volume_id", (F.abs(total - 1) < 1e-9).alias("sums_to_one"), (F.col("agrees") == (F.col("predicted") == F.col("second"))).alias("agreement_ok"))
