@@ -312,12 +312,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept text; bytes of characters that were cut through are left out. Null stays null."""
-    at = docs.columns.index(text_col)
+    at, last = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            kept = [t if not r else kept_bytes(t, r)[3].decode(errors="ignore") for t, r in zip(texts, batch.column(len(docs.columns)).to_pylist())]
+            kept = [t if not r else kept_bytes(t, r)[3].decode(errors="ignore") for t, r in zip(texts, batch.column(last).to_pylist())]
             columns = [pa.array(kept, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
