@@ -33,16 +33,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder, read it back, and let go of what made it.
+def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the files survive lost executors.
 
-    The files survive lost executors; the shuffle files of the finished step are
-    given back, so that a long job needs the disk of one step at a time.
+    After a ``large`` step the driver also collects its garbage, upon which Spark
+    deletes the step's shuffle files: a long job needs the disk of one step at a time.
     """
     out = stage(df, name)
     del df
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
+    if large:
+        gc.collect()
+        out.sparkSession._jvm.System.gc()
     return out
 
 

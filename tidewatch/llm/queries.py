@@ -171,7 +171,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-@query("op8_decontaminate")
+_UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS.split("|"))
+_SLOTS = "(chr(1), '0', chr(2))"
+
+
+@query("op8_decontaminate", rf"""
+WITH m AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+a AS (SELECT k, id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+      '([\p{{Ll}}\p{{N}},;:] )(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}\x01]+', ' ', 'g'),
+      '(\p{{N}})(\p{{L}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g') AS r FROM m),
+t AS (SELECT k, id, [x FOR x IN string_split(r, ' ') IF x <> ''] AS r,
+      [x FOR x IN string_split(lower(regexp_replace(regexp_replace(r, chr(1) || '[^ ]+', chr(1), 'g'), '\p{{N}}+', '0', 'g')), ' ') IF x <> ''] AS c FROM a),
+u AS (SELECT k, id, r, [CASE WHEN i > 1 AND c[i - 1] = '0' AND c[i] IN ({_UNITS}) THEN chr(2) ELSE c[i] END FOR i IN range(1, len(c) + 1)] AS c FROM t),
+z AS (SELECT DISTINCT least(len(c), {decontaminate.WINDOW}) AS s FROM u WHERE k = 'i' AND len(c) > 0),
+w AS (SELECT k, id, r, c, s, unnest(range(1, len(c) - s + 2)) AS p FROM u, z WHERE CASE WHEN k = 'i' THEN s = least(len(c), {decontaminate.WINDOW}) ELSE len(c) >= s END),
+x AS (SELECT k, id, p, s, array_to_string(c[p:p + s - 1], ' ') AS h, r[p:p + s - 1] AS r, c[p:p + s - 1] AS c FROM w),
+i AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM x WHERE k = 'i' AND 2 * len([y FOR y IN c IF y NOT IN {_SLOTS}]) >= s),
+j AS (SELECT d.id AS doc_id, i.id AS item, i.p, i.n, i.r AS mine, d.r AS theirs, i.c FROM x d JOIN i ON d.k = 'd' AND d.h = i.h AND d.s = i.s),
+g AS (SELECT doc_id, item, count(DISTINCT p) AS covered, any_value(n) AS n FROM j GROUP BY doc_id, item HAVING count(DISTINCT p) >= {decontaminate.SHARE} * any_value(n)),
+e AS (SELECT doc_id, item, unnest(c) AS kind, lower(unnest(mine)) AS mine, lower(unnest(theirs)) AS theirs FROM j SEMI JOIN g USING (doc_id, item)),
+o AS (SELECT DISTINCT * FROM e WHERE kind IN {_SLOTS}),
+b AS (SELECT doc_id, item FROM o GROUP BY doc_id, item HAVING count(*) > count(DISTINCT (kind, mine)) OR count(*) > count(DISTINCT (kind, theirs))),
+l AS (SELECT doc_id, count(*) AS n_items, min({{'c': -covered::DOUBLE / n, 'item': item}}) AS best FROM g ANTI JOIN b USING (doc_id, item) GROUP BY doc_id)
+SELECT d.doc_id, l.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, best.item AS item, coalesce(-best.c, 0.0)::DOUBLE AS covered
+FROM documents d LEFT JOIN l USING (doc_id)
+""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 

@@ -252,9 +252,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = _keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "_id", "text")
     found = texts.select("k1", "k2", "text").mapInArrow(_region_rows, "anchor long, content long, k1 long, k2 long, lo int, n int")
     # written first, so that adaptive execution can split a hot anchor in the join
-    shared = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
-    found = staged(found.join(shared, "anchor"), "regions")
-    equal = staged(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo", "n")).alias("r")), "contents")
+    shared = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors", large=True)
+    found = staged(found.join(shared, "anchor"), "regions", large=True)
+    equal = staged(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo", "n")).alias("r")), "contents", large=True)
     whole = found.join(equal.where("c > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("k1", "k2", "lo", "n")
     several = equal.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
     mixed = equal.join(several, "anchor").select(
@@ -262,14 +262,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     wanted = mixed.groupBy("k1", "k2").agg(F.collect_list("g").alias("regions"))
     # the same document again is one text here
     bodies = staged(texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).mapInArrow(
-        _bodies, "anchor long, k1 long, k2 long, lo int, n int, needed boolean, crowded boolean, body binary"), "bodies")
+        _bodies, "anchor long, k1 long, k2 long, lo int, n int, needed boolean, crowded boolean, body binary"), "bodies", large=True)
     sorted_ = (bodies.where("NOT crowded").drop("crowded").repartition("anchor").sortWithinPartitions("anchor")
                .mapInArrow(_sorted_windows, "k1 long, k2 long, lo int, n int"))
     single = bodies.where("crowded").select("k1", "k2", "lo", "n", "needed", "body").mapInArrow(
         _single_windows, "w1 long, w2 long, k1 long, k2 long, lo int, needed boolean")
     again = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
     crowded = single.where("needed").join(again, ["w1", "w2"]).select("k1", "k2", "lo", F.lit(1).alias("n"))
-    runs = staged(whole.unionAll(sorted_).unionAll(crowded).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias("runs")), "runs")
+    runs = staged(whole.unionAll(sorted_).unionAll(crowded).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias("runs")), "runs", large=True)
     unstage(shared, found, equal, bodies)
     return runs
 
