@@ -86,12 +86,13 @@ def _variants(spark: SparkSession) -> DataFrame:
     return rows.where(F.size("_pairs") > 0)
 
 
-def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str], list[float], float]:
-    """Weights (pair, w), classes, intercepts and the cutoff of the unknown class."""
+def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str], list[str], list[float], float]:
+    """Weights (pair, w, t), classes, the templates' families, intercepts and the cutoff of the unknown class."""
     spark = docs.sparkSession
     every = max(1, docs.count() // SAMPLE)
     sample = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("licence")), F.lit(every)) == 0)
-    known = sorted({p for r in _templates(spark).collect() for p in r["template"]})  # of the fixed templates
+    templates = [(r["family"], set(r["template"])) for r in _templates(spark).orderBy("family", "number").collect()]  # fixed ones
+    known = sorted(set().union(*(t for _, t in templates)))
     lines = paragraphs(sample, id_col, text_col).select("_pairs", F.xxhash64("_id", "_line").alias("h"))
     # paragraphs that hold a template's words are not examples of "none"
     likely = lines.where(F.size(F.array_intersect("_pairs", F.array(*[F.lit(p) for p in known]))) < 2)
@@ -103,7 +104,8 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[
     model = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=5e-4, maxIter=60, standardization=False).fit(ready.where("not held"))
     classes = index.labels
     weights = model.coefficientMatrix.toArray()
-    table = [(word, [float(x) for x in weights[:, j]]) for j, word in enumerate(vector.vocabulary)]
+    # a pair's weights, and its share of each template
+    table = [(word, [float(x) for x in weights[:, j]], [1.0 / len(t) if word in t else 0.0 for _, t in templates]) for j, word in enumerate(vector.vocabulary)]
     held = model.transform(ready.where(f"held AND family <> '{NONE}'")).select("label", "prediction", "probability").collect()  # of the variants
     cutoff = 0.5
     for c in (x / 20 for x in range(10, 20)):
@@ -111,30 +113,31 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[
         cutoff = c
         if sum(r["label"] != r["prediction"] for r in taken) <= ERROR * len(taken):
             break
-    return spark.createDataFrame(table, "pair string, w array<double>"), classes, [float(x) for x in model.interceptVector], cutoff
+    pairs_ = spark.createDataFrame(table, "pair string, w array<double>, t array<double>")
+    return pairs_, classes, [f for f, _ in templates], [float(x) for x in model.interceptVector], cutoff
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_paragraphs, n_licence, family, probability, confirmed)``: one row per id, the strongest licence paragraph deciding."""
-    spark = docs.sparkSession
-    weights, classes, intercepts, cutoff = train(docs, id_col, text_col)
+    weights, classes, families, intercepts, cutoff = train(docs, id_col, text_col)
     lines = paragraphs(docs, id_col, text_col)
     # at most MOST_PAIRS weights
+    sums = [F.sum(F.col("w")[i]).alias(f"m{i}") for i in range(len(classes))] + [F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(len(families))]
     hits = (lines.select("_id", "_line", F.explode_outer(F.array_distinct("_pairs")).alias("pair")).join(F.broadcast(weights), "pair")
-            .groupBy("_id", "_line").agg(F.collect_set("pair").alias("found"), *[F.sum(F.col("w")[i]).alias(f"m{i}") for i in range(len(classes))]))
+            .groupBy("_id", "_line").agg(*sums))
     margin = F.array(*[F.col(f"m{i}") + F.lit(intercepts[i]) for i in range(len(classes))])
-    scored = hits.select("_id", "_line", "found", margin.alias("m"))
-    scored = scored.select("_id", "_line", "found", F.expr("transform(m, x -> exp(x - array_max(m)))").alias("e"))
-    scored = scored.select("_id", "_line", "found", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("p"))
+    held = {c: [F.col(f"t{j}") for j, f in enumerate(families) if f == c] for c in classes}
+    shares = F.array(*[F.array_max(F.array(*held[c])) if held[c] else F.lit(0.0) for c in classes])
+    scored = hits.select("_id", "_line", shares.alias("s"), margin.alias("m"))
+    scored = scored.select("_id", "_line", "s", F.expr("transform(m, x -> exp(x - array_max(m)))").alias("e"))
+    scored = scored.select("_id", "_line", "s", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("p"))
     none = classes.index(NONE) if NONE in classes else -1
     licence = scored.where(F.lit(True) if none < 0 else F.col("p")[none] < 0.5)
     names = F.array(*[F.lit(c) for c in classes])
-    licence = licence.select("_id", "_line", "found", F.array_max(F.expr("transform(p, (x, i) -> IF(i = %d, 0D, x))" % none)).alias("probability"), "p")
-    licence = licence.withColumn("guess", F.element_at(names, F.array_position("p", F.col("probability")).cast("int")))
-    # len(TEMPLATES) rows
-    templates = _templates(spark).groupBy(F.col("family").alias("guess")).agg(F.collect_list("template").alias("templates"))
-    licence = licence.join(F.broadcast(templates), "guess", "left")
-    share = F.expr("array_max(transform(templates, t -> size(array_intersect(t, found)) / size(t)))")
+    licence = licence.withColumn("probability", F.array_max(F.expr(f"transform(p, (x, i) -> IF(i = {none}, 0D, x))")))
+    licence = licence.withColumn("place", F.array_position("p", F.col("probability")).cast("int"))
+    licence = licence.withColumn("guess", F.element_at(names, F.col("place")))
+    share = F.element_at("s", F.col("place"))
     licence = licence.withColumn("share", F.coalesce(share, F.lit(0.0))).where(F.col("share") >= HINT)
     licence = licence.withColumn("confirmed", (F.col("probability") >= cutoff) & (F.col("share") >= CONFIRM))
     licence = licence.withColumn("family", F.when(F.col("confirmed"), F.col("guess")).otherwise(F.lit(UNKNOWN)))
