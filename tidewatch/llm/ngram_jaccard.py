@@ -20,8 +20,8 @@ ones with a partner of as many zones or more; pairs that share fewer are no link
 Within an index entry, all sets are first compared with one pivot, the smallest, which
 joins groups of near copies without pairing them off. What is still in different
 components is compared whole: pairs that share rare entries (in ``FREQUENT`` sets at
-most), and the sets of combined entries with the same pivot, in blocks of at most
-``TOGETHER`` by ``TOGETHER`` sets that tasks compare without emitting pairs. Nothing is
+most), and the sets of combined entries whose pivots are in one component, in blocks
+of at most ``TOGETHER`` by ``TOGETHER`` sets that tasks compare without emitting pairs. Nothing is
 capped, and every link between different sets is found or implied by its component.
 
 Null and empty texts, and texts without words, have the empty set and link with
@@ -283,7 +283,7 @@ def _compare(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, cr
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside each block (pivot, bi, bj); rows come sorted by block."""
+    """Links inside each block (family, bi, bj); rows come sorted by block."""
     def links(rows: list[tuple]) -> pa.RecordBatch:
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         u, v = _compare([r[3] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), rows[0][4])
@@ -291,12 +291,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rows, last = [], None
     for batch in batches:
-        values = [batch.column(c).to_pylist() for c in ("pivot", "bi", "bj", "set_id", "component", "side")]
-        for pivot, bi, bj, sid, component, side, tokens in zip(*values, batch.column("tokens")):
-            if (pivot, bi, bj) != last and rows:
+        values = [batch.column(c).to_pylist() for c in ("family", "bi", "bj", "set_id", "component", "side")]
+        for family, bi, bj, sid, component, side, tokens in zip(*values, batch.column("tokens")):
+            if (family, bi, bj) != last and rows:
                 yield links(rows)
                 rows = []
-            last = (pivot, bi, bj)
+            last = (family, bi, bj)
             rows.append((sid, component, side, np.frombuffer(tokens.as_buffer(), dtype=np.uint64), bi != bj))
     if rows:
         yield links(rows)
@@ -322,12 +322,14 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _families(rows: DataFrame) -> DataFrame:
-    """The sets of the combined entries of each pivot, dealt to blocks: (pivot, bi, bj, side, set_id, component)."""
-    members = rows.where("combined").select("pivot", "set_id", "component").distinct()
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("b"))
-    dealt = members.join(sizes, "pivot").withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("b")).cast("int"))
+    """The sets of combined entries whose pivots are in one component, dealt to blocks: (family, bi, bj, side, set_id, component)."""
+    rows = rows.where("combined")
+    home = rows.where("set_id = pivot").select("entry", F.col("component").alias("family"))
+    members = rows.join(home, "entry").select("family", "set_id", "component").distinct()
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("b"))
+    dealt = members.join(sizes, "family").withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("b")).cast("int"))
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select(
-        "pivot", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "set_id", "component")
+        "family", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "set_id", "component")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -364,7 +366,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = staged(rows.join(open_entries, "entry", "left_semi"), "open", large=True)
     pairs, families = staged(_across(rows), "pairs"), staged(_families(rows), "families")
     sets = _sets_of(_ends(pairs).unionAll(families.select("set_id")), first, texts)
-    within = (families.join(sets, "set_id").repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj")
+    within = (families.join(sets, "set_id").repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
               .mapInArrow(_blocks, "u long, v long"))
     more = staged(_linked(pairs, sets).unionAll(within).distinct(), "links")
     unstage(index, rows, sets, families)
