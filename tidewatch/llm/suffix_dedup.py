@@ -240,16 +240,16 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 ["w1", "w2", "k1", "k2", "lo", "needed"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, k1: str, k2: str) -> DataFrame:
     """Rows with the same key (128 bits of id and text) are the same document again."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("k1", F.xxhash64(F.col(id_col), text)).withColumn("k2", F.xxhash64(text, F.col(id_col), F.lit(7)))
+    return docs.withColumn(k1, F.xxhash64(F.col(id_col), text)).withColumn(k2, F.xxhash64(text, F.col(id_col), F.lit(7)))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(k1, k2, runs)``: for each document with repeated strings, its runs (first start, number of starts)."""
     small_batches(docs.sparkSession)
-    texts = _keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "_id", "text")
+    texts = _keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "_id", "text", "k1", "k2")
     found = texts.select("k1", "k2", "text").mapInArrow(_region_rows, "anchor long, content long, k1 long, k2 long, lo int, n int")
     # written first, so that adaptive execution can split a hot anchor in the join
     shared = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors", large=True)
@@ -290,7 +290,7 @@ def kept_bytes(text: str | None, runs: list[dict] | None, length: int = LENGTH)
 
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     runs = repeated_windows(docs, id_col, text_col)
-    keyed = _keyed(docs, id_col, text_col).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
+    keyed = _keyed(docs, id_col, text_col, "__k1", "__k2")
     other = runs.withColumnsRenamed({"k1": "__r1", "k2": "__r2", "runs": "__runs"})
     return keyed.join(other, (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left").drop("__k1", "__k2", "__r1", "__r2")
 
