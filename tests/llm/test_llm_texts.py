@@ -165,6 +165,17 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean_documents(clash, items).collect()) == [3, 4, 5, 6]
 
 
+def test_each_occurrence_is_judged_by_itself(spark):
+    twice = "Tom buys 3 red apples for 2 dollars each day. Tom buys 5 red apples for 4 dollars each day."
+    thrice = f"{twice} Tom buys 7 red apples for 6 dollars each day."
+    other = ITEM.replace("3 ", "41 ").replace("12", "77").replace("5 ", "9 ")
+    rows = [(1, "Read this. " + twice + " End of it."), (2, f"It said. {ITEM} Then it said. {other} That was all."), (3, ITEM.replace("3 baskets", "4 baskets")),
+            (4, "So. " + thrice.replace("5 red apples", "5 red and green apples"))]
+    items = spark.createDataFrame([(10, ITEM), (11, twice), (12, thrice)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_items"], r["item"]) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got[1][1] == 11 and got[2] == (1, 10) and got[3] == (0, None) and got[4][0] == 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page-with-sidebar">
 <header><a href="/">Site</a></header><nav><ul><li><a href=x>One</a><li><a>Two</a></ul></nav><div class="cookie-notice">We use cookies. <p>OK</div>
 <div id="main"><article class="post"><h1>A &amp; B</h1><p>First <b>bold</b>word,<br>then&nbsp;more   text that goes on for a while.<p>Second paragraph
