@@ -176,6 +176,15 @@ def test_each_occurrence_is_judged_by_itself(spark):
     assert got[1][1] == 11 and got[2] == (1, 10) and got[3] == (0, None) and got[4][0] == 2
 
 
+def test_verbatim_items_of_every_class(spark):
+    rows = [(1, "Solve: What is 12 * 7 + 5? Show it."), (2, "Question: What is the capital of France? Answer."), (3, "Known people, Ann Lee Bob Ray Cy Fox Di Orr Ed Poe, all old."),
+            (4, "What is 13 * 7 + 5?"), (5, "so Where is the tallest tower of Berlin now?"), (6, "Is it? What is the capital of France?"), (7, "what is the capital of france"), (8, None)]
+    items = spark.createDataFrame([(10, "What is 12 * 7 + 5?"), (11, "What is the capital of France"), (12, "Ann Lee, Bob Ray, Cy Fox, Di Orr, Ed Poe"),
+                                   (13, "Where is the tallest tower of Madrid now?"), (14, "")], "item_id long, text string")
+    got = {r["doc_id"]: r["item"] for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: 10, 2: 11, 3: 12, 4: None, 5: 13, 6: 11, 7: 11, 8: None}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page-with-sidebar">
 <header><a href="/">Site</a></header><nav><ul><li><a href=x>One</a><li><a>Two</a></ul></nav><div class="cookie-notice">We use cookies. <p>OK</div>
 <div id="main"><article class="post"><h1>A &amp; B</h1><p>First <b>bold</b>word,<br>then&nbsp;more   text that goes on for a while.<p>Second paragraph
