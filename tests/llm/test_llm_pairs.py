@@ -71,6 +71,22 @@ def test_link_components_edges(spark):
     assert sorted(r["doc_id"] for r in ngram_jaccard.keep_first(docs).collect()) == [1, 1]
 
 
+def test_keep_one_row_of_each_group(spark):
+    rnd = random.Random(8)
+    prose = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    a, b, c, d, e = (prose() for _ in range(5))
+    chain = a.split()
+    near, nearer = " ".join(chain[:-3] + ["x"] * 3), " ".join(["y"] * 3 + chain[3:-3] + ["x"] * 3)
+    rows = [(1, b, "p"), (1, b, "p"), (1, b, "q"), (None, c, "p"), (None, c, "p"), (None, d, "p"), (4, d, "p"), (None, e, "p"),
+            (5, a, "p"), (None, near, "p"), (6, nearer, "p"), (7, None, "p"), (None, "", "p"), (8, " ", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = ngram_jaccard.keep_one(docs)
+    got = [(r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(kept.where("coalesce(doc_id, 0) <> 5")).collect()]
+    assert sorted(got, key=str) == sorted([(1, b), (None, c), (4, d), (None, e), (7, None), (None, ""), (8, " ")], key=str)
+    assert [r["text"] for r in kept.where("doc_id IN (5, 6)").collect()] == [a]  # 5 and 6 are linked through the null id
+    assert ngram_jaccard.keep_one(docs.limit(0)).count() == 0
+
+
 def test_prefix_holds_enough():
     for n in range(2, 400):
         tokens = np.sort(np.random.default_rng(n).integers(0, 2 ** 64, n, dtype=np.uint64))

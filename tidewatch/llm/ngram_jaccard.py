@@ -25,7 +25,8 @@ of at most ``TOGETHER`` by ``TOGETHER`` sets that tasks compare without emitting
 capped, and every link between different sets is found or implied by its component.
 
 Null and empty texts, and texts without words, have the empty set and link with
-nothing. Repeated rows are rows of one class; repeated ids give repeated rows.
+nothing. Repeated rows are rows of one class; repeated ids give repeated rows. Rows of a
+null id link like others; a component of such rows only has the null ``component_id``.
 """
 
 from __future__ import annotations
@@ -112,7 +113,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def _classes(id_name: str):
+def _classes(names: list[str]):
+    """Size and digest of the set of ``_text`` beside the columns ``names``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes = [], []
@@ -120,7 +122,7 @@ def _classes(id_name: str):
                 sizes.append(len(tokens))
                 ids.append(set_id(tokens) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_name), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], [id_name, "n_shingles", "set_id"])
+                [*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], [*names, "n_shingles", "set_id"])
     return run
 
 
@@ -302,12 +304,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(rows)
 
 
+def _key() -> Column:
+    """A number that rows of a set can be found by: of the id, or of the text where the id is null."""
+    return F.coalesce(F.when(F.col("_id").isNotNull(), F.xxhash64("_id")), F.xxhash64("_text"))
+
+
 def _sets_of(ids: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
     """``(set_id, tokens)`` of the wanted sets, made again from the text of one document each."""
-    wanted = staged(ids.distinct().join(first, "set_id").select("_id").distinct(), "wanted")
+    wanted = staged(ids.distinct().join(first, "set_id").select("_key").distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    return staged(texts.join(wanted, "_id", "left_semi").mapInArrow(_sets, "set_id long, tokens binary").dropDuplicates(["set_id"]), "sets", large=True)
+    keyed = texts.withColumn("_key", _key())
+    return staged(keyed.join(wanted, "_key", "left_semi").select("_text").mapInArrow(_sets, "set_id long, tokens binary").dropDuplicates(["set_id"]), "sets", large=True)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -332,15 +340,17 @@ def _families(rows: DataFrame) -> DataFrame:
         "family", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "set_id", "component")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for each row; ``component_id`` is the smallest id reachable by links.
-
-    Rows of equal ids are told apart by nothing: each gets the component of its text.
-    """
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    classes = staged(texts.mapInArrow(_classes("_id"), "_id long, n_shingles long, set_id long"), "classes")
-    first = classes.where("set_id is not null").groupBy("set_id").agg(F.min("_id").alias("_id"))
+def _labelled(texts: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """The columns of ``texts`` but ``_text``, with ``n_shingles``, ``set_id``, ``component`` (a set) and ``component_id`` for each row."""
+    small_batches(texts.sparkSession)
+    names = [c for c in texts.columns if c != "_text"]
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
+    texts, carried = texts.select("_id", "_text"), texts
+    classes = staged(carried.withColumn("_key", _key()).mapInArrow(
+        _classes([*names, "_key"]), f"{kinds}, _key long, n_shingles long, set_id long"), "classes")
+    # the key of the smallest id, which is fetched for the set
+    first = classes.where("set_id is not null").groupBy("set_id").agg(F.min("_id").alias("_id"), F.min_by("_key", "_id").alias("_k"), F.min("_key").alias("_any")).select(
+        "set_id", "_id", F.coalesce("_k", "_any").alias("_key"))
 
     rows = texts.mapInArrow(_prefixes, "token long, set_id long, pack long")
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token", (F.col("c") > frequent).alias("frequent"))
@@ -374,12 +384,43 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = first.join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id"))
     smallest = group.groupBy("component").agg(F.min("_id").alias("component_id"))
-    label = group.join(smallest, "component").select("set_id", "component_id")
-    return classes.join(label, "set_id", "left").select(
-        F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+    label = group.join(smallest, "component").select("set_id", "component", "component_id")
+    return classes.join(label, "set_id", "left").select(*names, "n_shingles", "set_id", "component", F.coalesce("component_id", "_id").alias("component_id"))
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """``(id, n_shingles, component_id)`` for each row; ``component_id`` is the smallest id reachable by links.
+
+    Rows of equal ids are told apart by nothing: each gets the component of its text.
+    """
+    labelled = _labelled(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), frequent)
+    return labelled.select(F.col("_id").alias(id_col), "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are first of their group: one document of each group stays."""
     first = link_components(docs, id_col, text_col).where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_kept")).distinct()
     return docs.join(first, docs[id_col] == first["_kept"], "left_semi")
+
+
+def _row_hashes(docs: DataFrame) -> list[Column]:
+    """Two numbers of a row's values; maps have no hash and do not count."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(*columns), F.xxhash64(*[c.isNull() for c in columns], *columns)]
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group: of the smallest id, and among rows of that id of the smallest row hash.
+
+    A null id is the largest: such a row stays where its group has no other. Rows without
+    words link with nothing and all stay.
+    """
+    h, g = _row_hashes(docs)
+    rows = staged(_labelled(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), h.alias("_h"), g.alias("_g"))), "labelled")
+    same = rows.where("set_id IS NOT NULL").groupBy("component", "_id", "_h", "_g").agg(F.count(F.lit(1)).alias("c"))
+    best = same.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_h", "_g", "c")).alias("b")).select("b._h", "b._g", (F.col("b.c") > 1).alias("_again"))
+    kept = staged(best.unionAll(rows.where("set_id IS NULL").select("_h", "_g", F.lit(False).alias("_again")).distinct()), "kept")
+    keyed = docs.withColumns({"_h": h, "_g": g})
+    once = keyed.join(kept.where("NOT _again"), ["_h", "_g"], "left_semi")
+    again = keyed.join(kept.where("_again"), ["_h", "_g"], "left_semi").dropDuplicates(["_h", "_g"])
+    return once.unionAll(again).select(*[F.col(f"`{c}`") for c in docs.columns])
