@@ -200,6 +200,18 @@ def test_html():
     assert html_text.main_text("<p>just <i>this") == "just this"
 
 
+def test_html_wrappers_named_like_asides():
+    words = "The article goes on at some length so that it is text and no menu. " * 4
+    for name in ("content no-sidebar", "has-sidebar", "layout-with-sidebar", "ad-free", "share-enabled", "search-result-page"):
+        assert html_text.main_text(f"<div class='{name}'><article><p>{words}</article></div>") == words.strip()
+        assert html_text.main_text(f"<ul><li><a>x</a></ul><div class='{name}'><p>{words}</div>").endswith(words.strip())
+    assert html_text.main_text(f"<div class='comments'><p>Nice.</div><div id=c><p>{words}</div>") == words.strip()
+    assert html_text.main_text(f"<article><p>{words}<div class='comments'><article><p>{words} again</article></div></article>") == words.strip()
+    cards = "<div class='related'><article><h2>Another</h2><p>A teaser of some words that ends in dots ...</article></div>"
+    assert html_text.main_text(f"<article><p>{words}</article>{cards}") == words.strip()
+    assert html_text.main_text(f"<main><div class='sidebar-layout'><article><p>{words}</article></div></main>{cards}") == words.strip()
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, None, None, "y")], "page_id long, url string, html string, text string")
     got = html_text.extract(pages).collect()

@@ -3,7 +3,10 @@
 The standard library's parser streams events; text gathers in lines, one for each run
 between block elements. A line's ratio is its characters by its tags; what stands in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments has
-ratio 0. The ratios are smoothed by a Gaussian over neighbouring lines, and lines that
+ratio 0. A class, id or role that tells of such a thing only marks its subtree: articles
+inside with more text than all others lift the mark, and so does a subtree of most of
+the page's text, where there is no article, whose ratio times ``PENALTY`` is still above
+the others'. The ratios are smoothed by a Gaussian over neighbouring lines, and lines that
 reach the deviation of the smoothed ratios are content. They select regions: the
 article elements that hold content, else the innermost containers that do; all allowed
 lines of a region are the text.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -37,38 +41,59 @@ ASIDE = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
                   "popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies disqus respond "
                   "sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead related recommended recommendations "
                   "widget widgets toolbar pagination pager search complementary contentinfo dialog".split())
+#: A word after one of these says what an element is without.
+WITHOUT = frozenset("no not non without hide has have with is".split())
+#: A word before one of these likewise: ad-free, share-enabled.
+ABSENT = frozenset("free less enabled disabled hidden".split())
+#: Share of its ratio that text in a subtree marked by class words keeps, against the other text.
+PENALTY = 0.25
 CLOSES_P = BLOCKS - {"br", "body", "html", "head", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _is_aside(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+def _names_aside(value: str) -> bool:
+    """Whether a class, id or role has a word of ``ASIDE`` that its neighbours in the name do not take back."""
+    for name in value.split():
+        words = [w.lower() for w in _NAMES.findall(name)]
+        for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+            if word in ASIDE and before not in WITHOUT and after not in ABSENT:
+                return True
+    return False
+
+
+#: What an element is: content, marked by class words, or never content.
+PLAIN, MARKED, NEVER = 0, 1, 2
+
+
+def _aside(tag: str, attributes: list[tuple[str, str | None]]) -> int:
     if tag in HIDDEN:
-        return True
+        return NEVER
+    marked = PLAIN
     for name, value in attributes:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return NEVER
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return NEVER
         if tag in ("html", "body", "article", "main"):
             continue
-        if name in ("class", "id", "role") and value and any(w.lower() in ASIDE for w in _NAMES.findall(value)):
-            return True
-    return False
+        if name in ("class", "id", "role") and value and _names_aside(value):
+            marked = MARKED
+    return marked
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text parts, tags, allowed, article, container]."""
+    """Lines of a page: [text parts, tags, aside, article, container, outermost marked element]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, aside, article, container
+        self.open: list[tuple[str, int, int, int, int]] = []  # tag, aside, article, container, outermost marked element
         self.count = 0
         self._new_line()
 
     def _new_line(self) -> None:
-        _, aside, article, container = self.open[-1] if self.open else ("", False, 0, 0)
-        self.lines.append([[], 0, not aside, article, container])
+        _, aside, article, container, marked = self.open[-1] if self.open else ("", PLAIN, 0, 0, 0)
+        self.lines.append([[], 0, aside, article, container, marked])
 
     def _pop_to(self, depth: int) -> None:
         del self.open[depth:]
@@ -91,14 +116,19 @@ class Lines(HTMLParser):
                 self._close(other, frozenset(("ul", "ol", "dl", "table", "select", "menu", "tr" if tag in ("td", "th") else "table")))
         self.lines[-1][1] += 1
         if tag not in VOID:
-            _, aside, article, container = self.open[-1] if self.open else ("", False, 0, 0)
+            _, aside, article, container, marked = self.open[-1] if self.open else ("", PLAIN, 0, 0, 0)
             self.count += 1
-            mine = _is_aside(tag, attrs) if not aside else True
-            if not article and (tag in ("article", "main") or any(n == "itemprop" and v == "articleBody" for n, v in attrs)):
+            opens = tag in ("article", "main") or any(n == "itemprop" and v == "articleBody" for n, v in attrs)
+            mine = max(_aside(tag, attrs), aside)
+            if opens and aside == MARKED and not any(x[0] == "article" for x in self.open):
+                mine = _aside(tag, attrs)  # what is plain inside a marked element is lifted
+            if mine == MARKED and aside == PLAIN:
+                marked = self.count
+            if not article and opens:
                 article = self.count
             if tag in CONTAINERS:
                 container = self.count
-            self.open.append((tag, mine, article, container))
+            self.open.append((tag, mine, article, container, marked))
             if tag in BLOCKS or mine != aside:
                 self._new_line()
         elif tag in BLOCKS:
@@ -111,10 +141,10 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1][1] += 1
-        before = self.open[-1][1] if self.open else False
+        before = self.open[-1][1] if self.open else PLAIN
         inline = tag not in BLOCKS
         closed = self._close(tag, BLOCKS if inline else frozenset())
-        after = self.open[-1][1] if self.open else False
+        after = self.open[-1][1] if self.open else PLAIN
         if tag in BLOCKS or (closed and before != after):
             self._new_line()
 
@@ -135,15 +165,48 @@ def smooth(ratios: list[float]) -> list[float]:
     return out
 
 
+def _outweighing(lines: list[tuple]) -> set[int]:
+    """Marked elements whose text is most of the page's, at a ratio that outweighs the others' by ``PENALTY``.
+
+    Where the page has an article of its own, none does.
+    """
+    figures: dict[int, list[int]] = {}
+    for text, tags, aside, article, _, marked in lines:
+        if aside == NEVER:
+            continue
+        if aside == PLAIN and article:
+            return set()
+        sums = figures.setdefault(marked, [0, 0])
+        sums[0] += len(text)
+        sums[1] += max(tags, 1)
+    total = sum(x for x, _ in figures.values())
+    out = set()
+    for marked, (chars, tags) in figures.items():
+        other = [(c, t) for m, (c, t) in figures.items() if m != marked]
+        rest = sum(c for c, _ in other) / max(sum(t for _, t in other), 1)
+        if marked and 2 * chars > total and PENALTY * chars / tags > rest:
+            out.add(marked)
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article's text, blocks joined by one space."""
     parser = Lines()
     parser.feed(html or "")
     parser.close()
-    lines = [(" ".join("".join(parts).split()), tags, allowed, article, container) for parts, tags, allowed, article, container in parser.lines]
+    lines = [(" ".join("".join(parts).split()), tags, aside, article, container, marked) for parts, tags, aside, article, container, marked in parser.lines]
     lines = [x for x in lines if x[0]]
     if not lines:
         return ""
+    heavy = _outweighing(lines)
+    # articles inside marked elements (cards of related pages, or the article) against those outside
+    chars = Counter()
+    for text, _, aside, article, _, marked in lines:
+        if aside == PLAIN and article:
+            chars[marked] += len(text)
+    inside = {m for m, c in chars.items() if 2 * c > sum(chars.values())} | {0}
+    lines = [(text, tags, marked in inside if aside == PLAIN else aside == MARKED and marked in heavy, article, container)
+             for text, tags, aside, article, container, marked in lines]
     smoothed = smooth([len(text) / max(tags, 1) if allowed else 0.0 for text, tags, allowed, _, _ in lines])
     mean = sum(smoothed) / len(smoothed)
     deviation = math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed))
