@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, context_tree, decontaminate, html_text, licenses, mixing, ngram_jaccard, quality_rules, suffix_dedup, toxicity
+from tidewatch.llm import chat, context_tree, decontaminate, html_text, lexical_search, licenses, mixing, ngram_jaccard, quality_rules, suffix_dedup, token_counts, toxicity
 from tidewatch.llm.common import LOWER, UPPER, WORD, staged, table
 from tidewatch.plans.registry import Query
 
@@ -25,24 +25,6 @@ def query(name: str, sql: str | None = None):
 LOWER_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
 
-@query("op1_ngram_jaccard", f"""
-WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-      ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
-r AS (SELECT doc_id AS d, doc_id AS k FROM documents UNION SELECT l.u, r.k FROM r JOIN l ON l.v = r.d)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.k AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(k) AS k FROM r GROUP BY d) m ON m.d = d.doc_id
-""")
-def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
-
-
 @query("op1_ngram_jaccard", f"""
 WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -212,3 +194,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(staged(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), ~held), "toxicity-training"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}')"
+
+
+@query("op11_lexical_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER_TERMS} AS w FROM documents),
+n AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+i AS (SELECT row_number() OVER () AS i, item_id, {_LOWER_TERMS} AS w FROM benchmark),
+q AS (SELECT DISTINCT i, item_id, unnest(w) AS t FROM i),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+g AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY t, docs),
+m AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS impact FROM f JOIN g USING (t) JOIN n USING (r), c),
+s AS (SELECT i, item_id, r, sum(impact)::BIGINT AS score FROM q JOIN m USING (t) GROUP BY ALL HAVING sum(impact) > 0),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s JOIN n USING (r))
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(_documents(spark, sf_dir, "doc_id", "text"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
