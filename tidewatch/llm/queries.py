@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, context_tree, decontaminate, html_text, lexical_search, licenses, mixing, ngram_jaccard, quality_rules, suffix_dedup, token_counts, toxicity
+from tidewatch.llm import chat, context_tree, decontaminate, html_text, lexical_search, licenses, mixing, ngram_jaccard, prefix_trie, quality_rules, suffix_dedup, token_counts, toxicity
 from tidewatch.llm.common import LOWER, UPPER, WORD, staged, table
 from tidewatch.plans.registry import Query
 
@@ -221,3 +221,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(_documents(spark, sf_dir, "doc_id", "text"))
     return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
+@query("op13_prefix_trie", f"""
+WITH tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab
+             FROM (SELECT unnest(range(0, 256)) AS i)),
+a AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM a GROUP BY c),
+h AS (SELECT c, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda a, b: xor(a >> 8, list_extract(tab, (xor(a, b) & 255) + 1))), 4294967295) % {prefix_trie.GRAFT} AS h FROM n, tab),
+m AS (SELECT h.c, h, h.c - h.c % {prefix_trie.FAMILY} AS base, least(h, coalesce(n.n, 0)) AS taken FROM h LEFT JOIN n ON n.c = h.c - h.c % {prefix_trie.FAMILY}),
+t AS (SELECT m.c, a.i AS d, role, text FROM m JOIN a ON a.c = m.base AND a.i <= m.h
+      UNION ALL SELECT m.c, a.i - m.h + m.taken, role, text FROM m JOIN a ON a.c = m.c AND a.i > m.h),
+p AS (SELECT c, d, len({WORDS}) AS words, md5(string_agg(md5(role) || md5(text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS k FROM t),
+q AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), '') AS up FROM p
+      UNION ALL SELECT c, 0, 0, '', NULL FROM m),
+g AS (SELECT d, k, up, min(c) AS c, count(*) AS n, any_value(words) AS words FROM q GROUP BY d, k, up),
+e AS (SELECT d, k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d, max_by(k, d) AS k FROM q GROUP BY c) GROUP BY d, k),
+s AS (SELECT g.d, g.k, count(u.k) AS n_children FROM g LEFT JOIN g u ON u.up = g.k AND u.d = g.d + 1 GROUP BY g.d, g.k),
+f AS (SELECT x.d, x.k, count_if(s.n_children = 0) AS n_leaves, sum((g.n - 1) * g.words)::BIGINT AS saved
+      FROM g JOIN s USING (d, k) JOIN q x ON x.c = g.c AND x.d <= g.d GROUP BY x.d, x.k)
+SELECT g.c AS conv_id, g.d AS depth, o.c AS parent_conv_id, g.n AS n_convs, n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM g JOIN s USING (d, k) JOIN f USING (d, k) LEFT JOIN e USING (d, k) LEFT JOIN g o ON o.k = g.up AND o.d = g.d - 1
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = prefix_trie.graft(prefix_trie.numbered(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(staged(turns, "turns-rebuilt"), members).drop("p1", "p2")
