@@ -7,14 +7,18 @@ entities at once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import arrays
+from tidewatch.functions.linear import solve_symmetric
 from tidewatch.functions.numeric import clip
 from tidewatch.functions.times import floor_hour
 from tidewatch.operators.features import apply_scale, fit_standard_scale
+from tidewatch.operators.quantile_regression import CALENDAR, fit_quantiles, predict_quantiles, with_calendar
 from tidewatch.operators.quantiles import quantile_rows
 from tidewatch.operators.ranking import category_rank
 from tidewatch.operators.summaries import densify, end_of_day, hourly_means
@@ -25,6 +29,9 @@ HORIZON_DAYS = 60
 LOOKBACK_HOURS = 24
 HORIZON_HOURS = 6
 RATE_STEPS = 6
+WEEK = 7
+#: Added to the moments of the weekly wave.
+WAVE_RIDGE = 0.5
 
 # The metrics of the hourly latency series, the target last.
 HOURLY_METRICS = [
@@ -66,14 +73,66 @@ def capacity_trend(daily: DataFrame, entity: str = "volume_id") -> DataFrame:
         F.max_by("capacity_total_gb", "day").alias("total_gb"))
 
 
-def capacity_forecast(daily: DataFrame, horizon: int = HORIZON_DAYS, entity: str = "volume_id") -> DataFrame:
-    """Add ``forecast``: used fraction for each of the next ``horizon`` days, within 0-1."""
-    t = capacity_trend(daily, entity)
-    curve = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: clip(
-        F.col("intercept") + F.col("slope") * (F.col("last_x") + k), 0.0, 1.0))
+def _weekly(x: Column) -> list[Column]:
+    """The basis of a trend with a weekly wave at day ``x``."""
+    angle = F.lit(2 * math.pi / WEEK) * x
+    return [F.lit(1.0), x, F.sin(angle), F.cos(angle)]
+
+
+def capacity_wave(daily: DataFrame, entity: str = "volume_id") -> DataFrame:
+    """Trend and weekly wave per entity over a daily series, by least squares from moment sums.
+
+    ``c0 .. c3`` are the level, the slope and the wave's two parts. The wave is held back by
+    ``WAVE_RIDGE`` in its moments, so that a series of a few days is close to a line.
+    """
+    first = F.min("day").over(W.partitionBy(entity))
+    basis = [f"_b{i}" for i in range(4)]
+    rows = daily.withColumn("_x", F.datediff(F.col("day"), first).cast("double")).where(F.col("capacity_used_pct").isNotNull())
+    rows = rows.withColumns(dict(zip(basis, _weekly(F.col("_x")))))
+    ridge = [0.0, 1e-9, WAVE_RIDGE, WAVE_RIDGE]
+    moments = {f"_h{i}_{j}": F.sum(F.col(basis[i]) * F.col(basis[j])) + (ridge[i] if i == j else 0.0) for i in range(4) for j in range(i + 1)}
+    moments |= {f"_s{i}": F.sum(F.col(basis[i]) * F.col("capacity_used_pct")) for i in range(4)}
+    sums = rows.groupBy(entity).agg(
+        *[e.alias(n) for n, e in moments.items()], F.max("_x").alias("last_x"),
+        F.max_by("capacity_used_pct", "day").alias("current_pct"), F.max_by("capacity_total_gb", "day").alias("total_gb"))
+    out = solve_symmetric(sums, [[f"_h{i}_{j}" for j in range(i + 1)] for i in range(4)], [f"_s{i}" for i in range(4)], [f"c{i}" for i in range(4)])
+    return out.drop(*moments)
+
+
+def capacity_forecast(daily: DataFrame, horizon: int = HORIZON_DAYS, entity: str = "volume_id", model: str = "trend") -> DataFrame:
+    """Add ``forecast``: used fraction for each of the next ``horizon`` days, within 0-1.
+
+    ``model`` is ``trend`` (a line) or ``wave`` (a line and a weekly wave).
+    """
+    if model not in ("trend", "wave"):
+        raise ValueError(f"no capacity model {model!r}")
+    if model == "trend":
+        t = capacity_trend(daily, entity)
+        value = lambda x: F.col("intercept") + F.col("slope") * x
+    else:
+        t = capacity_wave(daily, entity)
+        value = lambda x: sum((F.col(f"c{i}") * b for i, b in enumerate(_weekly(x)) if i), F.col("c0"))
+    curve = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: clip(value(F.col("last_x") + k), 0.0, 1.0))
     return t.withColumn("forecast", curve)
 
 
+def capacity_backtest(daily: DataFrame, hold: int = WEEK, entity: str = "volume_id") -> DataFrame:
+    """Mean absolute error of both models over each entity's last ``hold`` days, forecast from the days before.
+
+    Entities without an earlier day have no row.
+    """
+    last = daily.groupBy(entity).agg(F.max("day").alias("_last"))
+    marked = daily.join(last, entity).withColumn("_ahead", F.lit(hold) - F.datediff(F.col("_last"), F.col("day")))
+    before, after = marked.where("_ahead <= 0").drop("_last"), marked.where("_ahead > 0").select(entity, "_ahead", "capacity_used_pct")
+    curves = None
+    for model in ("trend", "wave"):
+        # a gap at the end of the earlier days must not shift the forecast: days are densified before
+        c = capacity_forecast(before, hold, entity, model).select(entity, F.lit(model).alias("model"), F.posexplode("forecast").alias("_k", "told"))
+        curves = c if curves is None else curves.unionByName(c)
+    met = curves.join(after, [curves[entity] == after[entity], curves["_k"] + 1 == after["_ahead"]]).select(curves[entity], "model", F.abs(F.col("told") - F.col("capacity_used_pct")).alias("error"))
+    return met.groupBy(entity, "model").agg(F.avg("error").alias("mae"), F.count(F.lit(1)).alias("days"))
+
+
 def days_to_fill(current: Column, forecast: Column, threshold: float | Column) -> Column:
     """Days until a curve reaches ``threshold``.
 
@@ -100,9 +159,9 @@ def days_severity(days: Column) -> Column:
             .when(days < POLICY["dtf_warning_days"], "warning").otherwise("normal"))
 
 
-def capacity_report(daily: DataFrame, entity: str = "volume_id") -> DataFrame:
+def capacity_report(daily: DataFrame, entity: str = "volume_id", model: str = "trend") -> DataFrame:
     """Days to fill, severity, advice and the 7- and 30-day curves per entity."""
-    f = capacity_forecast(daily, entity=entity)
+    f = capacity_forecast(daily, entity=entity, model=model)
     warn, crit = F.col("dtf_warning_days"), F.col("dtf_critical_days")
     out = f.withColumns({
         "dtf_warning_days": days_to_fill(F.col("current_pct"), F.col("forecast"), POLICY["warning_fraction"]),
@@ -275,3 +334,21 @@ def next_hour(df: DataFrame, ts: str = "ts") -> Column:
     newest = df.agg(F.max(ts).alias("_t")).select(floor_hour("_t").alias("_t"))
     return newest.scalar() + F.expr("INTERVAL 1 HOUR")
 
+
+
+def demand_regression(df: DataFrame, start: Column, metrics: list[str], ts: str = "ts", entity: str = "volume_id",
+                      hours: int = 24, min_rows: int = 10, fits: DataFrame | None = None) -> DataFrame:
+    """p50, p95 and p99 of each metric per entity for the coming hours, from a quantile regression on the calendar.
+
+    Linear in the cyclic hour and weekday, ordered and not below 0. ``fits`` takes the
+    coefficients of an earlier run.
+    """
+    if fits is None:
+        fits = fit_quantiles(with_calendar(df, ts), metrics, list(DEMAND_PROBS.values()), CALENDAR, entity, min_rows)
+    grid = with_calendar(forecast_hours(fits.select(entity).distinct(), start, hours), "forecast_hour")
+    told = predict_quantiles(grid, fits, CALENDAR, entity)
+    wide = told.groupBy(entity, "step", "forecast_hour").agg(*[
+        F.max(F.when((F.col("metric") == m) & (F.col("prob") == p), F.col("value"))).alias(f"{m}_{n}") for m in metrics for n, p in DEMAND_PROBS.items()])
+    for m in metrics:
+        wide = repair_crossing(wide, [f"{m}_{n}" for n in DEMAND_PROBS])
+    return wide

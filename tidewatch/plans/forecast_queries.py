@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import round_half_up as rnd
-from tidewatch.operators import forecast, summaries, whatif
+from tidewatch.operators import forecast, quantile_regression, summaries, whatif
 from tidewatch.operators.windows import latest_rows
 from tidewatch.plans.fixtures import CAP_SQL, E_SQL, EVENTS, R, capacity, events, table, telemetry
 from tidewatch.plans.registry import query
@@ -44,6 +44,61 @@ def _(spark, d):
         "volume_id", (F.col("k") + 1).cast("bigint").alias("k"), rnd(F.col("v"), 6).alias("v"))
 
 
+def solve_sql(src: str, n: int, b: str, out: str) -> str:
+    """SQL that adds ``out0 ..``: the solution of the system hi_j (j <= i), b0 .. in each row, by elimination."""
+    def minus(first: str, parts: list[str]) -> str:
+        return " - ".join([first, *parts])
+
+    for j in range(n):
+        src = f"SELECT *, {minus(f'h{j}_{j}', [f'l{j}_{k}*l{j}_{k}*d{k}' for k in range(j)])} AS d{j} FROM ({src}) q"
+        if j < n - 1:
+            below = ", ".join(f"({minus(f'h{i}_{j}', [f'l{i}_{k}*l{j}_{k}*d{k}' for k in range(j)])}) / d{j} AS l{i}_{j}" for i in range(j + 1, n))
+            src = f"SELECT *, {below} FROM ({src}) q"
+    for i in range(n):
+        src = f"SELECT *, {minus(f'{b}{i}', [f'l{i}_{k}*z{k}' for k in range(i)])} AS z{i} FROM ({src}) q"
+    for i in reversed(range(n)):
+        src = f"SELECT *, {minus(f'z{i}/d{i}', [f'l{k}_{i}*{out}{k}' for k in range(i + 1, n)])} AS {out}{i} FROM ({src}) q"
+    return src
+
+
+def wave_sql(days: str, name: str) -> str:
+    """CTE with the coefficients x0 .. x3 of trend and weekly wave of (volume_id, day) series."""
+    basis = ["1.0::DOUBLE", "x", f"SIN(2*PI()*x/{forecast.WEEK})", f"COS(2*PI()*x/{forecast.WEEK})"]
+    ridge = [0.0, 1e-9, forecast.WAVE_RIDGE, forecast.WAVE_RIDGE]
+    sums = ", ".join([f"SUM({v}*capacity_used_pct) AS s{i}" for i, v in enumerate(basis)]
+                     + [f"SUM({basis[i]}*{basis[j]}) + {ridge[i] if i == j else 0.0}::DOUBLE AS h{i}_{j}" for i in range(4) for j in range(i + 1)])
+    moments = f"""SELECT volume_id, MAX(x) AS last_x, ARG_MAX(capacity_used_pct, day) AS current_pct, {sums}
+  FROM (SELECT *, DATE_DIFF('day', MIN(day) OVER (PARTITION BY volume_id), day)::DOUBLE AS x FROM {days}) q GROUP BY 1"""
+    return f"{name} AS (SELECT volume_id, last_x, current_pct, x0, x1, x2, x3 FROM ({solve_sql(moments, 4, 's', 'x')}) q)"
+
+
+def wave_curve_sql(fit: str, n: int) -> str:
+    return f"""SELECT volume_id, current_pct, k, LEAST(1.0, GREATEST(0.0, x0 + x1*(last_x + k) + x2*SIN(2*PI()*(last_x + k)/{forecast.WEEK}) + x3*COS(2*PI()*(last_x + k)/{forecast.WEEK}))) AS v
+  FROM {fit}, (SELECT UNNEST(RANGE(1, {n + 1})) AS k) g"""
+
+
+WAVE_SQL = f"{RECENT_SQL}, {wave_sql('rd', 'wv')}, fw AS ({wave_curve_sql('wv', 60)})"
+
+
+@query("forecast_capacity_wave", f"{WC}, {WAVE_SQL} SELECT volume_id, k, {R('v', 6)} AS v FROM fw")
+def _(spark, d):
+    f = forecast.capacity_forecast(recent(spark, d), model="wave")
+    return f.select("volume_id", F.posexplode("forecast").alias("k", "v")).select(
+        "volume_id", (F.col("k") + 1).cast("bigint").alias("k"), rnd(F.col("v"), 6).alias("v"))
+
+
+@query("forecast_capacity_backtest", f"""{WC}, {RECENT_SQL}, ah AS (SELECT *, {forecast.WEEK} - DATE_DIFF('day', day, MAX(day) OVER (PARTITION BY volume_id)) AS ahead FROM rd),
+be AS (SELECT volume_id, day, capacity_used_pct FROM ah WHERE ahead <= 0), {wave_sql('be', 'wv')}, fw AS ({wave_curve_sql('wv', forecast.WEEK)}),
+xl AS (SELECT *, DATE_DIFF('day', MIN(day) OVER (PARTITION BY volume_id), day) AS x FROM be),
+tl AS (SELECT volume_id, COALESCE(REGR_SLOPE(capacity_used_pct, x), 0) AS slope, COALESCE(REGR_INTERCEPT(capacity_used_pct, x), MAX(capacity_used_pct)) AS intercept, MAX(x) AS last_x FROM xl GROUP BY 1),
+fl AS (SELECT volume_id, k, LEAST(1.0, GREATEST(0.0, intercept + slope*(last_x + k))) AS v FROM tl, (SELECT UNNEST(RANGE(1, {forecast.WEEK + 1})) AS k) g),
+bo AS (SELECT volume_id, 'wave' AS model, k, v FROM fw UNION ALL SELECT volume_id, 'trend', k, v FROM fl)
+SELECT bo.volume_id, model, {R('AVG(ABS(v - capacity_used_pct))', 6)} AS mae, COUNT(*) AS days FROM bo JOIN ah ON ah.volume_id = bo.volume_id AND ah.ahead = bo.k GROUP BY 1, 2""")
+def _(spark, d):
+    b = forecast.capacity_backtest(recent(spark, d))
+    return b.select("volume_id", "model", rnd(F.col("mae"), 6).alias("mae"), "days")
+
+
 CURVES = "cv AS (SELECT volume_id AS key, current_pct, k, v FROM fc)"
 
 
@@ -231,6 +286,60 @@ def _(spark, d):
     return p.select("volume_id", *r4(p, "peak_total_iops", "peak_total_throughput_mbps"))
 
 
+def quantile_fit_sql(rows: str, probs: list[float], features: list[str]) -> str:
+    """CTEs that fit each (volume_id, metric) of ``rows`` (with y and the features) for each quantile, a step each; the last is ``fit``."""
+    n = len(features) + 1
+    x = ["1", *features]
+    ctes = [f"""qs AS MATERIALIZED (SELECT volume_id, metric, COUNT(*) AS n, AVG(y) AS mean, GREATEST(STDDEV_POP(y), 1e-9 * GREATEST(ABS(AVG(y)), 1)) AS spread FROM {rows} GROUP BY 1, 2),
+f0 AS MATERIALIZED (SELECT volume_id, metric, prob, n, spread, mean + spread * SIGN(prob - 0.5) AS b0, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(1, n))}
+  FROM qs, (SELECT UNNEST([{', '.join(f'{p}::DOUBLE' for p in probs)}]) AS prob) p)"""]
+    for t, h in enumerate(quantile_regression.bandwidths()):
+        fitted = " + ".join(f"b{i}*{v}" for i, v in enumerate(x))
+        sums = ", ".join([f"SUM((prob - p)*{v}) AS s{i}" for i, v in enumerate(x)]
+                         + [f"SUM(p*(1 - p)/(spread*{h!r}::DOUBLE)*{x[i]}*{x[j]})" + (f" + {quantile_regression.RIDGE!r}::DOUBLE*ANY_VALUE(n)/ANY_VALUE(spread)" if i == j else "") + f" AS h{i}_{j}"
+                            for i in range(n) for j in range(i + 1)])
+        keep = ", ".join(f"ANY_VALUE(b{i}) AS b{i}" for i in range(n))
+        system = f"""SELECT volume_id, metric, prob, ANY_VALUE(n) AS n, ANY_VALUE(spread) AS spread, {keep}, {sums}
+  FROM (SELECT f.*, {', '.join(f'r.{v}' for v in features)}, 1/(1 + EXP(LEAST(700, (r.y - ({fitted}))/(spread*{h!r}::DOUBLE)))) AS p FROM {rows} r JOIN f{t} f USING (volume_id, metric)) w GROUP BY 1, 2, 3"""
+        biggest = "GREATEST(" + ", ".join(f"ABS(x{i})" for i in range(n)) + ")"
+        moved = ", ".join(f"b{i} + x{i}*LEAST(1, spread/{biggest}) AS b{i}" for i in range(n))
+        ctes.append(f"f{t + 1} AS MATERIALIZED (SELECT volume_id, metric, prob, n, spread, {moved} FROM ({solve_sql(system, n, 's', 'x')}) q)")
+    return ",\n".join(ctes) + f", fit AS (SELECT * FROM f{quantile_regression.STEPS})"
+
+
+CAL_SQL = """SIN(2*PI()*HOUR({t})/24) AS hour_sin, COS(2*PI()*HOUR({t})/24) AS hour_cos, SIN(2*PI()*(ISODOW({t}) - 1)/7) AS day_sin, COS(2*PI()*(ISODOW({t}) - 1)/7) AS day_cos"""
+DEMAND_FIT_SQL = f"""WITH e AS (SELECT *, total_iops / 2 AS total_throughput_mbps FROM ({E_SQL}) z QUALIFY COUNT(*) OVER (PARTITION BY volume_id) >= 55), {steps_sql(f'({E_SQL}) y', 'ts', 24)},
+c AS (SELECT volume_id, total_iops, total_throughput_mbps, {CAL_SQL.format(t='ts')} FROM e),
+lr AS MATERIALIZED (SELECT volume_id, {', '.join(quantile_regression.CALENDAR)}, UNNEST(['total_iops', 'total_throughput_mbps']) AS metric, UNNEST([total_iops, total_throughput_mbps]) AS y FROM c),
+{quantile_fit_sql('lr', list(forecast.DEMAND_PROBS.values()), quantile_regression.CALENDAR)}"""
+
+
+def demand_rows(spark, d):
+    e = events(spark, d).withColumn("total_throughput_mbps", F.col("total_iops") / 2)
+    return e, quantile_regression.fit_quantiles(quantile_regression.with_calendar(e, "ts"), DM, list(forecast.DEMAND_PROBS.values()),
+                                                quantile_regression.CALENDAR, min_rows=55)
+
+
+@query("forecast_demand_coefficients", f"""{DEMAND_FIT_SQL} SELECT volume_id, metric, prob, n, {', '.join(R(f'b{i}', 3) + f' AS {b}' for i, b in enumerate(quantile_regression.coefficient_names(quantile_regression.CALENDAR)))} FROM fit""")
+def _(spark, d):
+    _, fits = demand_rows(spark, d)
+    return fits.select("volume_id", "metric", "prob", "n", *r4(fits, *quantile_regression.coefficient_names(quantile_regression.CALENDAR), n=3))
+
+
+_TOLD = " + ".join(f"b{i}*{v}" for i, v in enumerate(["1", *quantile_regression.CALENDAR]))
+_SORTED = ", ".join(R(f"GREATEST(LIST_SORT([MAX(v) FILTER (WHERE metric = '{m}' AND prob = 0.5), MAX(v) FILTER (WHERE metric = '{m}' AND prob = 0.95), MAX(v) FILTER (WHERE metric = '{m}' AND prob = 0.99)])[{i + 1}], 0)", 3) + f" AS {m}_{p}"
+                    for m in DM for i, p in enumerate(forecast.DEMAND_PROBS))
+
+
+@query("forecast_demand_regression", f"""{DEMAND_FIT_SQL}, g AS (SELECT step, h, {CAL_SQL.format(t='h')} FROM steps),
+tv AS (SELECT volume_id, step, h, metric, prob, {_TOLD} AS v FROM g, fit)
+SELECT volume_id, step, h AS forecast_hour, {_SORTED} FROM tv GROUP BY 1, 2, 3""")
+def _(spark, d):
+    e, fits = demand_rows(spark, d)
+    f = forecast.demand_regression(e, forecast.next_hour(e), DM, fits=fits)
+    return f.select("volume_id", F.col("step").cast("bigint").alias("step"), "forecast_hour", *r4(f, *[f"{m}_{p}" for m in DM for p in forecast.DEMAND_PROBS], n=3))
+
+
 # --- scenarios ------------------------------------------------------------------------
 
 WIF_SQL = f"""{WC}, {TREND_SQL}, sc AS (SELECT fc.*, g AS added_gb, total_gb/(total_gb+g) AS f FROM fc, (VALUES (500.0::DOUBLE), (1000.0::DOUBLE)) q(g)),
