@@ -88,7 +88,8 @@ def test_regression_is_no_worse_than_seasonal_quantiles_on_later_rows(spark):
     start = F.lit("2026-04-16 00:00:00").cast("timestamp_ntz")
     cols = {f"a_{p}": q for p, q in forecast.DEMAND_PROBS.items()}
     total = {}
-    for name, told in (("seasonal", forecast.demand_forecast(train, start, ["a"])), ("regression", forecast.demand_regression(train, start, ["a"]))):
+    fits = qr.fit_quantiles(qr.with_calendar(train, "ts"), ["a"], list(forecast.DEMAND_PROBS.values()), qr.CALENDAR, steps=8)
+    for name, told in (("seasonal", forecast.demand_forecast(train, start, ["a"])), ("regression", forecast.demand_regression(train, start, ["a"], fits=fits))):
         met = later.join(told.withColumnRenamed("forecast_hour", "ts"), ["volume_id", "ts"])
         assert met.count() == 72
         assert met.where("a_p50 > a_p95 OR a_p95 > a_p99 OR a_p50 < 0").count() == 0
@@ -98,7 +99,7 @@ def test_regression_is_no_worse_than_seasonal_quantiles_on_later_rows(spark):
 
 def test_losses_of_fits(spark, samples):
     df = qr.with_calendar(samples, "ts").where("volume_id = 2")
-    fits = qr.fit_quantiles(df, ["a", "b"], [0.5], qr.CALENDAR)
+    fits = qr.fit_quantiles(df, ["a", "b"], [0.5], qr.CALENDAR, steps=8)
     loss = {r["metric"]: r["loss"] for r in qr.smoothed_loss(df, fits, ["a", "b"], qr.CALENDAR).collect()}
     flat = {m: df.agg(F.avg(F.abs(F.col(m) - F.lit(df.approxQuantile(m, [0.5], 0.0)[0])) / 2)).first()[0] for m in "ab"}
     assert loss["a"] < flat["a"] and loss["b"] <= flat["b"] * 1.01

@@ -25,12 +25,15 @@ from tidewatch.session import stage
 
 #: Cyclic forms of the hour and the weekday.
 CALENDAR = ["hour_sin", "hour_cos", "day_sin", "day_cos"]
-STEPS, FALL, SMOOTHING, RIDGE = 20, 0.8, 0.03, 1e-5
+STEPS, FALL, SMOOTHING, RIDGE = 18, 0.75, 0.05, 1e-3
 
 
 def bandwidths(steps: int = STEPS) -> list[float]:
     """Bandwidth of each step, in deviations of the metric."""
-    return [max(SMOOTHING, FALL ** t) for t in range(steps)]
+    h = [1.0]
+    while len(h) < steps:
+        h.append(max(SMOOTHING, h[-1] * FALL))
+    return h
 
 
 def coefficient_names(features: list[str]) -> list[str]:
@@ -59,29 +62,28 @@ def fit_quantiles(df: DataFrame, metrics: list[str], probs: list[float], feature
 
     names = coefficient_names(features)
     fits = stats.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    fits = fits.withColumn("b_intercept", F.col("mean") + F.col("spread") * F.signum(F.col("prob") - 0.5))
-    fits = fits.withColumns({name: F.lit(0.0) for name in names[1:]})
-    keys = [entity, "metric", "prob"]
-    carried = ["n", "spread", "parts", *names]
-    x = [F.lit(1.0), *[F.col(f) for f in features]]
-    for h in bandwidths(steps):
-        copies = fits.select(*keys, *carried, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        joined = rows.join(copies, [entity, "metric", "part"])
-        width = F.col("spread") * h
-        fitted = sum((F.col(b) * v for b, v in zip(names[1:], x[1:])), F.col(names[0]))
-        # share of the loss's slope: 1 far below the fit, 0 far above it
-        below = 1 / (1 + F.exp((F.col("y") - fitted) / width))
-        weighed = joined.withColumn("_p", below).withColumns({"_g": F.col("prob") - F.col("_p"), "_w": F.col("_p") * (1 - F.col("_p")) / width})
-        sums = {f"_s{i}": F.sum(F.col("_g") * x[i]) for i in range(len(x))}
-        sums |= {f"_h{i}_{j}": F.sum(F.col("_w") * x[i] * x[j]) + (F.lit(RIDGE) * F.first("n") / F.first("spread") if i == j else 0)
-                 for i in range(len(x)) for j in range(i + 1)}
-        system = weighed.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carried], *[e.alias(c) for c, e in sums.items()])
-        step = [f"_x{i}" for i in range(len(x))]
-        solved = solve_symmetric(system, [[f"_h{i}_{j}" for j in range(i + 1)] for i in range(len(x))], [f"_s{i}" for i in range(len(x))], step)
-        # no step moves a coefficient by more than the deviation
-        limit = F.least(F.lit(1.0), F.try_divide(F.col("spread"), F.greatest(*[F.abs(s) for s in step])))
-        fits = stage(solved.withColumn("_t", limit).select(*keys, "n", "spread", "parts", *[(F.col(b) + F.col(s) * F.col("_t")).alias(b) for b, s in zip(names, step)]), "quantile-fits")
-    return fits.drop("parts")
+    fits = fits.withColumns({names[0]: F.col("mean") + F.col("spread") * F.signum(F.col("prob") - 0.5), **{name: F.lit(0.0) for name in names[1:]}})
+    keys, carried = [entity, "metric", "prob"], ["n", "spread", "parts", *names]
+    x = ["1.0D", *[f"`{f}`" for f in features]]
+    n, b = len(x), [f"`{name}`" for name in names]
+    # share of the loss's slope: 1 far below the fit, 0 far above it
+    below = f"1 / (1 + exp((y - ({' + '.join(f'{c}*{v}' for c, v in zip(b, x))})) / (spread*h)))"
+    sums = [f"sum((prob - _p)*{x[i]}) AS _s{i}" for i in range(n)]
+    sums += [f"sum(_p*(1 - _p)/(spread*h)*{x[i]}*{x[j]})" + (f" + {RIDGE!r}D*first(n)/first(spread)" if i == j else "") + f" AS _h{i}_{j}" for i in range(n) for j in range(i + 1)]
+    first = [f"first(`{c}`) AS `{c}`" for c in [*carried, "h"]]
+    step = [f"_x{i}" for i in range(n)]
+    # no step moves a coefficient by more than the deviation
+    limit = f"least(1.0D, try_divide(spread, greatest({', '.join(f'abs({s})' for s in step)})))"
+    moved = [f"{c} + {s}*{limit} AS {c}" for c, s in zip(b, step)]
+    # the bandwidth is data, so that every pass runs the same compiled code
+    fits = fits.withColumn("h", F.lit(1.0))
+    for _ in range(steps):
+        copies = fits.selectExpr(*[f"`{c}`" for c in [*keys, *carried]], "h", "explode(sequence(0L, parts - 1)) AS part")
+        weighed = rows.join(copies, [entity, "metric", "part"]).selectExpr("*", f"{below} AS _p")
+        system = weighed.groupBy(*keys).agg(*map(F.expr, [*first, *sums]))
+        solved = solve_symmetric(system, [[f"_h{i}_{j}" for j in range(i + 1)] for i in range(n)], [f"_s{i}" for i in range(n)], step)
+        fits = stage(solved.selectExpr(*[f"`{k}`" for k in keys], "n", "spread", "parts", f"greatest({SMOOTHING}D, h*{FALL}D) AS h", *moved), "quantile-fits")
+    return fits.drop("parts", "h")
 
 
 def predict_quantiles(grid: DataFrame, fits: DataFrame, features: list[str], entity: str = "volume_id") -> DataFrame:
