@@ -109,3 +109,11 @@ def test_ensemble_run_ranges(spark, small):
     assert r.count() == r.select("volume_id", "ts").distinct().count()
     by_entity = run_ensemble(t, trees=5, by_entity=True)
     assert by_entity.select("volume_id").distinct().count() < 4
+
+
+def test_rows_without_a_sequence_score_nothing(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "volume_id int, ts int")
+    scored = spark.createDataFrame([(1, 2, 70.0, True)], "volume_id int, ts int, sequence_score double, sequence_flagged boolean")
+    out = fusion.add_sequence_scores(rows, scored)
+    assert {(r["volume_id"], r["ts"]): (r["sequence_score"], r["sequence_flagged"]) for r in out.collect()} == {
+        (1, 1): (0.0, False), (1, 2): (70.0, True), (2, 1): (0.0, False)}

@@ -205,3 +205,52 @@ FROM events
 """
 
 CLASSES = ["click", "error", "purchase", "signup", "view"]
+
+
+# --- a stored forest ----------------------------------------------------------------------
+# Complete trees whose nodes follow from their numbers (the root is 1, the children of i are
+# 2i and 2i + 1), so that SQL can walk the same forest.
+
+RULE_TREES, RULE_DEPTH = 5, 4
+#: Columns with the range that cuts are spread over.
+RULE_COLUMNS = {"total_iops": (0.0, 300.0), "avg_latency_us": (0.0, 2500.0), "hour": (0.0, 24.0), "day_of_week": (0.0, 7.0)}
+
+
+def rule_cut(tree: int, node: int) -> tuple[int, float]:
+    """Column and cut of an inner node."""
+    feature = (tree * 7 + node * 3) % len(RULE_COLUMNS)
+    low, high = list(RULE_COLUMNS.values())[feature]
+    return feature, low + (high - low) * ((node * 37 + tree * 11) % 97 + 1) / 98
+
+
+def rule_cover(tree: int, node: int) -> int:
+    """Rows under a node: a rule for leaves, sums above them."""
+    return 1 + (node * 13 + tree * 5) % 20 if node >> RULE_DEPTH else rule_cover(tree, 2 * node) + rule_cover(tree, 2 * node + 1)
+
+
+def rule_nodes() -> list[dict]:
+    """The forest as node rows; leaves hold the shares of two classes."""
+    out = []
+    for t in range(RULE_TREES):
+        for i in range(1, 2 << RULE_DEPTH):
+            leaf, p = i >> RULE_DEPTH, (i * 29 + t * 17) % 101 / 100
+            feature, cut = (-1, None) if leaf else rule_cut(t, i)
+            out.append({"tree": t, "node": i - 1, "feature": feature, "cut": cut, "left": -1 if leaf else 2 * i - 1, "right": -1 if leaf else 2 * i,
+                        "cover": float(rule_cover(t, i)), "value": [p, 1 - p] if leaf else [0.5, 0.5]})
+    return out
+
+
+_CUTS = "CASE (t*7 + i*3) % 4 " + " ".join(f"WHEN {f} THEN {low}::DOUBLE + {high - low}::DOUBLE * ((i*37 + t*11) % 97 + 1) / 98" for f, (low, high) in enumerate(RULE_COLUMNS.values())) + " END"
+#: CTE ``rl``: a row per leaf (t, leaf) with n rows, share p of the first class, and for each column its interval (l, h] and share z.
+RULE_SQL = f"""rb AS (SELECT t, {1 << RULE_DEPTH} + j AS leaf FROM (SELECT UNNEST(RANGE(0, {RULE_TREES})) AS t) a, (SELECT UNNEST(RANGE(0, {1 << RULE_DEPTH})) AS j) b),
+rc AS (SELECT t, leaf >> k AS i, SUM(1 + (leaf*13 + t*5) % 20)::DOUBLE AS cover FROM rb, (SELECT UNNEST(RANGE(0, {RULE_DEPTH + 1})) AS k) k GROUP BY 1, 2),
+rp AS (SELECT t, leaf, leaf >> k AS i, leaf >> (k - 1) AS child, (leaf >> (k - 1)) & 1 AS bit FROM rb, (SELECT UNNEST(RANGE(1, {RULE_DEPTH + 1})) AS k) k),
+rq AS (SELECT rp.t, leaf, (rp.t*7 + rp.i*3) % 4 AS f, bit, {_CUTS.replace('(t', '(rp.t').replace('(i', '(rp.i').replace('+ t*', '+ rp.t*').replace('+ i*', '+ rp.i*')} AS cut, b.cover / a.cover AS share
+  FROM rp JOIN rc a ON a.t = rp.t AND a.i = rp.i JOIN rc b ON b.t = rp.t AND b.i = rp.child),
+rl AS (SELECT t, leaf, 1 + (leaf*13 + t*5) % 20 AS n, (leaf*29 + t*17) % 101 / 100.0::DOUBLE AS p,
+  {', '.join(f"MAX(cut) FILTER (WHERE f = {f} AND bit = 1) AS l{f}, MIN(cut) FILTER (WHERE f = {f} AND bit = 0) AS h{f}, COALESCE(PRODUCT(share) FILTER (WHERE f = {f}), 1) AS z{f}" for f in range(len(RULE_COLUMNS)))}
+  FROM rq GROUP BY t, leaf)"""
+
+
+def rule_inside_sql(f: int, x: str) -> str:
+    return f"(l{f} IS NULL OR {x} > l{f}) AND (h{f} IS NULL OR {x} <= h{f})"
