@@ -82,7 +82,7 @@ qa AS (SELECT QUANTILE_CONT(raw_score, 0.02) AS a, QUANTILE_CONT(raw_score, 0.05
 nm AS (SELECT volume_id, ts, stat_score, train, LEAST(100, GREATEST(0, (c - raw_score)/(c - a)*100)) AS forest_score, raw_score < b AS forest_flagged,
   LEAST(100, GREATEST(0, error/e99*100)) AS sequence_score, error > e95 AS sequence_flagged FROM w, qa),
 sq AS (SELECT volume_id, ts, stat_score, forest_score, forest_flagged, stat_score >= 40 AS stat_flagged,
-  CASE WHEN volume_id % 4 = 0 THEN 0 ELSE sequence_score END AS sequence_score, CASE WHEN volume_id % 4 = 0 THEN FALSE ELSE sequence_flagged END AS sequence_flagged FROM nm),
+  sequence_score, sequence_flagged FROM nm),
 en AS (SELECT *, 0.35*stat_score + 0.35*forest_score + 0.30*sequence_score AS ensemble_score, stat_flagged::INT + forest_flagged::INT + sequence_flagged::INT AS n_agreeing FROM sq),
 ez AS (SELECT *, ensemble_score >= 25 AND n_agreeing >= 2 AS is_anomaly FROM en)"""
 
@@ -113,15 +113,12 @@ def _(spark, d):
 def _(spark, d):
     w = raw_scores(spark, d)
     n = fusion.normalise_errors(w, w.where("train"))
-    out = fusion.add_sequence_scores(w.select("volume_id", "ts"), n.where("volume_id % 4 <> 0"))
+    out = fusion.add_sequence_scores(w.select("volume_id", "ts"), n)
     return out.select("volume_id", "ts", rnd(F.col("sequence_score"), 4).alias("sequence_score"), "sequence_flagged")
 
 
 def fused(spark, d):
     n = normalised(spark, d)
-    has = F.col("volume_id") % 4 != 0
-    n = n.withColumns({"sequence_score": F.when(has, F.col("sequence_score")).otherwise(0.0),
-                       "sequence_flagged": F.when(has, F.col("sequence_flagged")).otherwise(False)})
     n = n.withColumn("ensemble_score", fusion.fuse(list(fusion.WEIGHTS))).withColumn("stat_flagged", F.col("stat_score") >= 40)
     return fusion.consensus(n, ["stat_flagged", "forest_flagged", "sequence_flagged"], 25.0, 2)
 

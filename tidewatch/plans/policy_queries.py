@@ -198,11 +198,13 @@ an AS (SELECT sl.volume_id, sl.ts, sl.hotspot_score, sl.workload_type, sl.tier,
   FROM sl LEFT JOIN dz ON dz.volume_id = sl.volume_id LEFT JOIN lc ON lc.volume_id = sl.volume_id LEFT JOIN tw ON tw.volume_id = sl.volume_id)"""
 
 
-@query("view_volumes", f"""{ANALYSIS}, lv AS (SELECT * FROM t WHERE volume_id % 6 <> 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY volume_id ORDER BY ts DESC) = 1)
+@query("view_volumes", f"""{ANALYSIS}, lv AS (SELECT * FROM t WHERE ts > (SELECT MAX(ts) FROM t) - INTERVAL 3 DAY QUALIFY ROW_NUMBER() OVER (PARTITION BY volume_id ORDER BY ts DESC) = 1)
 SELECT an.volume_id, {R('hotspot_score', 4)} AS hotspot_score, an.workload_type, an.tier, capacity_used_pct, {R('risk_score', 6)} AS risk_score,
   COALESCE(lv.total_iops, 0) AS current_iops, COALESCE(lv.avg_latency_us, 0) AS current_latency_us, COALESCE(lv.ts, an.ts) AS last_seen, lv.ts IS NOT NULL AS is_live FROM an LEFT JOIN lv ON an.volume_id = lv.volume_id""")
 def _(spark, d):
-    live = latest_rows(telemetry(spark, d).where("volume_id % 6 <> 0"))
+    # live is what reported in the newest days
+    t = telemetry(spark, d)
+    live = latest_rows(t.where(F.col("ts") > t.agg(F.max("ts")).scalar() - F.expr("INTERVAL 3 DAYS")))
     v = views.volume_list(analysis(spark, d), live)
     return v.withColumns({"hotspot_score": rnd(F.col("hotspot_score"), 4), "risk_score": rnd(F.col("risk_score"), 6)})
 

@@ -102,10 +102,10 @@ DAY_SQL = """dd AS (SELECT volume_id, DATE_TRUNC('day', ts) AS day, ARG_MAX(capa
 
 
 @query("aggregate_end_of_day", """
-SELECT user_id AS volume_id, DATE_TRUNC('day', ts) AS day, ARG_MAX(value, (ts, event_id)) FILTER (WHERE event_id % 3 <> 0) AS v
+SELECT user_id AS volume_id, DATE_TRUNC('day', ts) AS day, ARG_MAX(value, (ts, event_id)) AS v
 FROM events GROUP BY 1, 2""")
 def _(spark, d):
-    e = events(spark, d).withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("total_iops")))
+    e = events(spark, d).withColumn("v", F.col("total_iops"))
     return summaries.end_of_day(e, ["v"], EVENTS)
 
 
@@ -332,10 +332,10 @@ def _(spark, d):
     return a.orderBy(F.col("hotspot_score").desc(), "volume_id", "ts")
 
 
-@query("rank_by_urgency", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS days FROM orders ORDER BY days NULLS LAST")
+@query("rank_by_urgency", "SELECT o_orderkey AS id, o_totalprice AS days FROM orders UNION ALL SELECT -1, NULL ORDER BY days NULLS LAST")
 def _(spark, d):
-    o = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("days"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("days"))
+    o = o.unionByName(spark.createDataFrame([(-1, None)], o.schema))
     return ranking.by_urgency(o, "days", ["id"])
 
 
