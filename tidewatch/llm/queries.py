@@ -158,25 +158,47 @@ _SLOTS = "(chr(1), '0', chr(2))"
 
 
 @query("op8_decontaminate", rf"""
-WITH m AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
-a AS (SELECT k, id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+WITH m AS (SELECT 'd' AS k, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM benchmark),
+a AS (SELECT k, r, id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
       '([\p{{Ll}}\p{{N}},;:] )(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}\x01]+', ' ', 'g'),
-      '(\p{{N}})(\p{{L}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g') AS r FROM m),
-t AS (SELECT k, id, [x FOR x IN string_split(r, ' ') IF x <> ''] AS r,
-      [x FOR x IN string_split(lower(regexp_replace(regexp_replace(r, chr(1) || '[^ ]+', chr(1), 'g'), '\p{{N}}+', '0', 'g')), ' ') IF x <> ''] AS c FROM a),
-u AS (SELECT k, id, r, [CASE WHEN i > 1 AND c[i - 1] = '0' AND c[i] IN ({_UNITS}) THEN chr(2) ELSE c[i] END FOR i IN range(1, len(c) + 1)] AS c FROM t),
-z AS (SELECT DISTINCT least(len(c), {decontaminate.WINDOW}) AS s FROM u WHERE k = 'i' AND len(c) > 0),
-w AS (SELECT k, id, r, c, s, unnest(range(1, len(c) - s + 2)) AS p FROM u, z WHERE CASE WHEN k = 'i' THEN s = least(len(c), {decontaminate.WINDOW}) ELSE len(c) >= s END),
-x AS (SELECT k, id, p, s, array_to_string(c[p:p + s - 1], ' ') AS h, r[p:p + s - 1] AS r, c[p:p + s - 1] AS c FROM w),
-i AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM x WHERE k = 'i' AND 2 * len([y FOR y IN c IF y NOT IN {_SLOTS}]) >= s),
-j AS (SELECT d.id AS doc_id, i.id AS item, i.p, i.n, i.r AS mine, d.r AS theirs, i.c FROM x d JOIN i ON d.k = 'd' AND d.h = i.h AND d.s = i.s),
-g AS (SELECT doc_id, item, count(DISTINCT p) AS covered, any_value(n) AS n FROM j GROUP BY doc_id, item HAVING count(DISTINCT p) >= {decontaminate.SHARE} * any_value(n)),
-e AS (SELECT doc_id, item, unnest(c) AS kind, lower(unnest(mine)) AS mine, lower(unnest(theirs)) AS theirs FROM j SEMI JOIN g USING (doc_id, item)),
-o AS (SELECT DISTINCT * FROM e WHERE kind IN {_SLOTS}),
-b AS (SELECT doc_id, item FROM o GROUP BY doc_id, item HAVING count(*) > count(DISTINCT (kind, mine)) OR count(*) > count(DISTINCT (kind, theirs))),
-l AS (SELECT doc_id, count(*) AS n_items, min({{'c': -covered::DOUBLE / n, 'item': item}}) AS best FROM g ANTI JOIN b USING (doc_id, item) GROUP BY doc_id)
-SELECT d.doc_id, l.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, best.item AS item, coalesce(-best.c, 0.0)::DOUBLE AS covered
-FROM documents d LEFT JOIN l USING (doc_id)
+      '(\p{{N}})(\p{{L}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g') AS t FROM m),
+b AS (SELECT k, r, id, trim(t) AS raw, [x FOR x IN string_split(lower(replace(t, chr(1), '')), ' ') IF x <> ''] AS e,
+      [x FOR x IN string_split(lower(regexp_replace(regexp_replace(t, chr(1) || '[^ ]+', chr(1), 'g'), '\p{{N}}+', '0', 'g')), ' ') IF x <> ''] AS c FROM a),
+u AS (SELECT k, r, id, raw, e, [CASE WHEN i > 1 AND c[i - 1] = '0' AND c[i] IN ({_UNITS}) THEN chr(2) ELSE c[i] END FOR i IN range(1, len(c) + 1)] AS c FROM b),
+y AS (SELECT * FROM u WHERE k = 'i' AND len(c) > 0),
+z AS (SELECT DISTINCT least(len(c), {decontaminate.WINDOW}) AS s FROM y),
+-- an item's windows: templates, that of a first token taken for a name, and exact ones
+v AS (SELECT r, id, least(len(c), {decontaminate.WINDOW}) AS s, c, e, unnest(range(1, len(c) - least(len(c), {decontaminate.WINDOW}) + 2)) AS pos FROM y),
+w AS (SELECT r, id, s, pos, false AS exact, c[pos:pos + s - 1] AS q FROM v
+      UNION ALL SELECT r, id, s, pos, false, list_concat([chr(1)], c[2:s]) FROM v WHERE pos = 1 AND r IN (SELECT r FROM y WHERE regexp_matches(raw, '^\p{{Lu}}'))),
+x AS (SELECT r, id, s, pos, exact, 'T' || array_to_string(q, ' ') AS h FROM w WHERE 2 * len([o FOR o IN q IF o NOT IN {_SLOTS}]) >= s
+      UNION ALL SELECT r, id, s, pos, true, 'E' || array_to_string(e[pos:pos + s - 1], ' ') FROM v),
+n AS (SELECT r, count(DISTINCT pos) FILTER (WHERE NOT exact) AS n, count(DISTINCT pos) AS places FROM x GROUP BY r),
+f AS MATERIALIZED (SELECT * FROM (
+      SELECT r, s, unnest(range(1, len(c) - s + 2)) AS p, unnest(['T' || array_to_string(c[p:p + s - 1], ' ') FOR p IN range(1, len(c) - s + 2)]) AS h FROM u, z WHERE k = 'd' AND len(c) >= s
+      UNION ALL SELECT r, s, unnest(range(1, len(c) - s + 2)), unnest(['E' || array_to_string(e[p:p + s - 1], ' ') FOR p IN range(1, len(c) - s + 2)]) FROM u, z WHERE k = 'd' AND len(c) >= s)
+      WHERE (s, h) IN (SELECT s, h FROM x)),
+-- aligned windows d: document row, item row i, places p and pos
+l AS MATERIALIZED (SELECT f.r AS d, x.r AS i, f.p, x.pos, x.s, x.exact, f.p - x.pos AS diag, n.n, n.places FROM f JOIN x ON x.h = f.h AND x.s = f.s JOIN n ON n.r = x.r),
+ca AS (SELECT d, i, any_value(n) AS n, any_value(places) AS places, count(DISTINCT pos) FILTER (WHERE NOT exact) AS a, count(DISTINCT pos) AS b FROM l GROUP BY d, i),
+cv AS (SELECT d, i, CASE WHEN n > 0 AND a >= {decontaminate.SHARE} * n THEN a::DOUBLE / n ELSE b::DOUBLE / places END AS c FROM ca
+       WHERE (n > 0 AND a >= {decontaminate.SHARE} * n) OR b >= {decontaminate.SHARE} * places),
+-- occurrences: a diagonal, a run of near diagonals (a place for its best one only), or the whole text
+k0 AS (SELECT d, i, diag, count(*) AS wt FROM l SEMI JOIN cv USING (d, i) GROUP BY d, i, diag),
+k1 AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY d, i ORDER BY diag) <= {decontaminate.WINDOW} THEN 0 ELSE 1 END AS new, count(*) OVER (PARTITION BY d, i) AS many FROM k0),
+k2 AS (SELECT *, sum(new) OVER (PARTITION BY d, i ORDER BY diag) AS run FROM k1),
+k3 AS (SELECT l.*, many, run, row_number() OVER (PARTITION BY l.d, l.i, run, p ORDER BY wt DESC, l.diag) AS nth, first_value(l.diag) OVER (PARTITION BY l.d, l.i, run, p ORDER BY wt DESC, l.diag) AS top
+       FROM l JOIN k2 ON k2.d = l.d AND k2.i = l.i AND k2.diag = l.diag),
+oc AS (SELECT *, 'diagonal' AS kind, diag AS place FROM k3 UNION ALL SELECT *, 'text', 0 FROM k3 WHERE many > 1 UNION ALL SELECT *, 'run', run FROM k3 WHERE many > 1 AND diag = top),
+en AS (SELECT d, i, kind, place FROM oc GROUP BY d, i, kind, place
+       HAVING (any_value(n) > 0 AND count(DISTINCT pos) FILTER (WHERE NOT exact) >= {decontaminate.SHARE} * any_value(n)) OR count(DISTINCT pos) >= {decontaminate.SHARE} * any_value(places)),
+sl AS (SELECT DISTINCT o.d, o.i, o.kind, o.place, unnest(td.c[p:p + s - 1]) AS slot, unnest(ti.e[pos:pos + s - 1]) AS mine, unnest(td.e[p:p + s - 1]) AS theirs
+       FROM oc o SEMI JOIN en ON en.d = o.d AND en.i = o.i AND en.kind = o.kind AND en.place = o.place JOIN u td ON td.k = 'd' AND td.r = o.d JOIN u ti ON ti.k = 'i' AND ti.r = o.i),
+cl AS (SELECT d, i, kind, place FROM sl WHERE slot IN {_SLOTS} GROUP BY d, i, kind, place HAVING count(*) > count(DISTINCT (slot, mine)) OR count(*) > count(DISTINCT (slot, theirs))),
+ok AS (SELECT DISTINCT d, i FROM en ANTI JOIN cl USING (d, i, kind, place)),
+re AS (SELECT ok.d, count(DISTINCT y.id) AS n_items, min({{'c': -cv.c, 'item': y.id}}) AS best FROM ok JOIN cv USING (d, i) JOIN y ON y.r = ok.i GROUP BY ok.d)
+SELECT u.id AS doc_id, re.d IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, best.item AS item, coalesce(-best.c, 0.0)::DOUBLE AS covered
+FROM u LEFT JOIN re ON re.d = u.r WHERE u.k = 'd'
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
