@@ -40,7 +40,11 @@ def _escaped(column: str, marks: str):
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn",
             role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``(conv, window, formatted, spans)``; a span is ``(start, length, own, loss)`` of a turn in code points of ``formatted``."""
+    """``(conv, window, formatted, spans)``; a span is a turn in code points of ``formatted``.
+
+    ``start`` and ``length`` are those of its escaped text, without the marks; ``own`` says
+    whether it is the window's own turn, ``loss`` whether its text is under the loss mask.
+    """
     if history > budget:
         raise ValueError("the history may not exceed the budget")
     rows = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).cast("long").alias("t"),
@@ -54,40 +58,53 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
         F.coalesce(F.sum("s").over(W.partitionBy("c").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rows = rows.join(blocks, F.col("c").eqNullSafe(F.col("bc")) & (F.col("b") == F.col("bb"))).select(
         "c", "b", "i", "role", "tokens", (F.col("base") + F.coalesce("inside", F.lit(0))).alias("before"),
-        F.concat(F.lit(HEAD), _escaped("role", r"\\#<:"), F.lit(MIDDLE), _escaped("text", r"\\#<"), F.lit(END)).alias("piece"))
+        F.concat(F.lit(HEAD), _escaped("role", r"\\#<:"), F.lit(MIDDLE), _escaped("text", r"\\#<"), F.lit(END)).alias("piece"),
+        F.length(_escaped("text", r"\\#<")).alias("body"))
     rows = rows.withColumn("k", F.floor(F.col("before") / budget))
     rows = rows.withColumn("stop", F.max(F.col("before") + F.col("tokens")).over(W.partitionBy("c", "k")))
-    spans = rows.groupBy("c", "k").agg(F.min(F.when(F.col("role") == SYSTEM, F.struct("b", "i", "piece"))).alias("s")).select(
+    spans = rows.groupBy("c", "k").agg(F.min(F.when(F.col("role") == SYSTEM, F.struct("b", "i", "piece", "body"))).alias("s")).select(
         "c", "k", F.lead("k").over(W.partitionBy("c").orderBy("k")).alias("next"),
         F.min("s").over(W.partitionBy("c")).alias("system"), F.first("k").over(W.partitionBy("c").orderBy(F.col("s").asc_nulls_last())).alias("home"))
     keys = spans.select(F.col("c").alias("sc"), F.col("k").alias("sk"), "next")
-    own = rows.select("c", "k", F.lit(2).alias("part"), "b", "i", "piece", F.lit(True).alias("own"), (F.col("role") == TARGET).alias("loss"))
+    own = rows.select("c", "k", F.lit(2).alias("part"), "b", "i", "piece", "body", F.lit(True).alias("own"), (F.col("role") == TARGET).alias("loss"))
     kept = (rows.where(F.col("stop") - F.col("before") <= history)
             .join(keys, F.col("c").eqNullSafe(F.col("sc")) & (F.col("k") == F.col("sk")) & F.col("next").isNotNull())
-            .select("c", F.col("next").alias("k"), F.lit(1).alias("part"), "b", "i", "piece", F.lit(False).alias("own"), F.lit(False).alias("loss")))
+            .select("c", F.col("next").alias("k"), F.lit(1).alias("part"), "b", "i", "piece", "body", F.lit(False).alias("own"), F.lit(False).alias("loss")))
     system = spans.where("system IS NOT NULL AND k <> home").select(
         "c", "k", F.lit(0).alias("part"), F.col("system.b").alias("b"), F.col("system.i").alias("i"), F.col("system.piece").alias("piece"),
-        F.lit(False).alias("own"), F.lit(False).alias("loss"))
+        F.col("system.body").alias("body"), F.lit(False).alias("own"), F.lit(False).alias("loss"))
     pieces = own.unionAll(kept).unionAll(system)
-    grouped = pieces.groupBy("c", "k").agg(F.sort_array(F.collect_list(F.struct("part", "b", "i", "piece", "own", "loss"))).alias("p"))
+    grouped = pieces.groupBy("c", "k").agg(F.sort_array(F.collect_list(F.struct("part", "b", "i", "piece", "body", "own", "loss"))).alias("p"))
     return grouped.select(
         F.col("c").alias(conv_col), F.col("k").alias("window"), F.expr("array_join(transform(p, x -> x.piece), '')").alias("formatted"),
         F.expr("""aggregate(p, struct(0 AS at, cast(array() AS array<struct<start: int, length: int, own: boolean, loss: boolean>>) AS spans),
                   (a, x) -> struct(a.at + length(x.piece) AS at,
-                                   concat(a.spans, array(struct(a.at AS start, length(x.piece) AS length, x.own AS own, x.loss AS loss))) AS spans),
-                  a -> a.spans)""").alias("spans"))
+                                   concat(a.spans, array(struct(a.at + length(x.piece) - %d - x.body AS start, x.body AS length, x.own AS own, x.loss AS loss))) AS spans),
+                  a -> a.spans)""" % len(END)).alias("spans"))
 
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """``(conv, window, place, role, text, loss)``: the turns of each window's own, parsed and unescaped."""
-    rows = formatted.select(F.col(conv_col), "window", "formatted", F.posexplode_outer("spans").alias("place", "s")).where("s.own")
-    rows = rows.select(conv_col, "window", "place", F.expr("substring(formatted, s.start + 1, s.length)").alias("piece"), F.col("s.loss").alias("loss"))
+    """``(conv, window, place, role, text, loss)``: the turns of each window's own, parsed by their marks and unescaped.
+
+    The end mark parts the turns, and a role ends at the first ``: `` that is not escaped;
+    of the spans only the flags are used.
+    """
+    pieces = F.split("formatted", END, -1)
+    turns = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("piece"), F.col("spans").alias("s"))
+    rows = formatted.select(F.col(conv_col), "window", F.posexplode_outer(turns).alias("place", "turn")).where("turn.s.own")
+    rows = rows.select(conv_col, "window", "place", F.col("turn.piece").alias("piece"), F.col("turn.s.loss").alias("loss"))
     rows = rows.withColumn("head", F.regexp_extract("piece", r"^### ((?:[^\\:]+|\\.)*+): ", 1))
-    body = F.expr(f"substring(piece, length(head) + {len(HEAD) + len(MIDDLE) + 1}, length(piece) - length(head) - {len(HEAD) + len(MIDDLE) + len(END)})")
+    body = F.expr(f"substring(piece, length(head) + {len(HEAD) + len(MIDDLE) + 1})")
     plain = lambda c: F.regexp_replace(c, r"(?s)\\(.)", "$1")
     return rows.select(conv_col, "window", "place", plain(F.col("head")).alias("role"), plain(body).alias("text"), "loss")
 
 
+def loss_texts(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """``(conv, window, place, text)``: what lies under the loss mask, unescaped."""
+    rows = formatted.select(F.col(conv_col), "window", "formatted", F.posexplode_outer("spans").alias("place", "s")).where("s.loss")
+    return rows.select(conv_col, "window", "place", F.regexp_replace(F.expr("substring(formatted, s.start + 1, s.length)"), r"(?s)\\(.)", "$1").alias("text"))
+
+
 def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """One row per conversation of what its windows hold, read back from them."""
     turns = read_back(formatted, conv_col).groupBy(conv_col).agg(

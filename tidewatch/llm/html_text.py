@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -88,6 +88,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.open: list[tuple[str, int, int, int, int]] = []  # tag, aside, article, container, outermost marked element
+        #: Depths of the open elements by tag.
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)
         self.count = 0
         self._new_line()
 
@@ -96,16 +98,20 @@ class Lines(HTMLParser):
         self.lines.append([[], 0, aside, article, container, marked])
 
     def _pop_to(self, depth: int) -> None:
+        for element in self.open[depth:]:
+            self.depths[element[0]].pop()
         del self.open[depth:]
 
     def _close(self, tag: str, barrier: frozenset[str]) -> bool:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self._pop_to(depth)
-                return True
-            if self.open[depth][0] in barrier:
-                return False
-        return False
+        """Close the innermost such element with all in it, unless a barrier is open inside it."""
+        if self.open and self.open[-1][0] == tag:
+            self._pop_to(len(self.open) - 1)
+            return True
+        places = self.depths.get(tag)
+        if not places or any(self.depths[b][-1] > places[-1] for b in barrier if self.depths.get(b)):
+            return False
+        self._pop_to(places[-1])
+        return True
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES_P:
@@ -120,7 +126,7 @@ class Lines(HTMLParser):
             self.count += 1
             opens = tag in ("article", "main") or any(n == "itemprop" and v == "articleBody" for n, v in attrs)
             mine = max(_aside(tag, attrs), aside)
-            if opens and aside == MARKED and not any(x[0] == "article" for x in self.open):
+            if opens and aside == MARKED and not self.depths.get("article"):
                 mine = _aside(tag, attrs)  # what is plain inside a marked element is lifted
             if mine == MARKED and aside == PLAIN:
                 marked = self.count
@@ -128,6 +134,7 @@ class Lines(HTMLParser):
                 article = self.count
             if tag in CONTAINERS:
                 container = self.count
+            self.depths[tag].append(len(self.open))
             self.open.append((tag, mine, article, container, marked))
             if tag in BLOCKS or mine != aside:
                 self._new_line()
@@ -179,11 +186,10 @@ def _outweighing(lines: list[tuple]) -> set[int]:
         sums = figures.setdefault(marked, [0, 0])
         sums[0] += len(text)
         sums[1] += max(tags, 1)
-    total = sum(x for x, _ in figures.values())
+    total, all_tags = sum(c for c, _ in figures.values()), sum(t for _, t in figures.values())
     out = set()
     for marked, (chars, tags) in figures.items():
-        other = [(c, t) for m, (c, t) in figures.items() if m != marked]
-        rest = sum(c for c, _ in other) / max(sum(t for _, t in other), 1)
+        rest = (total - chars) / max(all_tags - tags, 1)
         if marked and 2 * chars > total and PENALTY * chars / tags > rest:
             out.add(marked)
     return out

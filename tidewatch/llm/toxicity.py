@@ -99,25 +99,29 @@ class Model:
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (begin, end, score) in one pass."""
-    found: list[list[float]] = []  # begin, end, sum before, sum through
+    """All maximal-scoring segments (begin, end, score) in one linear pass.
+
+    Each candidate links to the last one before it whose sum before is smaller: what lies
+    between can join no later segment without it, and is never looked at again.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # begin, end, sum before, sum through, link
     total = 0.0
     for i, s in enumerate(scores):
         before = total
         total += s
         if s <= 0:
             continue
-        new = [i, i + 1, before, total]
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
+        begin, start, j = i, before, len(found) - 1
+        while True:
+            while j >= 0 and found[j][2] >= start:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
                 break
-            new = [found[j][0], i + 1, found[j][2], total]
+            begin, _, start, _, link = found[j]
             del found[j:]
-        found.append(new)
-    return [(int(b), int(e), through - before) for b, e, before, through in found]
+            j = link
+        found.append((begin, i + 1, start, total, j))
+    return [(b, e, through - before) for b, e, before, through, _ in found]
 
 
 def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +232,11 @@ def train(labelled: DataFrame, prior: float = PRIOR) -> Model:
 
 def training_rows(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "toxic", most: int = TRAINING) -> DataFrame:
-    """Texts and labels of the eligible labelled rows, about ``most`` of them at most, by a hash of the id."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & eligible).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
+    """Texts and labels of the eligible labelled rows, about ``most`` of them at most, by a hash of the id.
+
+    Labels other than 0 and 1 are no labels.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & eligible).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
     every = max(1, math.ceil(known.count() / most))
     chosen = lambda c: F.pmod(F.xxhash64(c.cast("string"), F.lit("toxicity")), F.lit(every)) == 0
     texts = docs.where(chosen(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
