@@ -113,7 +113,7 @@ def test_the_loss_mask_holds_the_texts_alone(spark):
     assert [(r["conv_id"], r["role"], r["text"]) for r in read] == [(c, r or "", t or "") for c, _, r, t in turns]
     said = chat.loss_texts(windows).orderBy("conv_id", "window", "place").collect()
     assert [r["text"] for r in said] == [t for _, _, r, t in turns if r == "assistant"] == [r["text"] for r in read if r["loss"]]
-    marks = windows.select("formatted", F.explode("spans").alias("s")).where("s.loss").selectExpr("substring(formatted, s.start + 1, s.length) AS x").collect()
+    marks = windows.select("formatted", F.explode("spans").alias("s")).where("s.loss").selectExpr("substring(formatted, s.text_start + 1, s.text_length) AS x").collect()
     assert not any(r["x"].startswith(chat.HEAD) or r["x"].endswith(chat.END) for r in marks)
 
 

@@ -42,8 +42,9 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
             role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``(conv, window, formatted, spans)``; a span is a turn in code points of ``formatted``.
 
-    ``start`` and ``length`` are those of its escaped text, without the marks; ``own`` says
-    whether it is the window's own turn, ``loss`` whether its text is under the loss mask.
+    ``start`` and ``length`` are the whole turn's, ``text_start`` and ``text_length`` those of its
+    escaped text without the marks; ``own`` says whether it is the window's own turn, ``loss``
+    whether that text is under the loss mask (the marks never are).
     """
     if history > budget:
         raise ValueError("the history may not exceed the budget")
@@ -77,9 +78,10 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
     grouped = pieces.groupBy("c", "k").agg(F.sort_array(F.collect_list(F.struct("part", "b", "i", "piece", "body", "own", "loss"))).alias("p"))
     return grouped.select(
         F.col("c").alias(conv_col), F.col("k").alias("window"), F.expr("array_join(transform(p, x -> x.piece), '')").alias("formatted"),
-        F.expr("""aggregate(p, struct(0 AS at, cast(array() AS array<struct<start: int, length: int, own: boolean, loss: boolean>>) AS spans),
+        F.expr("""aggregate(p, struct(0 AS at, cast(array() AS array<struct<start: int, length: int, text_start: int, text_length: int, own: boolean, loss: boolean>>) AS spans),
                   (a, x) -> struct(a.at + length(x.piece) AS at,
-                                   concat(a.spans, array(struct(a.at + length(x.piece) - %d - x.body AS start, x.body AS length, x.own AS own, x.loss AS loss))) AS spans),
+                                   concat(a.spans, array(struct(a.at AS start, length(x.piece) AS length, a.at + length(x.piece) - %d - x.body AS text_start,
+                                                              x.body AS text_length, x.own AS own, x.loss AS loss))) AS spans),
                   a -> a.spans)""" % len(END)).alias("spans"))
 
 
@@ -102,7 +104,7 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 def loss_texts(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """``(conv, window, place, text)``: what lies under the loss mask, unescaped."""
     rows = formatted.select(F.col(conv_col), "window", "formatted", F.posexplode_outer("spans").alias("place", "s")).where("s.loss")
-    return rows.select(conv_col, "window", "place", F.regexp_replace(F.expr("substring(formatted, s.start + 1, s.length)"), r"(?s)\\(.)", "$1").alias("text"))
+    return rows.select(conv_col, "window", "place", F.regexp_replace(F.expr("substring(formatted, s.text_start + 1, s.text_length)"), r"(?s)\\(.)", "$1").alias("text"))
 
 
 def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
