@@ -98,6 +98,17 @@ def test_admission_brute_force(spark):
     assert len(got) == 300
 
 
+def test_admission_in_chunks_is_the_same_fold(spark):
+    """A busy cluster without a quiet hour, in chunks of a few requests, and one with a gap."""
+    rows, df = random_moves(spark, 240, 1, 900, 5)
+    later = spark.createDataFrame([(0, 1000 + i, T0 + dt.timedelta(days=2, seconds=200 * i)) for i in range(30)], "cluster_id int, action_id int, ts timestamp_ntz")
+    both = df.unionByName(later)
+    pick = lambda out: sorted((r["action_id"], r["status"], r["reason"] or "") for r in out.collect())
+    whole = pick(policy.admit(both, 2, 4, 900))
+    assert pick(policy.admit(both, 2, 4, 900, chunk_rows=8)) == whole and len(whole) == 270
+    assert policy.admit(both.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("per_hour,active", [(3, 300), (3, 1800), (1, 60), (4, 900)])
 def test_queue_drain_brute_force(spark, per_hour, active):
     rows, df = random_moves(spark, 120, 2, 900, 2)

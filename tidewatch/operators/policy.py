@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import capacity_fraction
@@ -17,11 +17,14 @@ from tidewatch.operators.joins import within_after
 from tidewatch.operators.topology import validate_migrations, with_best_target
 from tidewatch.operators.windows import hour_bucket, rollback_rate
 from tidewatch.roles import POLICY, Roles
+from tidewatch.session import stage
 
 # Gain credited to leaving a slow tier; which tiers are slow; the tier moved to.
 TIER_GAIN = 50.0
 SLOW_TIERS = ("HDD",)
 FAST_TIER = "NVMe"
+#: Requests that are folded in one place.
+CHUNK_ROWS = 100_000
 # Order in which equal gains are preferred.
 ACTIONS = ["migrate", "qos", "tier_change"]
 
@@ -77,47 +80,80 @@ def sessions(candidates: DataFrame, gap_seconds: int, roles: Roles, **kw) -> Dat
     return running_sum(marked, {"_new": "session"}, roles, **kw).drop("_s", "_new")
 
 
+def _admission(times: Iterable[int], ran: deque[int], max_concurrent: int, max_per_hour: int, active: int) -> Iterator[tuple[str, str | None]]:
+    """(status, reason) of each request in time order; ``ran`` holds the moves that count and is kept up."""
+    hour = 3_600_000_000
+    for us in times:
+        while ran and ran[0] < us - max(hour, active):
+            ran.popleft()
+        if sum(r > us - active for r in ran) >= max_concurrent:
+            yield "queued", "concurrent_limit"
+        elif sum(r >= us - hour for r in ran) >= max_per_hour:
+            yield "queued", "rate_limit"
+        else:
+            ran.append(us)
+            yield "executed", None
+
+
 def admit(candidates: DataFrame, max_concurrent: int = POLICY["max_concurrent"],
           max_per_hour: int = POLICY["max_moves_per_hour"], active_seconds: int = 300,
-          roles: Roles = Roles(entity="cluster_id", ties=("action_id",)), **kw) -> DataFrame:
+          roles: Roles = Roles(entity="cluster_id", ties=("action_id",)), chunk_rows: int = CHUNK_ROWS, **kw) -> DataFrame:
     """Run migrations as they come if the limits allow, else queue them.
 
     Whether one runs depends on those that ran before, so this is a fold in
     time order per cluster. After a quiet gap longer than both limits nothing is
-    remembered, so each cluster is cut at such gaps into independent sessions.
-    The fold reads a session batch by batch and remembers only the moves of the
-    last hour.
+    remembered, so each cluster is cut at such gaps into independent sessions, and
+    a busy session into chunks of ``chunk_rows``. Every chunk is folded from an empty
+    memory first; then those whose memory turns out to be another (the moves that the
+    chunk before left, a few times at most) are folded again, until none changes.
+    What a chunk leaves hardly depends on what it began with, so that is a round or
+    two; at worst as many rounds as a session has chunks. No task folds more than a chunk.
     """
-    gap = max(3600, active_seconds)
+    gap, active = max(3600, active_seconds), active_seconds * 1_000_000
     cut = sessions(candidates, gap, roles, **kw).withColumn("_us", F.expr(
         f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', {roles.ts})"))
-    keys = [roles.entity, "session"]
-    rows = cut.select(*keys, *roles.ties, "_us", roles.ts).repartition(*keys).sortWithinPartitions(*keys, "_us", *roles.ties)
+    cut = running_sum(cut.withColumn("_one", F.lit(1)), {"_one": "_place"}, roles, **kw)
+    keys = [roles.entity, "session", "_chunk"]
     ties, ts = list(roles.ties), roles.ts
-    hour, active = 3_600_000_000, active_seconds * 1_000_000
-
-    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ran: deque[int] = deque()
-        for pdf in batches:
-            status, reason = [], []
-            for us in pdf["_us"]:
-                while ran and ran[0] < us - max(hour, active):
-                    ran.popleft()
-                if sum(r > us - active for r in ran) >= max_concurrent:
-                    status.append("queued")
-                    reason.append("concurrent_limit")
-                elif sum(r >= us - hour for r in ran) >= max_per_hour:
-                    status.append("queued")
-                    reason.append("rate_limit")
-                else:
-                    ran.append(us)
-                    status.append("executed")
-                    reason.append(None)
-            yield pdf[[*keys, *ties, ts]].assign(status=status, reason=pd.Series(reason, index=pdf.index, dtype=object))
-
+    rows = stage(cut.withColumn("_chunk", F.floor((F.col("_place") - 1) / chunk_rows)).select(*keys, *ties, "_us", ts), "admission")
+    limits = (max_concurrent, max_per_hour, active)
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, *ties, ts]) + ", status string, reason string"
-    return rows.groupBy(*keys).applyInPandas(fold, schema)
+
+    def left(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_us", *ties], kind="stable")
+        ran = deque([] if pdf["_memory"].iloc[0] is None else list(pdf["_memory"].iloc[0]))
+        for _ in _admission(pdf["_us"], ran, *limits):
+            pass
+        return pdf.iloc[:1][keys].assign(_left=[list(ran)])
+
+    ends_schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", _left array<bigint>"
+    blank = F.lit(None).cast("array<bigint>")
+    before = W.partitionBy(*keys[:2]).orderBy("_chunk")
+    memory = stage(rows.select(*keys).distinct().withColumn("_memory", blank), "memory")
+    again, ends = memory, None
+    while True:
+        new = rows.join(again, keys).groupBy(*keys).applyInPandas(left, ends_schema)
+        if ends is not None:
+            new = new.unionByName(ends.join(again.select(*keys), keys, "left_anti"))
+        ends = stage(new, "ends")
+        told = ends.withColumn("_memory", F.lag("_left").over(before)).select(*keys, "_memory")
+        same = memory.select(*keys, F.col("_memory").alias("_was"))
+        # an empty memory is none
+        empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<bigint>"))
+        changed = told.join(same, keys).where(empty("_memory") != empty("_was")).select(*keys, "_memory")
+        again = stage(changed, "changed")
+        if again.isEmpty():
+            break
+        memory = stage(told, "memory")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_us", *ties], kind="stable")
+        ran = deque([] if pdf["_memory"].iloc[0] is None else list(pdf["_memory"].iloc[0]))
+        out = list(_admission(pdf["_us"], ran, *limits))
+        return pdf[[*keys[:2], *ties, ts]].assign(status=[s for s, _ in out], reason=pd.Series([r for _, r in out], index=pdf.index, dtype=object))
+
+    schema = ", ".join(f"{c} {types[c]}" for c in [*keys[:2], *ties, ts]) + ", status string, reason string"
+    return rows.join(memory, keys).groupBy(*keys).applyInPandas(fold, schema)
 
 
 def drain_schedule(queued: DataFrame, max_per_hour: int = POLICY["max_moves_per_hour"], active_seconds: int = 300,

@@ -59,7 +59,12 @@ def moves(spark, d):
     return actions(spark, d).where("action = 'migrate'").select((F.col("volume_id") % 5).alias("cluster_id"), "action_id", "ts")
 
 
-@query("policy_admission")
+@query("policy_admission", f"""{WA.replace('WITH ', 'WITH RECURSIVE ', 1)}, mv AS (SELECT volume_id % 5 AS cluster_id, action_id, ts, EPOCH_US(ts) AS us, ROW_NUMBER() OVER (PARTITION BY volume_id % 5 ORDER BY ts, action_id) AS i FROM a WHERE action = 'migrate'),
+fo AS (SELECT DISTINCT cluster_id, 0::BIGINT AS i, NULL::BIGINT AS action_id, []::BIGINT[] AS ran, NULL::VARCHAR AS reason FROM mv
+  UNION ALL SELECT q.cluster_id, q.i, q.action_id, CASE WHEN q.why IS NULL THEN LIST_APPEND(q.kept, q.us) ELSE q.kept END, q.why
+  FROM (SELECT *, CASE WHEN LEN(LIST_FILTER(kept, lambda x: x > us - 1800000000)) >= 1 THEN 'concurrent_limit' WHEN LEN(kept) >= 3 THEN 'rate_limit' END AS why
+    FROM (SELECT m.cluster_id, m.i, m.action_id, m.us, LIST_FILTER(f.ran, lambda x: x >= m.us - 3600000000) AS kept FROM fo f JOIN mv m ON m.cluster_id = f.cluster_id AND m.i = f.i + 1) p) q)
+SELECT mv.cluster_id, mv.action_id, mv.ts, CASE WHEN reason IS NULL THEN 'executed' ELSE 'queued' END AS status, reason FROM fo JOIN mv USING (cluster_id, i)""")
 def _(spark, d):
     return policy.admit(moves(spark, d), active_seconds=1800).select("cluster_id", "action_id", "ts", "status", "reason")
 
