@@ -3,6 +3,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,25 @@ def test_throttle_counts_from_the_last_that_passed(spark, tmp_path):
         sinks.run_available(stream, f"{tmp_path}/c", sinks.append_batches(f"{tmp_path}/out"))
     got = sinks.read_batches(spark, f"{tmp_path}/out")
     assert sorted((r["volume_id"], r["total_iops"]) for r in got.collect()) == [("a", 1.0), ("a", 3.0), ("a", 5.0), ("b", 1.0)]
+
+
+@pytest.mark.parametrize("rows", [1, 5, 12])
+def test_trailing_moments_are_those_of_frames(rows):
+    rng = np.random.default_rng(rows)
+    line = rng.normal(size=(60, 3)) * 1e4 + 1e6
+    line[20:50, 1] = 123456.789  # flat
+    line[rng.random(60) < 0.2, 2] = np.nan
+    line[30:50, 2] = np.nan
+    for since in (0, 7, 59):
+        mean, std = state.trailing_moments(line, since, rows)
+        for i in range(since, 60):
+            for j in range(3):
+                frame = line[max(0, i - rows):i, j]
+                frame = frame[~np.isnan(frame)]
+                if len(frame):
+                    assert mean[i - since, j] == pytest.approx(frame.mean(), rel=1e-12)
+                    assert std[i - since, j] == pytest.approx(frame.std(), rel=1e-7, abs=1e-6)
+                    if (frame == frame[0]).all():
+                        assert std[i - since, j] == 0.0
+                else:
+                    assert np.isnan(mean[i - since, j]) and not std[i - since, j] >= 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.numeric import round_half_up as rnd
 from tidewatch.plans.data_queries import HIGH, JSON_FIELDS, LOW, json_events
@@ -19,17 +20,33 @@ def place(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def in_parts(df, folder: str, parts: int = 3, ts: str = "ts"):
-    """``df`` as a stream of ``parts`` files in time order, one micro-batch each."""
+#: Schema of what arrives in a folder part by part.
+_arriving: dict[str, T.StructType] = {}
+PARTS = 3
+
+
+def in_parts(df, folder: str, ts: str = "ts"):
+    """``df`` as a stream that arrives in ``PARTS`` parts in time order, each with the partitions it has."""
     spark = df.sparkSession
-    shares = [i / parts for i in range(1, parts)]
-    cuts = df.agg(F.approx_percentile(F.unix_micros(F.col(ts).cast("timestamp")), shares)).first()[0] or [0] * (parts - 1)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = df if low is None else df.where(at > low)
-        part = part if high is None else part.where((at <= high) | at.isNull() if low is None else at <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    cuts = df.agg(F.approx_percentile(at, [i / PARTS for i in range(1, PARTS)])).first()[0] or []
+    part = sum(((at > c).cast("int") for c in cuts), F.lit(0))
+    df.withColumn("_part", F.coalesce(part, F.lit(0))).write.partitionBy("_part").parquet(f"{folder}/parts")
+    _arriving[folder] = T.StructType(list(df.schema.fields))
+    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+
+
+def arrive(stream, folder: str, write, mode: str = "append") -> int:
+    """Run one checkpointed query over what arrives, part after part; returns the last batch id."""
+    spark, schema, last = stream.sparkSession, _arriving.pop(folder, None), -1
+    if schema is None:
+        return sinks.run_available(stream, f"{folder}/checkpoint", write, mode)
+    parts = spark.read.schema(T.StructType([*schema.fields, T.StructField("_part", T.IntegerType())])).parquet(f"{folder}/parts")
+    for i in range(PARTS):
+        parts.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(f"{folder}/in")
+        last = max(last, sinks.run_available(stream, f"{folder}/checkpoint", write, mode))
+    return last
 
 
 def event_stream(spark, d, folder: str, marker: bool = False):
@@ -49,7 +66,7 @@ def event_stream(spark, d, folder: str, marker: bool = False):
 
 def run(spark, df, folder: str, mode: str = "append", keys: list[str] | None = None):
     """What a stream has put out when all has arrived; ``keys`` name the rows that update mode replaces."""
-    sinks.run_available(df, f"{folder}/checkpoint", sinks.append_batches(f"{folder}/out"), mode)
+    arrive(df, folder, sinks.append_batches(f"{folder}/out"), mode)
     if mode == "update":
         return sinks.read_newest(spark, f"{folder}/out", keys)
     return sinks.read_batches(spark, f"{folder}/out") if mode == "append" else sinks.read_last(spark, f"{folder}/out")
@@ -88,7 +105,7 @@ def _(spark, d):
 def _(spark, d):
     folder = place(spark)
     stream = event_stream(spark, d, folder)
-    last = sinks.run_available(stream, f"{folder}/checkpoint", sinks.keep_history(f"{folder}/history", 20, EVENTS))
+    last = arrive(stream, folder, sinks.keep_history(f"{folder}/history", 20, EVENTS))
     return sinks.read_version(spark, f"{folder}/history", last, stream.schema).select("volume_id", "event_id")
 
 
@@ -151,7 +168,7 @@ UNION ALL SELECT 'history', COUNT(*) FROM (SELECT 1 FROM events QUALIFY ROW_NUMB
 def _(spark, d):
     folder = place(spark)
     stream = event_stream(spark, d, folder)
-    last = sinks.run_available(stream, f"{folder}/checkpoint", sinks.fan_out(f"{folder}/out", 50, "total_iops", 40.0, EVENTS))
+    last = arrive(stream, folder, sinks.fan_out(f"{folder}/out", 50, "total_iops", 40.0, EVENTS))
 
     def count(df, name):
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("output"), "n")

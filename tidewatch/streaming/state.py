@@ -105,11 +105,54 @@ def session(events: DataFrame, gap: str = "30 minutes", watermark: str = "10 min
 
 # --- online detector -----------------------------------------------------------------------
 
+def _block_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the first 0, 1, .. rows of each block (blocks x rows x metrics): count, reference value, sum and sum of squares around it.
+
+    The reference is the block's first value, so that a flat stretch has sums of exactly 0.
+    NaN counts as absent.
+    """
+    known = ~np.isnan(x)
+    first = np.take_along_axis(x, known.argmax(axis=1)[:, None, :], axis=1)
+    first = np.where(np.isnan(first), 0.0, first)
+    off = np.where(known, x - first, 0.0)
+    none = np.zeros((len(x), 1, x.shape[2]))
+    count, total, squares = (np.concatenate([none, np.cumsum(v, axis=1)], axis=1) for v in (known.astype(float), off, off * off))
+    return count, first, total, squares
+
+
+def trailing_moments(line: np.ndarray, since: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the ``rows`` rows (all, if fewer) before each row of ``line`` from ``since`` on; NaN are left out.
+
+    A frame is the end of one block of ``rows`` and the start of the next: two running sums
+    and one merge of moments, whatever ``rows`` is.
+    """
+    n, width = line.shape
+    blocks = np.full((-(-n // rows) + 1, rows, width), np.nan)
+    blocks.reshape(-1, width)[:n] = line
+    at = np.arange(since, n)
+    block, offset = at // rows, at % rows
+    parts = []
+    for sums, b, taken in ((_block_sums(blocks), block, offset), (_block_sums(blocks[:, ::-1]), block - 1, rows - offset)):
+        there = b >= 0
+        count, first, total, squares = (v[np.maximum(b, 0), taken if v.shape[1] > 1 else 0] for v in sums)
+        count = np.where(there[:, None], count, 0.0)
+        some = np.maximum(count, 1.0)
+        parts.append((count, first + total / some, np.maximum(squares - total * total / some, 0.0)))
+    (n1, mean1, m1), (n2, mean2, m2) = parts
+    both = n1 + n2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        away = mean2 - mean1
+        mean = np.where(n1 == 0, mean2, mean1 + away * n2 / both)
+        spread = np.where(n1 == 0, m2, np.where(n2 == 0, m1, m1 + m2 + away * away * n1 * n2 / both))
+        return np.where(both > 0, mean, np.nan), np.where(both > 0, np.sqrt(spread / both), np.nan)
+
+
 def online_scores(events: DataFrame, entity: str = "volume_id", ts: str = "ts", rows: int = 288, min_rows: int = 12) -> DataFrame:
     """The statistical hotspot score of each event against the rows before it.
 
     State per entity: its last ``rows`` metric rows. For in-order input this
     equals the batch detector; within a micro-batch rows are put in time order.
+    A row costs a merge of two running moments, not a frame of ``rows``.
     """
     metrics = DETECTOR_METRICS
     width = len(metrics)
@@ -120,19 +163,14 @@ def online_scores(events: DataFrame, entity: str = "volume_id", ts: str = "ts",
         past = np.array(state.get[0], dtype=float).reshape(-1, width) if state.exists else np.empty((0, width))
         new = pd.concat(list(batches)).sort_values(ts, kind="stable")
         out = np.zeros(len(new))
-        for a in range(0, len(new), 4096):
-            now = new[metrics].to_numpy(dtype=float)[a:a + 4096]
+        values = new[metrics].to_numpy(dtype=float)
+        for a in range(0, len(new), 1 << 16):
+            now = values[a:a + (1 << 16)]
             line = np.vstack([past, now])
-            # Rows before the first are NaN so that every frame has the same length.
-            padded = np.vstack([np.full((rows - len(past), width), np.nan), line])
-            frames = np.lib.stride_tricks.sliding_window_view(padded[:-1], rows, axis=0)
+            mean, std = trailing_moments(line, len(past), rows)
             seen = np.minimum(len(past) + np.arange(len(now)), rows)
-            ready = seen >= min_rows
-            z = np.zeros((len(now), width))
-            if ready.any():
-                mean, std = np.nanmean(frames[ready], axis=2), np.nanstd(frames[ready], axis=2)
-                ok = std >= 1e-6
-                z[ready] = np.where(ok, (now[ready] - mean) / np.where(ok, std, 1.0), 0.0)
+            ok = (std >= 1e-6) & (seen >= min_rows)[:, None]
+            z = np.where(ok, (now - mean) / np.where(ok, std, 1.0), 0.0)
             weighted = (WEIGHTS["latency"] * z[:, lat].max(axis=1) + WEIGHTS["iops"] * z[:, iops]
                         + WEIGHTS["throughput"] * z[:, thr])
             out[a:a + len(now)] = np.clip(weighted / FULL_SCALE_Z * 100, 0, 100)
