@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import severity
 from tidewatch.operators.ranking import by_category, by_urgency, top
-from tidewatch.operators.sets import union_all, unpivot
+from tidewatch.operators.sets import unpivot
 from tidewatch.operators.summaries import action_summary, fleet_kpi
 from tidewatch.operators.windows import last_rows
 from tidewatch.roles import DEFAULT_ROLES, POLICY, Roles
@@ -85,32 +85,36 @@ def recommendations(analysis: DataFrame, tier_headroom: DataFrame, risk_rule: bo
 
     ``risk_rule`` replaces the time-to-violation rule by one on the risk score.
     """
-    def rule(df: DataFrame, when, priority, message) -> DataFrame:
+    def rule(when, priority, message):
         p = F.lit(priority) if isinstance(priority, str) else priority
-        return df.where(when).select(F.col("volume_id").cast("string").alias("volume_id"), p.alias("priority"), message.alias("message"))
+        return F.when(when, F.struct(p.alias("priority"), message.alias("message")))
+
+    def found(df: DataFrame, rules: list) -> DataFrame:
+        """The rules that hold for each row, out of one pass over the rows."""
+        hold = F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull()))
+        return df.select(F.col("volume_id").cast("string").alias("volume_id"), hold.alias("_r")).select("volume_id", "_r.*")
 
     crit, warn = F.col("critical_days"), F.col("warning_days")
     full = F.coalesce(crit < POLICY["dtf_critical_days"], F.lit(False))
     soon = ~full & F.coalesce(warn < POLICY["dtf_warning_days"], F.lit(False))
-    parts = [
-        rule(analysis, full, "CRITICAL", F.format_string("Capacity limit reached in %.1f days: expand or move cold data now.", crit)),
-        rule(analysis, soon, "WARNING", F.format_string("Capacity warning level reached in %.1f days: plan an expansion.", warn)),
-        rule(analysis, F.col("hotspot_score") >= 80, "HIGH", F.format_string("Active hotspot, score %.2f.", F.col("hotspot_score"))),
+    rules = [
+        rule(full, "CRITICAL", F.format_string("Capacity limit reached in %.1f days: expand or move cold data now.", crit)),
+        rule(soon, "WARNING", F.format_string("Capacity warning level reached in %.1f days: plan an expansion.", warn)),
+        rule(F.col("hotspot_score") >= 80, "HIGH", F.format_string("Active hotspot, score %.2f.", F.col("hotspot_score"))),
     ]
     if risk_rule:
-        parts.append(rule(analysis, F.col("risk_score") >= 0.8, "MEDIUM",
-                          F.format_string("High risk of a latency breach (%.1f%%).", F.col("risk_score") * 100)))
+        rules.append(rule(F.col("risk_score") >= 0.8, "MEDIUM", F.format_string("High risk of a latency breach (%.1f%%).", F.col("risk_score") * 100)))
     else:
         risk = F.col("risk_level")
-        parts.append(rule(analysis, risk == "critical", "CRITICAL",
+        rules.append(rule(risk == "critical", "CRITICAL",
                           F.format_string("Latency objective broken within the hour, peak p95 %.0f us: cap or move now.", F.col("max_p95_us"))))
-        parts.append(rule(analysis, risk.isin("high", "medium"), F.when(risk == "high", "HIGH").otherwise("MEDIUM"),
+        rules.append(rule(risk.isin("high", "medium"), F.when(risk == "high", "HIGH").otherwise("MEDIUM"),
                           F.format_string("Latency objective broken in %.1f h, peak p95 %.0f us: consider a move or a cap.",
                                           F.col("hours_to_breach"), F.col("max_p95_us"))))
-    tiers = tier_headroom.withColumn("volume_id", F.lit("CLUSTER"))
     text = F.format_string("Tier %s is %.1f%% full, %.0f GB left.", F.col("tier"), F.col("used_pct"), F.col("headroom_gb"))
-    parts.append(rule(tiers, F.col("used_pct") >= 80, F.when(F.col("used_pct") >= 90, "CRITICAL").otherwise("WARNING"), text))
-    return by_category(union_all(parts), "priority", PRIORITIES, ["volume_id", "message"])
+    tiers = found(tier_headroom.withColumn("volume_id", F.lit("CLUSTER")),
+                  [rule(F.col("used_pct") >= 80, F.when(F.col("used_pct") >= 90, "CRITICAL").otherwise("WARNING"), text)])
+    return by_category(found(analysis, rules).unionByName(tiers), "priority", PRIORITIES, ["volume_id", "message"])
 
 
 def score_breakdown(scored: DataFrame, k: int = 3) -> DataFrame:
