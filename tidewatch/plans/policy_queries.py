@@ -10,7 +10,7 @@ from tidewatch.operators.windows import latest_rows
 from tidewatch.plans import views
 from tidewatch.plans.detection_queries import RAW_SQL, SCORES_SQL, SEV, WITH_SCORES, fused, scores
 from tidewatch.plans.fixtures import A_SQL, CAP_SQL, E_SQL, EVENTS, T_SQL, R, actions, capacity, events, predictions, replicas, table, telemetry
-from tidewatch.plans.forecast_queries import LAT_SQL, SLO, TREND_SQL, TTV_SQL, demand, latency, recent, violation
+from tidewatch.plans.forecast_queries import DEMAND_SQL, LAT_SQL, SLO, TREND_SQL, TTV_SQL, demand, latency, recent, violation
 from tidewatch.plans.registry import query
 from tidewatch.plans.summary_queries import LATEST_SQL, WA, WP, WT, class_sql, r4
 from tidewatch.plans.topology_queries import CAPVOL, VC, GROUPS, PAIRS, PLACE, TARGET, UTIL, pairs, place, utilization, volume_capacity
@@ -300,6 +300,28 @@ def _(spark, d):
     return views.analysis_record(analysis(spark, d), pairs(spark, d), lat, dem)
 
 
+def _array_sum(c: str):
+    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+
+@query("view_analysis_figures", f"""{ANALYSIS}, vi AS ({ctes(PAIRS)} SELECT aggressor_id AS volume_id, COUNT(DISTINCT victim_id) AS n, SUM(impact) AS impact FROM pr GROUP BY 1),
+lt AS (SELECT volume_id, SUM(p50) AS p50, SUM(p90) AS p90, SUM(p95) AS p95 FROM lf GROUP BY 1),
+dm AS ({DEMAND_SQL} SELECT volume_id, SUM(p50) AS p50, SUM(p95) AS p95, SUM(p99) AS p99 FROM di GROUP BY 1)
+SELECT an.volume_id, an.ts, workload_type, {R('hotspot_score', 4)} AS hotspot_score, COALESCE(vi.n, 0) AS victims, {R('COALESCE(vi.impact, 0)', 4)} AS victim_impact, warning_days, critical_days,
+  {R('lt.p50', 3)} AS latency_p50, {R('lt.p90', 3)} AS latency_p90, {R('lt.p95', 3)} AS latency_p95, {R('dm.p50', 3)} AS demand_p50, {R('dm.p95', 3)} AS demand_p95, {R('dm.p99', 3)} AS demand_p99
+FROM an LEFT JOIN vi USING (volume_id) LEFT JOIN lt USING (volume_id) LEFT JOIN dm USING (volume_id)""")
+def _(spark, d):
+    """The record's figures, arrays as their sums."""
+    lat = forecast.forecast_arrays(latency(spark, d), ["p50", "p90", "p95"])
+    dem = forecast.forecast_arrays(demand(spark, d), ["total_iops_p50", "total_iops_p95", "total_iops_p99"])
+    r = views.analysis_record(analysis(spark, d), pairs(spark, d), lat, dem)
+    return r.select(
+        "volume_id", "ts", "workload_type", *r4(r, "hotspot_score"), F.col("neighbor_victims.count").alias("victims"), rnd(F.col("neighbor_victims.impact"), 4).alias("victim_impact"),
+        F.col("days_to_fill.warning_days").alias("warning_days"), F.col("days_to_fill.critical_days").alias("critical_days"),
+        *[rnd(_array_sum(f"latency_forecast.{p}"), 3).alias(f"latency_{p}") for p in ("p50", "p90", "p95")],
+        *[rnd(_array_sum(f"demand_forecast.total_iops_{p}"), 3).alias(f"demand_{p}") for p in ("p50", "p95", "p99")])
+
+
 @query("view_volume_forecasts", f"""{LAT_SQL} SELECT step, {R('p50', 4)} AS p50, {R('p95', 4)} AS p95 FROM lf WHERE volume_id = 1""")
 def _(spark, d):
     lat = forecast.forecast_arrays(latency(spark, d), ["step", "p50", "p95"])
