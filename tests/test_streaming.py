@@ -168,3 +168,22 @@ def test_trailing_moments_are_those_of_frames(rows):
                         assert std[i - since, j] == 0.0
                 else:
                     assert np.isnan(mean[i - since, j]) and not std[i - since, j] >= 0
+
+
+def test_deltas_are_the_whole_table_and_cost_the_batch(spark, tmp_path):
+    schema = "volume_id int, ts timestamp_ntz, total_iops double"
+    make = lambda rows: spark.createDataFrame(rows, "volume_id int, m int, total_iops double").selectExpr(
+        "volume_id", "timestampadd(MINUTE, m, TIMESTAMP_NTZ'2026-04-01 00:00:00') AS ts", "total_iops")
+    batches = [make([(v, i, float(i)) for v in range(200) for i in range(4)])] + [make([(k, 10 + k, 50.0)]) for k in range(5)]
+    keep = sinks.newest(3)
+    write = sinks.keep_deltas(f"{tmp_path}/h", keep, every=3)
+    whole = None
+    for i, b in enumerate(batches):
+        write(b, i)
+        write(b, i)  # the same batch again
+        whole = b if whole is None else whole.unionByName(b)
+        got = sinks.read_deltas(spark, f"{tmp_path}/h", i, spark.createDataFrame([], schema).schema, keep, every=3)
+        assert rows(got) == rows(windows.last_rows(whole, 3))
+    written = {i: spark.read.parquet(sinks.version_path(f"{tmp_path}/h/delta", i)).count() for i in range(6)}
+    assert written == {0: 600, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+    assert sorted(os.listdir(f"{tmp_path}/h/base")) == ["version=000000000002", "version=000000000005"]

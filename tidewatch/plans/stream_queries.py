@@ -23,6 +23,8 @@ def place(spark) -> str:
 #: Schema of what arrives in a folder part by part.
 _arriving: dict[str, T.StructType] = {}
 PARTS = 3
+#: Batches between compactions, few enough that the queries' streams see one.
+COMPACT = 2
 
 
 def in_parts(df, folder: str, ts: str = "ts"):
@@ -105,8 +107,9 @@ def _(spark, d):
 def _(spark, d):
     folder = place(spark)
     stream = event_stream(spark, d, folder)
-    last = arrive(stream, folder, sinks.keep_history(f"{folder}/history", 20, EVENTS))
-    return sinks.read_version(spark, f"{folder}/history", last, stream.schema).select("volume_id", "event_id")
+    keep = sinks.newest(20, EVENTS)
+    last = arrive(stream, folder, sinks.keep_deltas(f"{folder}/history", keep, COMPACT))
+    return sinks.read_deltas(spark, f"{folder}/history", last, stream.schema, keep, COMPACT).select("volume_id", "event_id")
 
 
 TICK = "TIME_BUCKET(INTERVAL 6 HOUR, ts)"
@@ -168,14 +171,17 @@ UNION ALL SELECT 'history', COUNT(*) FROM (SELECT 1 FROM events QUALIFY ROW_NUMB
 def _(spark, d):
     folder = place(spark)
     stream = event_stream(spark, d, folder)
-    last = arrive(stream, folder, sinks.fan_out(f"{folder}/out", 50, "total_iops", 40.0, EVENTS))
+    last = arrive(stream, folder, sinks.fan_out_deltas(f"{folder}/out", 50, "total_iops", 40.0, EVENTS, COMPACT))
+
+    def kept(name, n):
+        return sinks.read_deltas(spark, f"{folder}/out/{name}", last, stream.schema, sinks.newest(n, EVENTS), COMPACT)
 
     def count(df, name):
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("output"), "n")
 
-    return count(sinks.read_version(spark, f"{folder}/out/latest", last, stream.schema), "latest").unionByName(
+    return count(kept("latest", 1), "latest").unionByName(
         count(sinks.read_batches(spark, f"{folder}/out/alerts"), "alerts")).unionByName(
-        count(sinks.read_version(spark, f"{folder}/out/history", last, stream.schema), "history"))
+        count(kept("history", 50), "history"))
 
 
 def _window_query(spark, d, build):

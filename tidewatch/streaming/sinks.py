@@ -88,6 +88,65 @@ def fan_out(folder: str, n: int = 100, score: str = "hotspot_score", threshold:
     return write
 
 
+#: Batches between two compactions of a table kept as deltas.
+COMPACT_EVERY = 16
+
+
+def _last_base(version: int, every: int) -> int:
+    """The newest compaction up to ``version``; -1 before the first."""
+    return (version + 1) // every * every - 1
+
+
+def read_deltas(spark: SparkSession, folder: str, version: int, schema: T.StructType, reduce: Callable[[DataFrame], DataFrame],
+                every: int = COMPACT_EVERY) -> DataFrame:
+    """The table as of ``version``: its last compacted state and the batches since."""
+    base = _last_base(version, every)
+    rows = read_version(spark, f"{folder}/base", base, schema)
+    for batch in range(base + 1, version + 1):
+        rows = rows.unionByName(read_version(spark, f"{folder}/delta", batch, schema))
+    return reduce(rows)
+
+
+def keep_deltas(folder: str, reduce: Callable[[DataFrame], DataFrame], every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: a keyed table of which a batch writes what the batch itself leaves.
+
+    ``reduce`` keeps the rows of the table among given ones (the newest of each entity, say)
+    and must be repeatable. Every ``every`` batches the state is compacted, so over time a
+    batch costs its own rows and its share of one rewrite of the table.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_version(reduce(batch), f"{folder}/delta", batch_id)
+        if _last_base(batch_id, every) == batch_id:
+            before = read_deltas(batch.sparkSession, folder, batch_id - 1, batch.schema, reduce, every)
+            delta = read_version(batch.sparkSession, f"{folder}/delta", batch_id, batch.schema)
+            write_version(reduce(before.unionByName(delta)), f"{folder}/base", batch_id)
+
+    return write
+
+
+def fan_out_deltas(folder: str, n: int = 100, score: str = "hotspot_score", threshold: float = 40.0, roles: Roles = DEFAULT_ROLES,
+                   every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: newest state, history and alerts, each written as what the batch adds; read the first two by :func:`read_deltas`."""
+    history, latest = (keep_deltas(f"{folder}/{name}", keep, every) for name, keep in (("history", newest(n, roles)), ("latest", newest(1, roles))))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            history(batch, batch_id)
+            latest(batch, batch_id)
+            hot = batch.where(F.col(score) >= threshold).withColumn("severity", severity(F.col(score)))
+            write_version(hot, f"{folder}/alerts", batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def newest(n: int, roles: Roles = DEFAULT_ROLES) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the newest ``n`` rows of each entity."""
+    return (lambda df: latest_rows(df, roles)) if n == 1 else (lambda df: last_rows(df, n, roles))
+
+
 def run_available(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> int:
     """Process what has arrived, then stop; returns the last batch id."""
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
