@@ -28,3 +28,10 @@ def test_stages_take_effect(spark, small, tmp_path):
         out = after
     mixed = corpus_pipeline.STAGES[-1][1](spark, out, small)
     assert {r[0] for r in mixed.select("doc_id").distinct().collect()} <= ids and set(docs.columns) < set(mixed.columns)
+
+
+def test_pipeline_of_no_documents(spark, small, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and {"doc_id", "text", "copy"} <= set(out.columns)
