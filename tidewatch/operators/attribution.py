@@ -147,6 +147,6 @@ def explained(df: DataFrame, columns: list[str], names: list[str], target: str =
                                F.get("contribution", F.lit(i)).alias("contribution")) for i, c in enumerate(columns)])
     out = df.withColumn("contributions", F.sort_array(parts, asc=False))
     reasons = F.transform(F.slice("contributions", 1, k), lambda p: F.concat(
-        p["feature"], F.when(p["contribution"] > 0, " is high (contribution: ").otherwise(" is low (contribution: "), F.format_number(p["contribution"], 3), F.lit(")")))
+        p["feature"], F.when(p["contribution"] > 0, " raises it by ").otherwise(" lowers it by "), F.format_number(p["size"], 3)))
     label = F.get(F.array(*[F.lit(n) for n in names]), F.col(target).cast("int"))
     return out.withColumn("explanation", F.concat(F.lit("Classified as "), label, F.lit(" because: "), F.array_join(reasons, ", ")))
