@@ -257,6 +257,21 @@ def test_toxicity(spark):
     assert toxicity.clean_documents(docs, model).count() == sum(r["score"] < 0.5 for r in got.values())
 
 
+def ranking(spark, rows):
+    """Share of the pairs of held-out rows with labels 1 and 0 that the scores order rightly."""
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.train(toxicity.training_rows(docs, labels, F.col("doc_id") % 5 != 0))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    of = [[got[i] for i, _, t in rows if i % 5 == 0 and t == label] for label in (0, 1)]
+    return sum((a < b) + (a == b) / 2 for a in of[0] for b in of[1]) / (len(of[0]) * len(of[1]))
+
+
+def test_toxicity_ranks_whatever_the_label_marks(spark):
+    # where most rows are marked, the words tell of label 0
+    assert ranking(spark, [(i, f"the {x}", 1 - t) for i, x, t in toxic_corpus(300, 8)]) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -1,17 +1,18 @@
 """Toxicity by maximum-scoring segments.
 
 A word's forms are itself and its beginnings of 3 to 8 letters, so that inflected words
-share evidence. Forms get log-odds of toxic against clean training texts under a
-Dirichlet prior with the forms' overall shares; forms whose two counts differ clearly
-from equal shares, by their likelihood ratio, make the lexicon. A word scores its longest form in the
-lexicon; any other word costs a little.
+share evidence. Forms get log-odds of toxic against clean training texts, by the texts
+that hold them (a text that repeats a word counts once), under a Dirichlet prior with the
+forms' overall shares; forms whose two counts differ clearly from equal shares, by their
+likelihood ratio, make the lexicon, towards toxic and towards clean. A word scores its
+longest form in the lexicon; any other word costs a little.
 
 One linear pass finds all maximal segments of a text's scores (Ruzzo and Tompa). In
 clean texts the best segment follows an extreme-value law ``1 - exp(-K n exp(-lambda
 S))``: ``lambda`` solves the score equation of the clean words, ``K`` comes from their
 segments. Segments whose expected number by chance is small are the toxic passages;
-the evidence of all, with the share of words they cover, gives the score by a logistic
-curve fitted to the training texts.
+the evidence of all, with the share of words they cover and the evidence of clean words,
+gives the score by a logistic curve fitted to the training texts.
 
 The classifier is fitted on at most about ``TRAINING`` labelled texts, chosen by a hash
 of their id. Null and empty texts have no segments and the score of no evidence.
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import WORD, small_batches
 
 TRAINING = 20_000
-#: Weight of the prior in words, and the root of twice the log-likelihood ratio that a form must reach.
-PRIOR, CLEAR = 2_000.0, 4.0
+#: Weight of the prior in texts, and the root of twice the log-likelihood ratio that a form must reach.
+PRIOR, CLEAR = 10.0, 4.0
 #: Forms in the lexicon at most (the clearest), which bounds what tasks receive.
 MOST_FORMS = 20_000
 SHORTEST, LONGEST = 3, 8
@@ -45,6 +46,8 @@ SHORTEST, LONGEST = 3, 8
 COST = 0.15
 #: A segment expected less often than this in clean text is a toxic passage.
 EXPECTED = 0.05
+#: Figures of a text that the curve weighs.
+EVIDENCE = 5
 _WORD = re.compile(WORD)
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -66,7 +69,7 @@ class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
     scale: float = 1.0
     rate: float = 1.0
-    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (0.0,) * (EVIDENCE + 1)
 
     def word_scores(self, words: list[str], seen: dict[str, float]) -> list[float]:
         out = []
@@ -83,15 +86,16 @@ class Model:
         """Segments of at least this score expected in a clean text of ``n`` words."""
         return self.rate * max(n, 1) * math.exp(-self.scale * score)
 
-    def evidence(self, scores: list[float]) -> tuple[float, float, float]:
-        """Surprise of the best segment, of all toxic passages together, and the share of words with evidence."""
+    def evidence(self, scores: list[float]) -> tuple[float, ...]:
+        """Surprise of the best segment, of all toxic passages together, the share of words with evidence; weight and share of clean words."""
         n = len(scores)
         best = total = 0.0
         for begin, end, score in segments(scores):
             best = max(best, -math.log(max(self.expected(score, n), 1e-300)))
             total += self.scale * score
         hits = sum(s > 0 for s in scores)
-        return max(best, 0.0), math.log1p(total), hits / n if n else 0.0
+        clean = [s for s in scores if s < -COST]
+        return max(best, 0.0), math.log1p(total), hits / n if n else 0.0, math.log1p(-sum(clean)), len(clean) / n if n else 0.0
 
     def score(self, scores: list[float]) -> float:
         x = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], self.evidence(scores)))
@@ -128,31 +132,30 @@ def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by_label = (Counter(), Counter())
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            by_label[label].update(words_of(text))
+            by_label[label].update({form for word in set(words_of(text)) for form in forms(word)})
         out: dict[str, list[int]] = {}
         for label, counts in enumerate(by_label):
-            for word, n in counts.items():
-                for form in forms(word):
-                    out.setdefault(form, [0, 0])[label] += n
+            for form, n in counts.items():
+                out.setdefault(form, [0, 0])[label] = n
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(out), pa.string()), pa.array([c[0] for c in out.values()], pa.int64()), pa.array([c[1] for c in out.values()], pa.int64())],
             ["form", "clean", "toxic"])
 
 
 def _lexicon(training: DataFrame, prior: float) -> dict[str, float]:
-    """Log-odds of the forms that stand clear of zero, towards toxic."""
-    totals = training.select(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1))).alias("n"), "label")
-    sums = {r["label"]: r["n"] or 0 for r in totals.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    """Log-odds of the forms that stand clear of zero: above towards toxic, below towards clean."""
+    sums = {r["label"]: r["n"] for r in training.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_clean, n_toxic = float(sums.get(0, 0)), float(sums.get(1, 0))
     if not n_clean or not n_toxic:
         return {}
     counts = training.mapInArrow(_count_forms, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     share = (F.col("c") + F.col("t")) / (n_clean + n_toxic)
     t, c = F.col("t") + prior * share, F.col("c") + prior * share
-    odds = F.log(t / (n_toxic + prior - t)) - F.log(c / (n_clean + prior - c))
+    # a form of every text leaves nothing below the line
+    odds = F.log(t / F.greatest(n_toxic + prior - t, F.lit(0.5))) - F.log(c / F.greatest(n_clean + prior - c, F.lit(0.5)))
     part = lambda x, n: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (share * n))).otherwise(0.0)
     gain = F.sqrt(F.greatest(2 * (part("t", n_toxic) + part("c", n_clean)), F.lit(0.0)))
-    clear = counts.where("t > 1").select("form", odds.alias("o"), gain.alias("g")).where((F.col("o") > 1.0) & (F.col("g") > CLEAR))
+    clear = counts.where("t > 1 OR c > 1").select("form", odds.alias("o"), gain.alias("g")).where((F.abs("o") > 1.0) & (F.col("g") > CLEAR))
     return {r["form"]: float(r["o"]) for r in clear.orderBy(F.desc("g"), "form").limit(MOST_FORMS).collect()}
 
 
@@ -190,7 +193,7 @@ def train(labelled: DataFrame, prior: float = PRIOR) -> Model:
     model = Model()
     share = labelled.agg(F.avg("label").cast("double")).first()[0]
     base = min(max(share or 0.0, 1e-6), 1 - 1e-6)
-    model.curve = (math.log(base / (1 - base)), 0.0, 0.0, 0.0)
+    model.curve = (math.log(base / (1 - base)), *[0.0] * EVIDENCE)
     model.lexicon = _lexicon(labelled, prior)
     if not model.lexicon:
         return model
@@ -209,11 +212,11 @@ def train(labelled: DataFrame, prior: float = PRIOR) -> Model:
     # as many different scores as the lexicon has, and one
     rows = labelled.mapInArrow(clean_segments, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
     scores, counts = np.array([r["s"] for r in rows]), np.array([r["n"] for r in rows], dtype=float)
-    if len(scores) > 1 and float(scores @ counts) < 0:
+    positive = scores > 0
+    if positive.any() and float(scores @ counts) < 0:
         model.scale = _tail_rate(scores, counts)
     else:
         model.scale = 1.0
-    positive = scores > 0
     # a segment begins with a scoring word; half a count keeps the rate above zero
     model.rate = float((np.sum(counts[positive] * np.exp(model.scale * scores[positive])) + 0.5) / (counts.sum() + 1.0))
     shared = spark.sparkContext.broadcast(model)
@@ -222,10 +225,11 @@ def train(labelled: DataFrame, prior: float = PRIOR) -> Model:
         own, seen = shared.value, {}
         for batch in batches:
             x = [own.evidence(own.word_scores(words_of(t), seen)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in x], pa.float64()) for i in range(3)] + [batch.column("label")], ["a", "b", "c", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in x], pa.float64()) for i in range(EVIDENCE)] + [batch.column("label")], [*names, "label"])
 
-    rows = labelled.mapInArrow(features, "a double, b double, c double, label int").collect()  # bounded by TRAINING
-    x = np.array([[r["a"], r["b"], r["c"]] for r in rows])
+    names = [f"e{i}" for i in range(EVIDENCE)]
+    rows = labelled.mapInArrow(features, ", ".join(f"{n} double" for n in names) + ", label int").collect()  # bounded by TRAINING
+    x = np.array([[r[n] for n in names] for r in rows])
     model.curve = _logistic(x, np.array([r["label"] for r in rows], dtype=float))
     return model
 
