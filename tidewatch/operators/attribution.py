@@ -8,6 +8,10 @@ leaf, an integral over t of the other columns' ``t * inside + (1 - t) * share``:
 polynomial, which a few Gauss points integrate exactly. So contributions are exact, and
 with the base they sum to the prediction.
 
+A row enters only by which intervals of a leaf's path it lies in, so the integrals are worked
+out once for every leaf and such pattern, and rows look theirs up; paths of more than
+``LOOKED_UP`` columns are integrated row by row.
+
 A forest's nodes are as many as its training allows (trees times two to the depth), a few
 MB at most, and are broadcast; rows are worked on in Arrow batches.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 import math
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,6 +34,8 @@ from tidewatch.session import shared_folder
 NODES = "tree int, node int, feature int, cut double, left int, right int, cover double, value array<double>"
 #: Numbers of one working matrix (leaves x rows x path).
 CELLS = 1 << 21
+#: Columns on a path up to which its patterns are tabled.
+LOOKED_UP = 8
 
 
 def forest_nodes(model: RandomForestClassificationModel) -> DataFrame:
@@ -62,6 +69,47 @@ class TreeLeaves:
         low, high = self.low[:, None, :], self.high[:, None, :]
         return (~(v <= low) & ((v <= high) | np.isinf(high))) | ~self.known[:, None, :]
 
+    def parts(self, inside: np.ndarray) -> np.ndarray:
+        """What each column of a path adds to the prediction for each unit of the leaf's value (as ``inside``)."""
+        points, weights = np.polynomial.legendre.leggauss((self.column.shape[1] + 1) // 2)
+        share = self.share[:, None, :]
+        total = np.zeros(inside.shape)
+        for p, w in zip((points + 1) / 2, weights / 2):
+            factor = p * inside + (1 - p) * share
+            total += w * factor.prod(axis=2)[:, :, None] / factor
+        return total * (inside - share)
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """:meth:`parts` of all patterns (leaves times patterns x path); bit j tells whether the row lies in interval j."""
+        leaves, depth = self.column.shape
+        bits = (np.arange(1 << depth)[:, None] >> np.arange(depth)) & 1 > 0
+        return self.parts(bits[None] | ~self.known[:, None, :]).reshape(leaves << depth, depth)
+
+    @cached_property
+    def bins(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each column its cuts, and the bits it sets in the leaves' patterns by how many cuts lie under a value."""
+        out = []
+        for f in np.unique(self.column[self.known]):
+            leaf, j = np.nonzero(self.known & (self.column == f))
+            low, high = self.low[leaf, j], self.high[leaf, j]
+            cuts = np.unique(np.concatenate([low, high]))
+            cuts = cuts[np.isfinite(cuts)]
+            under = np.arange(len(cuts) + 1)[:, None]
+            inside = (under > np.where(np.isinf(low), -1, np.searchsorted(cuts, low))) & (under <= np.where(np.isinf(high), len(cuts), np.searchsorted(cuts, high)))
+            bits = np.zeros((len(cuts) + 1, len(self.column)), dtype=np.int64)
+            bits[:, leaf] = inside << j
+            out.append((int(f), cuts, bits))
+        return out
+
+    def patterns(self, x: np.ndarray) -> np.ndarray:
+        """Pattern of each row at each leaf (rows x leaves); NaN lies above all cuts."""
+        depth = self.column.shape[1]
+        out = np.tile(((~self.known) << np.arange(depth)).sum(axis=1), (len(x), 1))
+        for f, cuts, bits in self.bins:
+            out += bits[np.searchsorted(cuts, x[:, f])]
+        return out
+
 
 def tree_leaves(nodes: list) -> TreeLeaves:
     """The leaves of one tree's node rows; node 0 is the root."""
@@ -93,25 +141,23 @@ def attributed(trees: list[TreeLeaves], x: np.ndarray, target: np.ndarray) -> tu
     base, told, out = np.zeros(len(x)), np.zeros(len(x)), np.zeros(x.shape)
     for t in trees:
         leaves, depth = t.column.shape
-        points, weights = np.polynomial.legendre.leggauss((depth + 1) // 2)
         step = max(1, CELLS // (leaves * depth))
         alone = t.share.prod(axis=1)
+        to = np.zeros((leaves * depth, x.shape[1]))
+        to[np.arange(leaves * depth), t.column.ravel()] = t.known.ravel()
         for a in range(0, len(x), step):
             rows = slice(a, min(a + step, len(x)))
-            inside = t.inside(x[rows])
-            value = t.value[:, target[rows]]
-            base[rows] += alone @ value
-            told[rows] += (inside.all(axis=2) * value).sum(axis=0)
-            share = t.share[:, None, :]
-            total = np.zeros(inside.shape)
-            for p, w in zip((points + 1) / 2, weights / 2):
-                factor = p * inside + (1 - p) * share
-                total += w * factor.prod(axis=2)[:, :, None] / factor
-            part = total * (inside - share) * value[:, :, None]
-            for j in range(depth):
-                for f in np.unique(t.column[t.known[:, j], j]):
-                    mine = t.known[:, j] & (t.column[:, j] == f)
-                    out[rows, f] += part[mine, :, j].sum(axis=0)
+            value = t.value[:, target[rows]].T
+            if depth <= LOOKED_UP:
+                pattern = t.patterns(x[rows])
+                reached = pattern == (1 << depth) - 1
+                part = t.table[pattern + (np.arange(leaves) << depth)]
+            else:
+                inside = t.inside(x[rows])
+                reached, part = inside.all(axis=2).T, t.parts(inside).transpose(1, 0, 2)
+            base[rows] += value @ alone
+            told[rows] += (reached * value).sum(axis=1)
+            out[rows] += (part * value[:, :, None]).reshape(len(value), -1) @ to
     n = max(len(trees), 1)
     return base / n, told / n, out / n
 
@@ -138,7 +184,9 @@ def attribute(df: DataFrame, nodes: DataFrame, columns: list[str], target: str |
         return out
 
     of = F.col(target) if isinstance(target, str) else target
-    return df.withColumn("_a", told(of.cast("int"), *[F.col(c).cast("double") for c in columns])).select(*df.columns, "_a.*")
+    # a row costs far more than its bytes tell: small files are dealt to all tasks
+    dealt = df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism))
+    return dealt.withColumn("_a", told(of.cast("int"), *[F.col(c).cast("double") for c in columns])).select(*df.columns, "_a.*")
 
 
 def explained(df: DataFrame, columns: list[str], names: list[str], target: str = "predicted", k: int = 3) -> DataFrame:
