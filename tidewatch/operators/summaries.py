@@ -28,7 +28,9 @@ def entity_baseline(df: DataFrame, roles: Roles = DEFAULT_ROLES, latency: str =
 
 def end_of_day(df: DataFrame, columns: list[str], roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Last non-NULL value of each column per entity and day."""
-    at = F.struct(*roles.order)
+    # a lone time is aggregated by hashing, a struct only by sorting; a null time comes first
+    lone = F.coalesce(F.col(roles.ts), F.lit("0001-01-01 00:00:00").cast(df.schema[roles.ts].dataType))
+    at = F.struct(*roles.order) if len(roles.order) > 1 else lone
     return df.groupBy(roles.entity, day_start(roles.ts).alias("day")).agg(*[
         F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns])
 
@@ -38,19 +40,19 @@ def densify(series: DataFrame, columns: list[str], step: str, time: str = "day",
     """One row per entity and step between its first and last, gaps filled forward.
 
     The input is a per-step aggregate, so a window holds at most one row per
-    step of the time span, however many samples the entity had.
+    step of the time span, however many samples the entity had. Each row is filled
+    where it is and then repeated up to the next one: no made-up row is shuffled.
     """
-    span = series.groupBy(entity).agg(F.min(time).alias("_from"), F.max(time).alias("_to"))
-    grid = span.select(entity, F.explode(F.sequence("_from", "_to", F.expr(f"INTERVAL {step}"))).alias(time))
     w = W.partitionBy(entity).orderBy(time)
     back = w.rowsBetween(W.unboundedPreceding, 0)
-    out = grid.join(series, [entity, time], "left")
-    filled = {c: F.last(c, ignorenulls=True).over(back) for c in columns}
-    out = out.withColumns(filled)
+    # a series without an entity has its span, and no values
+    known = series.where(F.col(time).isNotNull()).select(entity, time, *[F.when(F.col(entity).isNotNull(), F.col(c)).alias(c) for c in columns])
+    out = known.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in columns} | {"_next": F.lead(time).over(w)})
     if backfill:
         whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         out = out.withColumns({c: F.coalesce(c, F.first(c, ignorenulls=True).over(whole)) for c in columns})
-    return out
+    one = F.expr(f"INTERVAL {step}")
+    return out.select(entity, F.explode(F.sequence(time, F.coalesce(F.col("_next") - one, time), one)).alias(time), *columns)
 
 
 def daily_capacity(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
