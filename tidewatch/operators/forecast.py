@@ -23,6 +23,7 @@ from tidewatch.operators.quantiles import quantile_rows
 from tidewatch.operators.ranking import category_rank
 from tidewatch.operators.summaries import densify, end_of_day, hourly_means
 from tidewatch.roles import DEFAULT_ROLES, POLICY, Roles
+from tidewatch.session import stage
 
 LOOKBACK_DAYS = 20
 HORIZON_DAYS = 60
@@ -32,6 +33,8 @@ RATE_STEPS = 6
 WEEK = 7
 #: Added to the moments of the weekly wave.
 WAVE_RIDGE = 0.5
+#: Coefficients of the weekly wave.
+WAVE = ["c0", "c1", "c2", "c3"]
 
 # The metrics of the hourly latency series, the target last.
 HOURLY_METRICS = [
@@ -54,9 +57,10 @@ def recent_daily_capacity(df: DataFrame, roles: Roles = DEFAULT_ROLES, days: int
     """
     columns = ["capacity_used_pct", "capacity_total_gb"]
     eod = end_of_day(df, columns, roles)
-    span = eod.groupBy(roles.entity).agg(F.min("day").alias("_first"), F.max("day").alias("_last")).select(
-        roles.entity, F.greatest("_first", F.col("_last") - F.make_dt_interval(F.lit(days - 1))).alias("_start"))
-    clamped = eod.join(span, roles.entity).withColumn("_day", F.greatest("day", "_start"))
+    w = W.partitionBy(roles.entity)
+    start = F.greatest(F.min("day").over(w), F.max("day").over(w) - F.make_dt_interval(F.lit(days - 1)))
+    # rows without an entity have no lookback
+    clamped = eod.where(F.col(roles.entity).isNotNull()).withColumn("_day", F.greatest("day", start))
     recent = clamped.groupBy(roles.entity, F.col("_day")).agg(*[
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col("day"))).alias(c) for c in columns]).withColumnRenamed("_day", "day")
     return densify(recent, columns, "1 DAY", "day", roles.entity)
@@ -95,7 +99,7 @@ def capacity_wave(daily: DataFrame, entity: str = "volume_id") -> DataFrame:
     sums = rows.groupBy(entity).agg(
         *[e.alias(n) for n, e in moments.items()], F.max("_x").alias("last_x"),
         F.max_by("capacity_used_pct", "day").alias("current_pct"), F.max_by("capacity_total_gb", "day").alias("total_gb"))
-    out = solve_symmetric(sums, [[f"_h{i}_{j}" for j in range(i + 1)] for i in range(4)], [f"_s{i}" for i in range(4)], [f"c{i}" for i in range(4)])
+    out = solve_symmetric(sums, [[f"_h{i}_{j}" for j in range(i + 1)] for i in range(4)], [f"_s{i}" for i in range(4)], WAVE)
     return out.drop(*moments)
 
 
@@ -108,12 +112,14 @@ def capacity_forecast(daily: DataFrame, horizon: int = HORIZON_DAYS, entity: str
         raise ValueError(f"no capacity model {model!r}")
     if model == "trend":
         t = capacity_trend(daily, entity)
-        value = lambda x: F.col("intercept") + F.col("slope") * x
+        value = lambda f, x: f["intercept"] + f["slope"] * x
     else:
         t = capacity_wave(daily, entity)
-        value = lambda x: sum((F.col(f"c{i}") * b for i, b in enumerate(_weekly(x)) if i), F.col("c0"))
-    curve = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: clip(value(F.col("last_x") + k), 0.0, 1.0))
-    return t.withColumn("forecast", curve)
+        value = lambda f, x: sum((f[c] * b for c, b in zip(WAVE[1:], _weekly(x)[1:])), f["c0"])
+    # the fit is bound once for all days: a lambda would work its expressions out again for each
+    fit = F.struct("last_x", *[c for c in t.columns if c in ("intercept", "slope") or c in WAVE])
+    curve = F.transform(F.array(fit), lambda f: F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: clip(value(f, f["last_x"] + k), 0.0, 1.0)))
+    return t.withColumn("forecast", curve[0])
 
 
 def capacity_backtest(daily: DataFrame, hold: int = WEEK, entity: str = "volume_id") -> DataFrame:
@@ -121,9 +127,10 @@ def capacity_backtest(daily: DataFrame, hold: int = WEEK, entity: str = "volume_
 
     Entities without an earlier day have no row.
     """
-    last = daily.groupBy(entity).agg(F.max("day").alias("_last"))
-    marked = daily.join(last, entity).withColumn("_ahead", F.lit(hold) - F.datediff(F.col("_last"), F.col("day")))
-    before, after = marked.where("_ahead <= 0").drop("_last"), marked.where("_ahead > 0").select(entity, "_ahead", "capacity_used_pct")
+    last = F.max("day").over(W.partitionBy(entity))
+    # a few days per entity, read by both fits and by the check
+    marked = stage(daily.where(F.col(entity).isNotNull()).withColumn("_ahead", F.lit(hold) - F.datediff(last, F.col("day"))), "backtest")
+    before, after = marked.where("_ahead <= 0"), marked.where("_ahead > 0").select(entity, "_ahead", "capacity_used_pct")
     curves = None
     for model in ("trend", "wave"):
         # a gap at the end of the earlier days must not shift the forecast: days are densified before
