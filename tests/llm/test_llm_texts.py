@@ -278,3 +278,46 @@ def test_toxicity_without_labels(spark):
     model = toxicity.train(toxicity.training_rows(docs, none, F.lit(True)))
     assert [r["score"] < 1e-5 for r in toxicity.score(docs, model).collect()] == [True, True]
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def _whole_tree(texts):
+    """The tree of all contexts of the texts, built in one place."""
+    grams = Counter()
+    for text in texts:
+        data = bytes([context_tree.START] * context_tree.DEPTH) + text.encode()
+        grams.update(data[i:i + context_tree.DEPTH + 1] for i in range(len(data) - context_tree.DEPTH))
+    levels, parents, last, shorter = [], [], [], None
+    for d in range(context_tree.DEPTH + 1):
+        tables = {}
+        for gram, n in grams.items():
+            tables.setdefault(gram[context_tree.DEPTH - d:context_tree.DEPTH], np.zeros(256))[gram[-1]] += n
+        names = sorted(tables)
+        levels.append(np.array([tables[x] for x in names]))
+        parents.append(np.array([shorter[x[1:]] for x in names] if d else [0]))
+        last.append(np.array([x[0] for x in names] if d else [0]))
+        shorter = {x: i for i, x in enumerate(names)}
+    return context_tree.build(levels, parents, last)
+
+
+def test_context_tree_leaves_no_context_out(spark, monkeypatch):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(rnd.randint(1, 6)))
+    common = [word() for _ in range(20)]
+    texts = [" ".join(rnd.choice(common) if rnd.random() < 0.8 else word() for _ in range(120)) for _ in range(60)] + ["\0\0\0\0\0 \1", "zz日本", ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(63, None), (4, texts[4])], "doc_id long, text string")
+    learned = [t for i, t in enumerate(texts) if i % 3] + [texts[4]]
+    assert sum(len(t.encode()) for t in learned) > 2 * 8192
+    tree = _whole_tree(learned)
+
+    def want(text):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        return float(tree.scores(data, np.array([0, len(data)]))[0])
+
+    for often in (context_tree.OFTEN, 1 / 512):
+        monkeypatch.setattr(context_tree, "OFTEN", often)
+        got = context_tree.scores(docs, F.col("doc_id") % 3 != 0).collect()
+        assert len(got) == 65
+        for r in got:
+            assert abs(r["score"] - want(texts[r["doc_id"]] if r["doc_id"] < 63 else "")) < 1e-2, r
+    alone = context_tree.score(docs, context_tree.train(docs.where("doc_id % 3 != 0"))).collect()
+    assert sorted((r["doc_id"], round(r["log10_probability"], 6)) for r in alone) == sorted((r["doc_id"], round(r["score"], 6)) for r in got)
