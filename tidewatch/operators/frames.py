@@ -31,6 +31,8 @@ from tidewatch.roles import DEFAULT_ROLES, Roles
 
 ROWS_PER_TASK = 2_000_000
 BUCKET_SECONDS = 60
+#: Rows of all its entities together that a task of a wide window should sort.
+TASK_ROWS = 1 << 18
 
 CHUNK, HALO, BUCKET = "_chunk", "_halo", "_bucket"
 
@@ -112,6 +114,16 @@ def has_hot_entity(df: DataFrame, roles: Roles = DEFAULT_ROLES, rows_per_task: i
     return not counts.where(F.col("n") > (rows_per_task or ROWS_PER_TASK)).isEmpty()
 
 
+def spread(df: DataFrame, rows: int, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+    """Deal entities to so many tasks that each has about ``TASK_ROWS`` of the ``rows`` rows.
+
+    The number of a session's shuffle partitions does not follow the table, and small ones are
+    joined by bytes, however many rows these are: the sorts of a task would grow with the table.
+    """
+    tasks = max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, roles.entity)
+
+
 def framed(df: DataFrame, roles: Roles = DEFAULT_ROLES, back: int = 0, ahead: int = 0,
            rows_per_task: int | None = None, bucket_seconds: int = BUCKET_SECONDS,
            hot: bool | None = None) -> Framed:
