@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.times import epoch_seconds
 from tidewatch.operators.quantiles import same
 from tidewatch.roles import DEFAULT_ROLES, Roles
+from tidewatch.session import compiled
 
 ROWS_PER_TASK = 2_000_000
 BUCKET_SECONDS = 60
@@ -132,6 +133,7 @@ def framed(df: DataFrame, roles: Roles = DEFAULT_ROLES, back: int = 0, ahead: in
     ``hot`` passes on the answer of :func:`has_hot_entity` when it is known;
     otherwise it is asked here.
     """
+    compiled(df.sparkSession)
     rows = rows_per_task or ROWS_PER_TASK
     if not (has_hot_entity(df, roles, rows) if hot is None else hot):
         return Framed(df, roles, False)
