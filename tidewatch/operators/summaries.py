@@ -12,6 +12,7 @@ from tidewatch.functions.numeric import ratio
 from tidewatch.functions.times import day_start, round_hour
 from tidewatch.operators.quantiles import quantile_table, same
 from tidewatch.roles import DEFAULT_ROLES, Roles
+from tidewatch.session import stage
 
 
 def entity_baseline(df: DataFrame, roles: Roles = DEFAULT_ROLES, latency: str = "avg_latency_us",
@@ -115,7 +116,11 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
 
 
 def score_distribution(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
-    """One row: count, mean, population deviation, p50, p95, p99, min, max."""
+    """One row: count, mean, population deviation, p50, p95, p99, min, max.
+
+    The values are read by several passes and worked out once.
+    """
+    df = stage(df.select(column), "distribution")
     stats = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"),
                    F.min(column).alias("min"), F.max(column).alias("max"))
     q = quantile_table(df, [column], {"p50": 0.5, "p95": 0.95, "p99": 0.99}, method=method)
