@@ -76,8 +76,11 @@ HALVING_GRID = [{"depth": d, "min_rows": m, "subset": s} for d in (5, 8, 10) for
 def binned(train: DataFrame, others: list[DataFrame], columns: list[str], bins: int = 32) -> list[DataFrame]:
     """The tables with each column as the number of its bin, cut at quantiles of the training rows; each staged once.
 
-    One sketch gives the cuts of all columns; NULL and NaN have a bin of their own.
+    One sketch gives the cuts of all columns; NULL and NaN have a bin of their own. Bins
+    are so small that files of a usual size would hold too many rows for a task: the rows
+    are dealt over all cores.
     """
+    files = 2 * train.sparkSession.sparkContext.defaultParallelism
     cuts = train.approxQuantile(columns, [i / bins for i in range(1, bins)], 1 / (8 * bins))
     splits = [[-math.inf, *sorted(set(c)), math.inf] for c in cuts]
     names = [f"_bin_{c}" for c in columns]
@@ -85,7 +88,7 @@ def binned(train: DataFrame, others: list[DataFrame], columns: list[str], bins:
     out = []
     for df in [train, *others]:
         numbered = cut.transform(df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in columns}))
-        out.append(stage(numbered.withColumns({c: F.col(n) for c, n in zip(columns, names)}).drop(*names), "binned"))
+        out.append(stage(numbered.withColumns({c: F.col(n) for c, n in zip(columns, names)}).drop(*names).repartition(files), "binned"))
     return out
 
 
@@ -115,7 +118,7 @@ def tune_by_halving(train: DataFrame, validation: DataFrame, columns: list[str],
         if len(tried) == 1:
             break
         trees *= eta
-    whole = assemble(train.unionByName(validation), columns)
+    whole = assemble(train.unionByName(validation), columns).repartition(2 * train.sparkSession.sparkContext.defaultParallelism)
     return Classifier(columns, forest(tried[0], trees).fit(whole)), trials
 
 
