@@ -47,6 +47,9 @@ def fill_gaps(df: DataFrame, roles: Roles = DEFAULT_ROLES, columns: list[str] |
 def clean(df: DataFrame, roles: Roles = DEFAULT_ROLES, **kw) -> DataFrame:
     """Duplicates out, unparsable times out, gaps filled."""
     kw.setdefault("hot", has_hot_entity(df, roles, kw.get("rows_per_task")))
+    if not kw["hot"]:
+        # dealt by entity once, for the duplicates and for the windows that follow
+        df = df.repartition(roles.entity)
     df = drop_duplicate_rows(df)
     if dict(df.dtypes)[roles.ts] == "string":
         df = parse_timestamps(df, roles.ts)

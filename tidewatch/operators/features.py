@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,10 +67,21 @@ def hourly_entropy(df: DataFrame, roles: Roles = DEFAULT_ROLES, value: str = "io
         (F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("io_size_entropy"))
 
 
-def add_entropy(df: DataFrame, roles: Roles = DEFAULT_ROLES, value: str = "io_size_avg_kb") -> DataFrame:
-    entropy = hourly_entropy(df, roles, value)
-    return df.withColumn("hour_bucket", floor_hour(roles.ts)).join(
-        entropy, [roles.entity, "hour_bucket"], "left").drop("hour_bucket")
+def add_entropy(df: DataFrame, roles: Roles = DEFAULT_ROLES, value: str = "io_size_avg_kb", hot: bool = True) -> DataFrame:
+    """Each row's :func:`hourly_entropy`.
+
+    Without a ``hot`` entity the counts come from windows inside the entity: after other
+    windows by entity no row is moved again, and the rows are worked out once.
+    """
+    out = df.withColumn("hour_bucket", floor_hour(roles.ts))
+    if hot:
+        return out.join(hourly_entropy(df, roles, value), [roles.entity, "hour_bucket"], "left").drop("hour_bucket")
+    hour = W.partitionBy(roles.entity, "hour_bucket")
+    n = F.count(F.lit(1)).over(hour)
+    out = out.withColumn("_c", F.count(F.lit(1)).over(W.partitionBy(roles.entity, "hour_bucket", value)))
+    # the c rows of a value have log2(c) each
+    known = F.col(roles.entity).isNotNull() & F.col("hour_bucket").isNotNull()
+    return out.withColumn("io_size_entropy", F.when(known, F.log2(n) - F.sum(F.log2("_c")).over(hour) / n)).drop("_c", "hour_bucket")
 
 
 def rolling_columns(w: WindowSpec, metrics=ROLLING_METRICS, windows=ROLLING) -> dict[str, Column]:
@@ -139,7 +151,7 @@ def engineer_features(df: DataFrame, roles: Roles = DEFAULT_ROLES, ticks_per_day
 
     out = with_frames(out, columns, roles, back=max(LAGS), **kw)
     if "io_size_avg_kb" in out.columns:
-        out = add_entropy(out, roles)
+        out = add_entropy(out, roles, hot=kw["hot"])
     return out.withColumn("label", encode_label())
 
 
