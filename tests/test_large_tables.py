@@ -1,8 +1,10 @@
 """What keeps time and memory of a task in bounds on large tables."""
 
 import datetime as dt
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import classify, features, frames, summaries
@@ -66,3 +68,42 @@ def test_a_task_of_the_capacity_curve_has_a_bounded_number_of_rows(spark, tmp_pa
     last = {r["volume_id"]: r["capacity_used_gb"] for r in curve.groupBy("volume_id").agg(F.max("capacity_used_gb").alias("capacity_used_gb")).collect()}
     assert last == {v: 40.0 for v in range(60)}
     assert frames.spread(curve, 1000, Roles()).rdd.getNumPartitions() >= 10
+
+
+def below_exchanges(df, name):
+    """The parts of the plan that read tables: from an exchange down to a scan, if they hold an operator ``name``."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    found, depth = [], lambda x: len(x) - len(x.lstrip(" :+-*("))
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            below = [x for x in lines[i + 1:]]
+            end = next((k for k, x in enumerate(below) if depth(x) <= depth(line) or "Exchange" in x), len(below))
+            if any("Scan" in x for x in below[:end]) and any(name in x for x in below[:end]):
+                found.append(line)
+    return found
+
+
+def order_lines(spark, folder):
+    """Lines of volumes and of no volume, several a day; returns the running use of each volume's days."""
+    rnd = random.Random(12)
+    rows = [(rnd.choice([None, *range(20)]), NOON + dt.timedelta(days=rnd.randint(0, 30)), float(rnd.randint(1, 50))) for _ in range(1500)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp_ntz, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
+    want = {}
+    for v in range(20):
+        days, used = sorted({t for k, t, _ in rows if k == v}), 0.0
+        total = math.floor(sum(q for k, _, q in rows if k == v) * (1.02 + v % 7 * 0.05) * 100 + 0.500001) / 100
+        for t in days:
+            used += sum(q for k, at, q in rows if k == v and at == t)
+            want[v, t] = (used, total)
+    return want
+
+
+def test_lines_of_the_capacity_curve_are_dealt_before_they_are_summed(spark, tmp_path, monkeypatch):
+    want = order_lines(spark, tmp_path)
+    for rows_per_task in (frames.ROWS_PER_TASK, 40):  # without and with hot volumes
+        monkeypatch.setattr(frames, "ROWS_PER_TASK", rows_per_task)
+        curve = fixtures.capacity(spark, str(tmp_path))
+        assert below_exchanges(curve, "Aggregate") == []
+        got = {(r["volume_id"], r["ts"]): (r["capacity_used_gb"], r["capacity_total_gb"]) for r in curve.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        assert curve.count() == len(want)

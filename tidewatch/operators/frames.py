@@ -115,14 +115,15 @@ def has_hot_entity(df: DataFrame, roles: Roles = DEFAULT_ROLES, rows_per_task: i
     return not counts.where(F.col("n") > (rows_per_task or ROWS_PER_TASK)).isEmpty()
 
 
-def spread(df: DataFrame, rows: int, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+def spread(df: DataFrame, rows: int, roles: Roles = DEFAULT_ROLES, by: list[str] | None = None) -> DataFrame:
     """Deal entities to so many tasks that each has about ``TASK_ROWS`` of the ``rows`` rows.
 
     The number of a session's shuffle partitions does not follow the table, and small ones are
     joined by bytes, however many rows these are: the sorts of a task would grow with the table.
+    ``by`` deals by other columns than the entity alone.
     """
     tasks = max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(tasks, roles.entity)
+    return df.repartition(tasks, *(by or [roles.entity]))
 
 
 def framed(df: DataFrame, roles: Roles = DEFAULT_ROLES, back: int = 0, ahead: int = 0,
