@@ -187,3 +187,21 @@ def test_deltas_are_the_whole_table_and_cost_the_batch(spark, tmp_path):
     written = {i: spark.read.parquet(sinks.version_path(f"{tmp_path}/h/delta", i)).count() for i in range(6)}
     assert written == {0: 600, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
     assert sorted(os.listdir(f"{tmp_path}/h/base")) == ["version=000000000002", "version=000000000005"]
+
+
+def test_online_detector_takes_a_bucket_of_volumes_in_one_call(spark, parts, tmp_path):
+    calls = []
+
+    def scored(s):
+        out = state.online_scores(s, rows=40, buckets=2)
+        calls.append(out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    none = parts.withColumn("volume_id", F.lit(None).cast(parts.schema["volume_id"].dataType))
+    both = parts.unionByName(none.dropDuplicates(["ts"])).persist()
+    feed(spark, both, str(tmp_path), scored)
+    assert "_bucket" in calls[0]
+    got = sinks.read_batches(spark, f"{tmp_path}/out").select("volume_id", "ts", "hotspot_score")
+    want = hotspot_scores(parts.drop("part"), rows=40).select("volume_id", "ts", "hotspot_score")
+    assert rows(got.where("volume_id IS NOT NULL")) == rows(want)
+    assert got.where("volume_id IS NULL").count() == both.where("volume_id IS NULL").count()

@@ -12,6 +12,7 @@ from tidewatch.plans.data_queries import HIGH, JSON_FIELDS, LOW, json_events
 from tidewatch.plans.detection_queries import WITH_SCORES
 from tidewatch.plans.fixtures import EVENTS, R, table, telemetry
 from tidewatch.plans.registry import query
+from tidewatch.roles import DETECTOR_METRICS
 from tidewatch.session import shared_folder
 from tidewatch.streaming import sinks, sources, state
 
@@ -25,6 +26,8 @@ _arriving: dict[str, T.StructType] = {}
 PARTS = 3
 #: Batches between compactions, few enough that the queries' streams see one.
 COMPACT = 2
+#: Volumes whose states one call of the online detector takes, and calls for each batch of a small fleet.
+VOLUMES_PER_CALL, LEAST_BUCKETS = 64, 256
 
 
 def in_parts(df, folder: str, ts: str = "ts"):
@@ -142,13 +145,16 @@ def _(spark, d):
 
 
 def telemetry_stream(spark, d, folder: str):
-    return in_parts(telemetry(spark, d), folder)
+    """The telemetry as a stream, with the columns the online detector takes."""
+    return in_parts(telemetry(spark, d).select("volume_id", "ts", *DETECTOR_METRICS), folder)
 
 
 @query("stream_online_scores", f"{WITH_SCORES} SELECT volume_id, ts, {R('hotspot_score', 4)} AS hotspot_score FROM s")
 def _(spark, d):
     folder = place(spark)
-    out = run(spark, state.online_scores(telemetry_stream(spark, d, folder)), folder)
+    # volumes are suppliers
+    buckets = max(-(-table(spark, d, "supplier").count() // VOLUMES_PER_CALL), LEAST_BUCKETS)
+    out = run(spark, state.online_scores(telemetry_stream(spark, d, folder), buckets=buckets), folder)
     return out.select("volume_id", "ts", rnd(F.col("hotspot_score"), 4).alias("hotspot_score"))
 
 

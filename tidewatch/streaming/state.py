@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -147,24 +148,27 @@ def trailing_moments(line: np.ndarray, since: int, rows: int) -> tuple[np.ndarra
         return np.where(both > 0, mean, np.nan), np.where(both > 0, np.sqrt(spread / both), np.nan)
 
 
-def online_scores(events: DataFrame, entity: str = "volume_id", ts: str = "ts", rows: int = 288, min_rows: int = 12) -> DataFrame:
+def online_scores(events: DataFrame, entity: str = "volume_id", ts: str = "ts", rows: int = 288, min_rows: int = 12,
+                  buckets: int | None = None) -> DataFrame:
     """The statistical hotspot score of each event against the rows before it.
 
     State per entity: its last ``rows`` metric rows. For in-order input this
     equals the batch detector; within a micro-batch rows are put in time order.
     A row costs a merge of two running moments, not a frame of ``rows``.
+
+    A call of a state function costs more than the few rows an entity has in a micro-batch:
+    ``buckets`` keeps the states of entities of equal hash together, in one call. Choose it so
+    that some dozens of entities share a bucket, and keep it as long as the checkpoint.
     """
     metrics = DETECTOR_METRICS
     width = len(metrics)
     lat = [metrics.index(m) for m in LATENCY_METRICS]
     iops, thr = metrics.index("total_iops"), metrics.index("total_throughput_mbps")
 
-    def score(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = np.array(state.get[0], dtype=float).reshape(-1, width) if state.exists else np.empty((0, width))
-        new = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        out = np.zeros(len(new))
-        values = new[metrics].to_numpy(dtype=float)
-        for a in range(0, len(new), 1 << 16):
+    def line_scores(values: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of one entity's rows after ``past``, and what is past then."""
+        out = np.zeros(len(values))
+        for a in range(0, len(values), 1 << 16):
             now = values[a:a + (1 << 16)]
             line = np.vstack([past, now])
             mean, std = trailing_moments(line, len(past), rows)
@@ -175,12 +179,30 @@ def online_scores(events: DataFrame, entity: str = "volume_id", ts: str = "ts",
                         + WEIGHTS["throughput"] * z[:, thr])
             out[a:a + len(now)] = np.clip(weighted / FULL_SCALE_Z * 100, 0, 100)
             past = line[-rows:]
-        state.update((past.ravel().tolist(),))
+        return out, past
+
+    def score(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept: dict[Any, bytes] = pickle.loads(state.get[0]) if state.exists else {}
+        new = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        out = np.zeros(len(new))
+        values = new[metrics].to_numpy(dtype=float)
+        codes, ids = pd.factorize(new[entity], use_na_sentinel=False)
+        lines = np.split(np.argsort(codes, kind="stable"), np.cumsum(np.bincount(codes))[:-1])
+        for one, at in zip(ids.tolist(), lines):
+            name = None if pd.isna(one) else one
+            out[at], past = line_scores(values[at], np.frombuffer(kept.get(name, b"")).reshape(-1, width))
+            kept[name] = past.tobytes()
+        state.update((pickle.dumps(kept),))
         yield pd.DataFrame({entity: new[entity].to_numpy(), ts: new[ts].to_numpy(), "hotspot_score": out})
 
     types = dict(events.dtypes)
-    return events.select(entity, ts, *metrics).groupBy(entity).applyInPandasWithState(
-        score, f"{entity} {types[entity]}, {ts} {types[ts]}, hotspot_score double", "past array<double>",
+    dealt, by = events.select(entity, ts, *metrics), entity
+    if buckets is not None:
+        # no entity has a bucket of its own: beside it, whole numbers would come as doubles
+        by = "_bucket"
+        dealt = dealt.withColumn(by, F.when(F.col(entity).isNull(), -1).otherwise(F.pmod(F.xxhash64(entity), F.lit(buckets))))
+    return dealt.groupBy(by).applyInPandasWithState(
+        score, f"{entity} {types[entity]}, {ts} {types[ts]}, hotspot_score double", "past binary",
         "append", GroupStateTimeout.NoTimeout)
 
 
