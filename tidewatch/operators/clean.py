@@ -44,10 +44,14 @@ def fill_gaps(df: DataFrame, roles: Roles = DEFAULT_ROLES, columns: list[str] |
     return filled.withColumns({c: F.coalesce(c, F.lit(0)) for c in columns})
 
 
-def clean(df: DataFrame, roles: Roles = DEFAULT_ROLES, **kw) -> DataFrame:
-    """Duplicates out, unparsable times out, gaps filled."""
-    kw.setdefault("hot", has_hot_entity(df, roles, kw.get("rows_per_task")))
-    if not kw["hot"]:
+def clean(df: DataFrame, roles: Roles = DEFAULT_ROLES, dealt: bool = False, **kw) -> DataFrame:
+    """Duplicates out, unparsable times out, gaps filled.
+
+    ``dealt`` says that the rows of an entity are in one partition already.
+    """
+    if kw.get("hot") is None:
+        kw["hot"] = has_hot_entity(df, roles, kw.get("rows_per_task"))
+    if not kw["hot"] and not dealt:
         # dealt by entity once, for the duplicates and for the windows that follow
         df = df.repartition(roles.entity)
     df = drop_duplicate_rows(df)
@@ -156,10 +160,10 @@ def capacity_to_fraction_value(df: DataFrame, column: str = "capacity_used_pct")
     return df.withColumn(column, capacity_fraction(F.col(column)))
 
 
-def impute_median(df: DataFrame, columns: list[str], method: str = "exact") -> DataFrame:
+def impute_median(df: DataFrame, columns: list[str], method: str = "exact", rescan: bool = False) -> DataFrame:
     """NULL, NaN and infinite values become the median of the finite ones, 0 if none."""
     clean_df = df.withColumns({c: finite(F.col(c)) for c in columns})
-    med = quantile_table(clean_df, columns, {"median": 0.5}, method=method)
+    med = quantile_table(clean_df, columns, {"median": 0.5}, method=method, rescan=rescan)
     m = med.agg(F.struct(*[
         F.max(F.when(F.col("metric") == c, F.col("median"))).alias(c) for c in columns]).alias("m")).scalar()
     return clean_df.withColumn("_m", m).withColumns({

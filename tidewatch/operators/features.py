@@ -135,14 +135,16 @@ def downcast(df: DataFrame) -> DataFrame:
         for f in df.schema.fields])
 
 
-def engineer_features(df: DataFrame, roles: Roles = DEFAULT_ROLES, ticks_per_day: int = 288, **kw) -> DataFrame:
+def engineer_features(df: DataFrame, roles: Roles = DEFAULT_ROLES, ticks_per_day: int = 288, dealt: bool = False, **kw) -> DataFrame:
     """Clean, then every feature column.
 
     All row windows share one partitioning and order, so they share one shuffle
-    and one sort; entity sizes are looked up once, on the raw table.
+    and one sort; entity sizes are looked up once, on the raw table, unless ``hot``
+    tells them. ``dealt`` rows lie by entity already and are not moved for it.
     """
-    kw.setdefault("hot", has_hot_entity(df, roles, kw.get("rows_per_task")))
-    out = calendar_features(basic_features(clean(df, roles, **kw)), roles.ts)
+    if kw.get("hot") is None:
+        kw["hot"] = has_hot_entity(df, roles, kw.get("rows_per_task"))
+    out = calendar_features(basic_features(clean(df, roles, dealt, **kw)), roles.ts)
     changes = [m for m in CHANGE_METRICS if m in out.columns]
 
     def columns(w: WindowSpec) -> dict[str, Column]:

@@ -34,6 +34,8 @@ ROWS_PER_TASK = 2_000_000
 BUCKET_SECONDS = 60
 #: Rows of all its entities together that a task of a wide window should sort.
 TASK_ROWS = 1 << 18
+#: Rows that are worth a task.
+LEAST_ROWS = 1 << 14
 
 CHUNK, HALO, BUCKET = "_chunk", "_halo", "_bucket"
 
@@ -120,9 +122,11 @@ def spread(df: DataFrame, rows: int, roles: Roles = DEFAULT_ROLES, by: list[str]
 
     The number of a session's shuffle partitions does not follow the table, and small ones are
     joined by bytes, however many rows these are: the sorts of a task would grow with the table.
-    ``by`` deals by other columns than the entity alone.
+    ``by`` deals by other columns than the entity alone. With fewer tasks than a shuffle has, a
+    join would deal the rows again: they are made as many where each still has ``LEAST_ROWS``.
     """
-    tasks = max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    tasks = max(-(-rows // TASK_ROWS), spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // LEAST_ROWS))
     return df.repartition(tasks, *(by or [roles.entity]))
 
 

@@ -120,7 +120,8 @@ def hot_runs(df: DataFrame, score: str, threshold: float, roles: Roles = DEFAULT
     A run starts at a hot row whose previous row is not hot; the last such start,
     carried forward, is the start of the run a hot row is in.
     """
-    kw.setdefault("hot", has_hot_entity(df, roles, kw.get("rows_per_task")))
+    if kw.get("hot") is None:
+        kw["hot"] = has_hot_entity(df, roles, kw.get("rows_per_task"))
     hot = F.col(score) >= threshold
     marked = with_frames(
         df.withColumn("_hot", F.coalesce(hot, F.lit(False))),

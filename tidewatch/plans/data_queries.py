@@ -10,7 +10,7 @@ from tidewatch.functions.numeric import round_half_up as rnd
 from tidewatch.operators import clean, features, splits
 from tidewatch.operators import windows as win
 from tidewatch.plans.fixtures import (
-    CAP_SQL, E_SQL, EVENTS, T_SQL, R, capacity, events, table, telemetry,
+    CAP_SQL, E_SQL, EVENTS, T_SQL, R, capacity, cool, events, table, telemetry, telemetry_with_capacity,
 )
 from tidewatch.plans.registry import query
 from tidewatch.roles import LABELS, Roles
@@ -303,10 +303,6 @@ def _(spark, d):
 
 # --- features -----------------------------------------------------------------------
 
-def telemetry_with_capacity(spark, d):
-    return telemetry(spark, d).join(capacity(spark, d), ["volume_id", "ts"])
-
-
 FULL = f"f AS (SELECT t.*, c.capacity_used_gb, c.capacity_total_gb, c.capacity_used_pct FROM ({T_SQL}) t JOIN ({CAP_SQL}) c USING (volume_id, ts))"
 BASIC_SQL = """b AS (SELECT * EXCLUDE (total_throughput_mbps, avg_latency_us),
   total_iops / queue_depth AS iops_per_queue, read_throughput_mbps + write_throughput_mbps AS total_throughput_mbps,
@@ -494,7 +490,9 @@ SELECT volume_id, ts, {', '.join(R(c, 4) + f' AS {c}' for c in BASIC)},
   {_calendar_sql()}, {_roll_sql()}, {_lag_sql(CH3)}, {_change_sql(CH3)}, 0.0 AS io_size_entropy, {LABEL_SQL} AS label
 FROM b {W_SQL}""")
 def _(spark, d):
-    out = features.engineer_features(telemetry_with_capacity(spark, d), Roles())
+    known = cool(spark, d)
+    # without a hot volume both sides lie by volume, and so does what they are joined to
+    out = features.engineer_features(telemetry_with_capacity(spark, d), Roles(), dealt=bool(known), **known)
     derived = [c for c in out.columns if "_roll_" in c or "_lag_" in c or c.endswith(("_delta", "_pct_change"))]
     return out.select("volume_id", "ts", *_rounded(out, [*ENG_COLUMNS, *derived, *CYCLIC, "io_size_entropy"]),
                       "hour", "day_of_week", "is_weekend", "day_of_month", "label")

@@ -10,7 +10,7 @@ from tidewatch.functions.numeric import round_half_up as rnd
 from tidewatch.functions.numeric import severity
 from tidewatch.operators import fusion, statistical, summaries
 from tidewatch.plans.data_queries import TRUTH_SQL as TRUTH_SQL_G
-from tidewatch.plans.fixtures import R, T_SQL, telemetry
+from tidewatch.plans.fixtures import R, T_SQL, cool, telemetry
 from tidewatch.plans.registry import query
 from tidewatch.roles import DETECTOR_METRICS
 from tidewatch.session import shared_folder, stage
@@ -36,7 +36,7 @@ WITH_SCORES = f"WITH t AS ({T_SQL}), {SCORES_SQL}"
 
 
 def scores(spark, d):
-    return statistical.hotspot_scores(telemetry(spark, d))
+    return statistical.hotspot_scores(telemetry(spark, d), **cool(spark, d))
 
 
 @query("hotspot_alerts_by_severity", f"""{WITH_SCORES}
