@@ -4,8 +4,9 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewatch.plans import fixtures
+from tidewatch.plans import fixtures, topology_queries
 from tidewatch.plans.catalog import QUERIES
 
 
@@ -51,3 +52,15 @@ def test_a_hot_volume_gives_the_same_telemetry(spark, tables, monkeypatch):
     monkeypatch.setattr(fixtures, "hot_volume", lambda *a: True)
     for rows, f in zip(plain, (fixtures.telemetry, fixtures.telemetry_with_capacity)):
         assert sorted(map(str, rows)) == sorted(map(str, f(spark, tables).collect()))
+
+
+def test_neighbours_read_the_telemetry_once(spark, tables):
+    df = QUERIES["neighbor_events"](spark, tables)
+    assert "lineitem" not in plan(df)
+    t = fixtures.telemetry(spark, tables)
+    want = topology_queries.neighbors.neighbor_pairs(
+        topology_queries.neighbors.aggressor_rows(t.withColumn("score", F.col("total_iops")), t, topology_queries.topology.placement(t), 70.0),
+        topology_queries.neighbors.victim_rows(t, latency_z=0.5))
+    got = topology_queries.pairs(spark, tables)
+    keys = ["aggressor_id", "victim_id", "ts", "node_id"]
+    assert sorted(map(str, got.select(keys).collect())) == sorted(map(str, want.select(keys).collect()))

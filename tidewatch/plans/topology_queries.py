@@ -11,6 +11,7 @@ from tidewatch.plans.detection_queries import WITH_SCORES, scores
 from tidewatch.plans.fixtures import A_SQL, CAP_SQL, REP_SQL, R, actions, capacity, replicas, table, telemetry
 from tidewatch.plans.registry import query
 from tidewatch.plans.summary_queries import BASE_SQL, LATEST_SQL, WT, r4
+from tidewatch.session import stage
 
 PLACE = f"{LATEST_SQL}, pl AS (SELECT volume_id, node_id, pool_id, tier FROM l)"
 
@@ -56,8 +57,8 @@ UTIL = """ut AS (SELECT n_nationkey AS node_id, COUNT(l.volume_id) AS n_volumes,
   FROM nation LEFT JOIN l ON l.node_id = n_nationkey GROUP BY 1)"""
 
 
-def utilization(spark, d):
-    t = telemetry(spark, d)
+def utilization(spark, d, t=None):
+    t = telemetry(spark, d) if t is None else t
     nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("node_id"))
     return topology.node_utilization(topology.placement(t), latest_rows(t), nodes)
 
@@ -190,10 +191,18 @@ pr AS (SELECT ag.*, victim_id, latency_z, iops_z, impact, vi.avg_latency_us AS v
   FROM ag JOIN vi ON ag.node_id = vi.node_id AND ag.ts = vi.ts AND aggressor_id <> victim_id)"""
 
 
-def pairs(spark, d):
-    t = telemetry(spark, d)
+def load(spark, d):
+    """What the neighbours need of the telemetry: worked out once, and read by each of their steps."""
+    t = telemetry(spark, d).select("volume_id", "ts", "node_id", "pool_id", "tier", "total_iops", "total_throughput_mbps", "avg_latency_us")
+    return stage(t, "load", release=True)
+
+
+def pairs(spark, d, t=None):
+    t = load(spark, d) if t is None else t
     hot = neighbors.aggressor_rows(t.withColumn("score", F.col("total_iops")), t, topology.placement(t), 70.0)
-    return neighbors.neighbor_pairs(hot, neighbors.victim_rows(t, latency_z=0.5))
+    # the victims are a part of the rows; the shuffles of all are done with once they are found
+    victims = stage(neighbors.victim_rows(t, latency_z=0.5), "victims", release=True)
+    return neighbors.neighbor_pairs(hot, victims)
 
 
 @query("neighbor_pairs", f"""{PAIRS} SELECT node_id, ts, aggressor_id, aggressor_score, aggressor_iops, aggressor_latency_us, victim_id,
@@ -213,7 +222,8 @@ def _(spark, d):
 SELECT aggressor_id, ts, node_id, n_victims, {R('total_impact', 4)} AS total_impact, worst_victim,
   'Move volume ' || aggressor_id || ' off node ' || node_id || ' onto node ' || {TARGET.format('ev.node_id')} AS recommendation FROM ev""")
 def _(spark, d):
-    e = neighbors.neighbor_events(pairs(spark, d), utilization(spark, d))
+    t = load(spark, d)
+    e = neighbors.neighbor_events(pairs(spark, d, t), utilization(spark, d, t))
     return e.select("aggressor_id", "ts", "node_id", "n_victims", *r4(e, "total_impact"), "worst_victim", "recommendation")
 
 
