@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.plans import fixtures, topology_queries
+from tidewatch.plans import fixtures, policy_queries, topology_queries
 from tidewatch.plans.catalog import QUERIES
 
 
@@ -64,3 +64,12 @@ def test_neighbours_read_the_telemetry_once(spark, tables):
     got = topology_queries.pairs(spark, tables)
     keys = ["aggressor_id", "victim_id", "ts", "node_id"]
     assert sorted(map(str, got.select(keys).collect())) == sorted(map(str, want.select(keys).collect()))
+
+
+@pytest.mark.parametrize("name", ["view_analysis_record", "view_analysis_figures"])
+def test_the_record_is_made_of_staged_parts(spark, small, name, monkeypatch):
+    parts, stage = [], policy_queries.stage
+    monkeypatch.setattr(policy_queries, "stage", lambda df, part, release=False: parts.append((part, release)) or stage(df, part, release))
+    text = plan(QUERIES[name](spark, small))
+    assert "lineitem" not in text and "events.parquet" not in text
+    assert sorted(parts) == [(x, True) for x in ("days", "demand", "latency", "newest", "used", "violation")]

@@ -249,8 +249,9 @@ tw AS (SELECT volume_id, i IS NOT NULL AS will_breach, h AS hours_to_breach, i A
   CASE WHEN h IS NULL THEN 'none' WHEN h < 1 THEN 'critical' WHEN h < 3 THEN 'high' WHEN h < 5 THEN 'medium' ELSE 'low' END AS risk_level FROM tv)"""
 
 
-def violation(spark, d):
-    a = forecast.forecast_arrays(latency(spark, d), ["p95"])
+def violation(spark, d, arrays=None):
+    """Time to violation; ``arrays`` are the latency forecast's where they are known."""
+    a = forecast.forecast_arrays(latency(spark, d), ["p95"]) if arrays is None else arrays
     return a.select("volume_id", *[c.alias(n) for n, c in forecast.time_to_violation(F.col("p95"), SLO).items()])
 
 

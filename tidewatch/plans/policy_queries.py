@@ -14,6 +14,7 @@ from tidewatch.plans.forecast_queries import DEMAND_SQL, LAT_SQL, SLO, TREND_SQL
 from tidewatch.plans.registry import query
 from tidewatch.plans.summary_queries import LATEST_SQL, WA, WP, WT, class_sql, r4
 from tidewatch.plans.topology_queries import CAPVOL, VC, GROUPS, PAIRS, PLACE, TARGET, UTIL, pairs, place, utilization, volume_capacity
+from tidewatch.session import stage
 
 
 def ctes(*parts: str) -> str:
@@ -188,12 +189,16 @@ def _(spark, d):
                     "accuracy_target_pct", "variance_reduction_target_pct")
 
 
-def analysis(spark, d):
-    """The newest state per volume: score, class, days to fill, time to violation."""
-    base = latest_rows(scores(spark, d), columns=["hotspot_score", "workload_type", "tier", "node_id"])
-    cap = latest_rows(capacity(spark, d)).select("volume_id", "capacity_used_pct")
-    v = violation(spark, d)
-    out = base.join(coarse_days(spark, d), "volume_id", "left").join(cap, "volume_id", "left").join(v, "volume_id", "left")
+def analysis(spark, d, latency_arrays=None):
+    """The newest state per volume: score, class, days to fill, time to violation.
+
+    Each is a row per volume made out of a whole table, and staged: the shuffles of one go before the next begins.
+    """
+    base = stage(latest_rows(scores(spark, d), columns=["hotspot_score", "workload_type", "tier", "node_id"]), "newest", release=True)
+    days = stage(coarse_days(spark, d), "days", release=True)
+    cap = stage(latest_rows(capacity(spark, d)).select("volume_id", "capacity_used_pct"), "used", release=True)
+    v = stage(violation(spark, d, latency_arrays), "violation", release=True)
+    out = base.join(days, "volume_id", "left").join(cap, "volume_id", "left").join(v, "volume_id", "left")
     return out.withColumn("risk_score", forecast.latency_risk(F.col("max_p95_us"), SLO)["risk_score"])
 
 
@@ -293,11 +298,16 @@ def _(spark, d):
     return b.select("volume_id", "score_type", *r4(b, "score"))
 
 
+def record(spark, d):
+    """The analysis record; its parts are staged one after the other, as in :func:`analysis`."""
+    lat = stage(forecast.forecast_arrays(latency(spark, d), ["p50", "p90", "p95"]), "latency", release=True)
+    dem = stage(forecast.forecast_arrays(demand(spark, d), ["total_iops_p50", "total_iops_p95", "total_iops_p99"]), "demand", release=True)
+    return views.analysis_record(analysis(spark, d, lat), pairs(spark, d), lat, dem)
+
+
 @query("view_analysis_record")
 def _(spark, d):
-    lat = forecast.forecast_arrays(latency(spark, d), ["p50", "p90", "p95"])
-    dem = forecast.forecast_arrays(demand(spark, d), ["total_iops_p50", "total_iops_p95", "total_iops_p99"])
-    return views.analysis_record(analysis(spark, d), pairs(spark, d), lat, dem)
+    return record(spark, d)
 
 
 def _array_sum(c: str):
@@ -312,9 +322,7 @@ SELECT an.volume_id, an.ts, workload_type, {R('hotspot_score', 4)} AS hotspot_sc
 FROM an LEFT JOIN vi USING (volume_id) LEFT JOIN lt USING (volume_id) LEFT JOIN dm USING (volume_id)""")
 def _(spark, d):
     """The record's figures, arrays as their sums."""
-    lat = forecast.forecast_arrays(latency(spark, d), ["p50", "p90", "p95"])
-    dem = forecast.forecast_arrays(demand(spark, d), ["total_iops_p50", "total_iops_p95", "total_iops_p99"])
-    r = views.analysis_record(analysis(spark, d), pairs(spark, d), lat, dem)
+    r = record(spark, d)
     return r.select(
         "volume_id", "ts", "workload_type", *r4(r, "hotspot_score"), F.col("neighbor_victims.count").alias("victims"), rnd(F.col("neighbor_victims.impact"), 4).alias("victim_impact"),
         F.col("days_to_fill.warning_days").alias("warning_days"), F.col("days_to_fill.critical_days").alias("critical_days"),
