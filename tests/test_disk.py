@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import quantiles
 from tidewatch.plans import fixtures, policy_queries, topology_queries
 from tidewatch.plans.catalog import QUERIES
 
@@ -73,3 +74,24 @@ def test_the_record_is_made_of_staged_parts(spark, small, name, monkeypatch):
     text = plan(QUERIES[name](spark, small))
     assert "lineitem" not in text and "events.parquet" not in text
     assert sorted(parts) == [(x, True) for x in ("days", "demand", "latency", "newest", "used", "violation")]
+
+
+def test_quantiles_of_two_readings_are_exact(spark):
+    rows = [(i % 3 if i % 5 else None, v) for i, v in enumerate([None, float("nan"), 0.0, -0.0, 1e-9, -7.5, 3.25, 3.25, 1e12, 2.0] * 3 + [x * 1.0001 for x in range(300)])]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for by in ([], ["g"]):
+        want = quantiles.quantile_rows(df, by, "v", [0.0, 0.25, 0.5, 0.95, 1.0])
+        got = quantiles.quantile_rows(df, by, "v", [0.0, 0.25, 0.5, 0.95, 1.0], rescan=True)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_quantiles_of_two_readings_shuffle_few_values(spark, tmp_path):
+    path = str(tmp_path / "v")
+    spark.range(100_000).select((F.col("id") + F.rand(3)).alias("v")).write.parquet(path)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = quantiles.quantile_rows(spark.read.parquet(path), [], "v", [0.5], rescan=True)
+        assert "LeftSemi" in plan(df) and "BroadcastHashJoin" in plan(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)

@@ -17,13 +17,13 @@ WEIGHTS = {"stat_score": 0.35, "forest_score": 0.35, "sequence_score": 0.30}
 ALARM = 40.0
 
 
-def normalise_forest(df: DataFrame, train: DataFrame, raw: str = "raw_score", contamination: float = 0.05) -> DataFrame:
+def normalise_forest(df: DataFrame, train: DataFrame, raw: str = "raw_score", contamination: float = 0.05, rescan: bool = False) -> DataFrame:
     """Raw scores (lower is stranger) to 0-100, and a flag.
 
     The training data's 98th percentile maps to 0 and its 2nd to 100; a row is
     flagged below the ``contamination`` quantile. A zero span maps to 0.
     """
-    q = quantile_struct(train, raw, {"strange": 0.02, "cut": contamination, "normal": 0.98})
+    q = quantile_struct(train, raw, {"strange": 0.02, "cut": contamination, "normal": 0.98}, rescan=rescan)
     span = F.col("_q.normal") - F.col("_q.strange")
     score = F.when(span == 0, 0.0).otherwise(
         clip(F.try_divide(F.col("_q.normal") - F.col(raw), span) * 100.0, 0.0, 100.0))
@@ -32,9 +32,9 @@ def normalise_forest(df: DataFrame, train: DataFrame, raw: str = "raw_score", co
 
 
 def normalise_errors(df: DataFrame, calibration: DataFrame, error: str = "error", top: float = 0.99,
-                     flag_at: float = 0.95) -> DataFrame:
+                     flag_at: float = 0.95, rescan: bool = False) -> DataFrame:
     """Reconstruction errors to 0-100 against the calibration data's ``top`` quantile."""
-    q = quantile_struct(calibration, error, {"cut": flag_at, "cap": top})
+    q = quantile_struct(calibration, error, {"cut": flag_at, "cap": top}, rescan=rescan)
     return df.withColumn("_q", q).withColumns({
         "sequence_score": clip(F.try_divide(F.col(error), F.col("_q.cap")) * 100.0, 0.0, 100.0),
         "sequence_flagged": F.col(error) > F.col("_q.cut")}).drop("_q")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10_000
 #: Ranges per e-fold of a value, and the size below which values share ranges.
 RANGES, SMALLEST = 65_536, 2.0 ** -20
+#: Ranges per e-fold where the rows are read twice: few enough to be counted in a task.
+RESCAN_RANGES = 1024
 
 
 def same(left: str, right: str, names: list[str]) -> Column:
@@ -26,15 +28,20 @@ def same(left: str, right: str, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names])
 
 
-def value_range(value: str) -> Column:
+def value_range(value: str, ranges: int = RANGES) -> Column:
     """A whole number that does not decrease with ``value``."""
     size = F.log1p(F.least(F.abs(value), F.lit(1e300)) / F.lit(SMALLEST))
-    return F.floor(F.signum(value) * size * RANGES)
+    return F.floor(F.signum(value) * size * ranges)
 
 
 def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
-                  method: str = "exact") -> DataFrame:
-    """One row per group and probability: ``(*by, prob, quantile)``."""
+                  method: str = "exact", rescan: bool = False) -> DataFrame:
+    """One row per group and probability: ``(*by, prob, quantile)``.
+
+    ``rescan`` is for few groups of rows that are cheap to read again (staged ones): the
+    first reading only counts the ranges, and no value is shuffled but those of the ranges
+    that hold a rank.
+    """
     vals = df.select(*by, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     if method == "approx":
@@ -44,8 +51,13 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
             F.array(*[F.lit(float(p)) for p in probs]).alias("prob"),
             F.col("_q").alias("quantile"))).alias("_e")).select(*by, "_e.prob", "_e.quantile")
     # -0.0 and 0.0 are one value
-    counted = vals.groupBy(*by, (F.col("_v") + F.lit(0.0)).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_r", value_range("_v"))
-    ranges = counted.groupBy(*by, "_r").agg(F.sum("_c").alias("_c"))
+    one = vals.select(*by, (F.col("_v") + F.lit(0.0)).alias("_v"))
+    if rescan:
+        one = one.withColumn("_r", value_range("_v", RESCAN_RANGES))
+        ranges = one.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_c"))
+    else:
+        counted = one.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_r", value_range("_v"))
+        ranges = counted.groupBy(*by, "_r").agg(F.sum("_c").alias("_c"))
     upto = W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranges = ranges.withColumns({"_end": F.sum("_c").over(upto), "_n": F.sum("_c").over(W.partitionBy(*by))})
     positions = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
@@ -54,6 +66,9 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
         for rank in (F.floor(pos), F.ceil(pos)):
             holds = holds | ((F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank))
     chosen = ranges.where(holds).select(*by, "_r", "_n", (F.col("_end") - F.col("_c")).alias("_before"))
+    if rescan:
+        held = one.alias("x").join(F.broadcast(chosen).alias("y"), same("x", "y", [*by, "_r"]), "left_semi")
+        counted = held.groupBy(*by, "_r", "_v").agg(F.count(F.lit(1)).alias("_c"))
     near = counted.alias("x").join(chosen.alias("y"), same("x", "y", [*by, "_r"])).select(
         *[F.col(f"x.{c}").alias(c) for c in by], "x._r", "x._v", "x._c", "y._n", "y._before")
     within = W.partitionBy(*by, "_r").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -77,21 +92,21 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs: dict[str, float], by: list[str] | None = None,
-                   method: str = "exact") -> DataFrame:
+                   method: str = "exact", rescan: bool = False) -> DataFrame:
     """One row per group and column: ``(*by, metric, <name per probability>)``."""
     by = by or []
     long = df.select(
         *by, F.explode(F.array(*[
             F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
             for c in columns])).alias("_m")).select(*by, "_m.metric", "_m.value")
-    rows = quantile_rows(long, [*by, "metric"], "value", list(probs.values()), method)
+    rows = quantile_rows(long, [*by, "metric"], "value", list(probs.values()), method, rescan)
     return rows.groupBy(*by, "metric").agg(*[
         F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n) for n, p in probs.items()])
 
 
-def quantile_struct(df: DataFrame, column: str, probs: dict[str, float], method: str = "exact") -> Column:
+def quantile_struct(df: DataFrame, column: str, probs: dict[str, float], method: str = "exact", rescan: bool = False) -> Column:
     """Quantiles of a whole column as one scalar struct column."""
-    rows = quantile_rows(df, [], column, list(probs.values()), method)
+    rows = quantile_rows(df, [], column, list(probs.values()), method, rescan)
     one = rows.agg(*[
         F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n) for n, p in probs.items()])
     return one.select(F.struct(*probs).alias("q")).scalar()

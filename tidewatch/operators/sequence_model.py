@@ -71,8 +71,8 @@ def sequence_errors(df: DataFrame, model: SequenceModel, roles: Roles = DEFAULT_
     return rows.select(roles.entity, *roles.order, model.error(F.col("flat")).alias("error"))
 
 
-def last_share(df: DataFrame, share: float = 0.15, ts: str = "ts") -> DataFrame:
+def last_share(df: DataFrame, share: float = 0.15, ts: str = "ts", rescan: bool = False) -> DataFrame:
     """The newest ``share`` of rows by time, to calibrate on."""
     timed = df.withColumn("_s", epoch_seconds(ts))
-    q = quantile_struct(timed, "_s", {"cut": 1.0 - share})
+    q = quantile_struct(timed, "_s", {"cut": 1.0 - share}, rescan=rescan)
     return timed.where(F.col("_s") >= q["cut"]).drop("_s")

@@ -12,8 +12,8 @@ from tidewatch.operators.forest import TREES, fit_forest
 from tidewatch.operators.sequence_model import fit_sequence_model, last_share, sequence_errors
 from tidewatch.operators.splits import fractional_split
 from tidewatch.operators.statistical import hotspot_scores
-from tidewatch.roles import DEFAULT_ROLES, Roles
-from tidewatch.session import stage
+from tidewatch.roles import DEFAULT_ROLES, DETECTOR_METRICS, Roles
+from tidewatch.session import release_shuffles, stage
 
 # The metrics the forest and the sequence model see.
 MODEL_METRICS = [
@@ -36,23 +36,27 @@ def run_ensemble(telemetry: DataFrame, columns: list[str] = MODEL_METRICS, fract
                  roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Scores, flags, agreement and severity of every row after the training part.
 
-    Inputs that several passes read are staged once in the shared folder.
+    Inputs that several passes read are staged once in the shared folder, and the shuffles of
+    a step go before the next begins. Only the columns that a detector reads are kept.
     """
-    data = stage(mark_train(impute_median(telemetry, columns), by_entity, fraction, roles), "ensemble-input")
+    kept = dict.fromkeys([roles.entity, *roles.order, *columns, *DETECTOR_METRICS])
+    given = stage(telemetry.select(*kept), "ensemble-given", release=True)
+    data = stage(mark_train(impute_median(given, columns, rescan=True), by_entity, fraction, roles), "ensemble-input", release=True)
     train = data.where("in_train")
     scale = fit_standard_scale(train, columns)
     forest = fit_forest(apply_scale(train, scale, columns), columns, [roles.entity, *roles.order], trees)
     raw = stage(apply_scale(data, scale, columns).select(
-        roles.entity, *roles.order, "in_train", forest.score(data.sparkSession).alias("raw_score")), "ensemble-forest")
-    forest_scores = fusion.normalise_forest(raw, raw.where("in_train")).where("NOT in_train").drop("in_train", "raw_score")
+        roles.entity, *roles.order, "in_train", forest.score(data.sparkSession).alias("raw_score")), "ensemble-forest", release=True)
+    forest_scores = fusion.normalise_forest(raw, raw.where("in_train"), rescan=True).where("NOT in_train").drop("in_train", "raw_score")
 
     model = fit_sequence_model(train, columns, roles)
-    errors = stage(sequence_errors(data, model, roles).join(
-        data.select(roles.entity, *roles.order, "in_train"), [roles.entity, *roles.order]), "ensemble-sequences")
-    calibration = last_share(errors.where("in_train"), 0.15, roles.ts)
-    sequence_scores = fusion.normalise_errors(errors.where("NOT in_train"), calibration)
-
-    stat = hotspot_scores(data, roles).where("NOT in_train").select(
-        roles.entity, *roles.order, F.col("hotspot_score").alias("stat_score"))
+    release_shuffles(data.sparkSession)
+    lost = stage(sequence_errors(data, model, roles), "ensemble-errors", release=True)
+    errors = stage(lost.join(data.select(roles.entity, *roles.order, "in_train"), [roles.entity, *roles.order]), "ensemble-sequences", release=True)
+    calibration = last_share(errors.where("in_train"), 0.15, roles.ts, rescan=True)
+    sequence_scores = fusion.normalise_errors(errors.where("NOT in_train"), calibration, rescan=True)
+
+    stat = stage(hotspot_scores(data, roles).where("NOT in_train").select(
+        roles.entity, *roles.order, F.col("hotspot_score").alias("stat_score")), "ensemble-statistics", release=True)
     rows = stat.join(forest_scores, [roles.entity, *roles.order])
     return fusion.ensemble(fusion.add_sequence_scores(rows, sequence_scores, roles), alarm, min_agreement)
